@@ -10,8 +10,12 @@ from pyspark.sql import functions as F
 from interlace.functions.oracle import sentence_ids
 from interlace.functions.text import strip
 from interlace.llm.cooccurrence import cooccurring_pairs
+from interlace.llm.leakage import leaks
 from interlace.llm.lookalikes import lookalike_classes, lookalike_pairs
+from interlace.llm.mixing import mixed, planned, reached_shares, token_table
+from interlace.llm.pair_defects import pair_defects
 from interlace.llm.sentence_items import sentence_items
+from interlace.llm.splitting import split_texts
 from interlace.llm.subsequences import frequent_subsequences
 from interlace.llm.term_frequency import frequency_mark, term_frequencies
 
@@ -36,6 +40,19 @@ def p3_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookalike_classes(_table(spark, sf_dir, "sentences"), "row_id", ["text", "translation_jp"])
 
 
+def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    jobs = _table(spark, sf_dir, "jobs").where(F.col("task").isin("translate", "morph-translate")).select(F.col("id").alias("job_id"))
+    return _table(spark, sf_dir, "job_results").join(jobs, "job_id", "left_semi")
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pair_defects(_pairs(spark, sf_dir), "result_id", "text", "trsl_ai").where("defect is not null").select("result_id", "defect")
+
+
+def p4_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pair_defects(_pairs(spark, sf_dir), "result_id", "text", "trsl_ai")
+
+
 def _frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = sentence_items(_table(spark, sf_dir, "sentences"))
     n = items.count()
@@ -68,8 +85,33 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p6_patterns(spark, sf_dir).drop("support")
 
 
+def p7_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "eval_items"))
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p7_leaks(spark, sf_dir).where("longest_run >= 50").select("doc_id", "item_id")
+
+
+def p8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    targets = _table(spark, sf_dir, "mix_targets")
+    tokens = token_table(_table(spark, sf_dir, "documents"), targets)
+    return mixed(tokens, planned(tokens, targets))
+
+
+def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    targets = _table(spark, sf_dir, "mix_targets")
+    tokens = token_table(_table(spark, sf_dir, "documents"), targets)
+    made = planned(tokens, targets)
+    return reached_shares(mixed(tokens, made), made)
+
+
+def p9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return split_texts(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "piece_limits"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p2_found, p2_pairs, p3_found, p3_forms, p5_found, p5_terms, p6_found, p6_patterns)
+    f.__name__: f for f in (p2_found, p2_pairs, p3_found, p3_forms, p4_found, p4_pairs, p5_found, p5_terms, p6_found, p6_patterns, p7_found, p7_leaks, p8_mix, p8_shares, p9_pieces)
 }
 
 _P2 = f"""WITH {sentence_ids()},
