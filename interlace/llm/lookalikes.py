@@ -32,37 +32,49 @@ KANA = "力カ 口ロ 工エ 卜ト 八ハ 夕タ 二ニ 一ー りリ へヘ 
 INVISIBLE = r"[\p{Cf}\x{00}-\x{08}\x{0E}-\x{1F}\x{7F}-\x{84}\x{86}-\x{9F}\x{034F}\x{115F}\x{1160}\x{17B4}\x{17B5}\x{180B}-\x{180F}\x{FE00}-\x{FE0F}\x{E0100}-\x{E01EF}]+"
 
 
-def mapping() -> tuple[str, str]:
-    """Characters and what each becomes: built from the character database by rule, with the fixed pairs above."""
-    to: dict[str, str] = {}
+def mappings() -> list[tuple[str, str, str]]:
+    """(class, characters, what each becomes), by the character database and the fixed pairs: first what occurs in most texts, with
+    an empty class; then what few texts hold, each with a character class that tells which. Translating by a long list is slow."""
+    pairs = {pair[0]: pair[1] for pair in (LATIN + " " + KANA).split()}
+    kana = {pair[0]: pair[1] for pair in KANA.split()}
+    width, rest = {"ﾞ": "゙", "ﾟ": "゚"}, {}
+    letters = {c: x for c, x in pairs.items() if c not in kana} | {"\t": " "}
     for code in range(0x80, sys.maxunicode + 1):
         c = chr(code)
-        kind, _, rest = unicodedata.decomposition(c).partition("> ")
+        kind, _, to = unicodedata.decomposition(c).partition("> ")
         if unicodedata.category(c) == "Zs":
-            to[c] = " "
-        elif kind in ("<wide", "<narrow", "<font", "<compat") and len(one := unicodedata.normalize("NFKC", c)) == 1:
-            to[c] = one
-    to |= {"\t": " ", "ﾞ": "゙", "ﾟ": "゚"}
-    pairs = {pair[0]: pair[1] for pair in (LATIN + " " + KANA).split()}
-    to = {c: pairs.get(x, x) for c, x in to.items()} | pairs
-    return "".join(to), "".join(to.values())
+            letters[c] = " "
+        elif c not in pairs and kind in ("<wide", "<narrow", "<font", "<compat") and len(one := unicodedata.normalize("NFKC", c)) == 1:
+            (width if 0xFF00 <= code <= 0xFFEF else rest).setdefault(c, pairs.get(one, one))
+    return [("", "".join(kana), "".join(kana.values()))] + [(_class(m), "".join(m), "".join(m.values())) for m in (letters, width, rest)]
+
+
+def _class(chars) -> str:
+    """A regular expression for any of the characters, by ranges."""
+    codes = sorted(map(ord, chars))
+    starts = [c for k, c in enumerate(codes) if not k or codes[k - 1] != c - 1]
+    ends = [c for k, c in enumerate(codes) if k == len(codes) - 1 or codes[k + 1] != c + 1]
+    return "[" + "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in zip(starts, ends)) + "]"
 
 
 def consistent_sql(column: str) -> str:
-    """The DuckDB expression for the consistent form; $from_ and $to_ stand for the mapping."""
+    """The DuckDB expression for the consistent form; its variables hold the mappings."""
     seen = f"nfc_normalize(regexp_replace({column}, '{INVISIBLE}', '', 'g'))"
     for ligature, letters in (("ﬀ", "ff"), ("ﬁ", "fi"), ("ﬂ", "fl")):
         seen = f"replace({seen}, '{ligature}', '{letters}')"
-    return f"nfc_normalize(translate({seen}, getvariable('from_'), getvariable('to_')))"
+    for k, (which, _, _) in enumerate(mappings()):
+        mapped = f"translate(v{k}, getvariable('from{k}'), getvariable('to{k}'))"
+        seen = f"list_transform([{seen}], lambda v{k}: {f"CASE WHEN regexp_matches(v{k}, '{which}') THEN {mapped} ELSE v{k} END" if which else mapped})[1]"
+    return f"nfc_normalize({seen})"
 
 
 def _connection():
     import duckdb
 
     con = duckdb.connect(config={"threads": 1, "memory_limit": "256MB"})
-    source, target = mapping()
-    con.execute("SET VARIABLE from_ = ?", [source])
-    con.execute("SET VARIABLE to_ = ?", [target])
+    for k, (_, source, target) in enumerate(mappings()):
+        con.execute(f"SET VARIABLE from{k} = ?", [source])
+        con.execute(f"SET VARIABLE to{k} = ?", [target])
     return con
 
 

@@ -37,7 +37,7 @@ TRAILING = re.compile(r"[\s…‥・。．.!?！？｡、，,､」』）)\]\"
 #: Cues of a refusal, by what they say; a refusal has one of the first kind, or two of the others.
 CUES = {
     "declines": r"差し控え|控えさせて|いたしかね|致しかね|できかね|お答えでき|答えられま|応じられ|対象外と|見送らせて|見送り|保留と|保留いた|保留させ|空欄に|訳せま|訳すことはでき|訳すことができ|翻訳でき|翻訳することはでき|翻訳することができ|訳を示すことは|訳出でき|提供でき|お手伝いでき|お断り|辞退|ご遠慮|"
-    r"\bi (?:must|have to) decline|\bi (?:can'?t|cannot|can not|won'?t|will not|am (?:not able|unable)|'?m (?:not able|unable))|\bunable to (?:provide|translate|help|answer|render)|cannot (?:help|translate|provide|answer)|can'?t (?:help|translate|provide|answer)|not able to (?:provide|translate)|no translation (?:is )?(?:possible|available)|not enough (?:evidence|context|information)|"
+    r"\bi (?:must|have to) decline|\bi (?:can'?t|cannot|can not|won'?t|will not|am (?:not able|unable)|'?m (?:not able|unable))|\bunable to (?:provide|translate|help|answer|render)|cannot (?:help|translate|provide|answer)|can'?t (?:help|translate|provide|answer)|not able to (?:provide|translate)|no translation (?:is|can|could|will)|not enough (?:evidence|context|information)|"
     r"无法(?:翻译|提供|回答|理解)|不能(?:翻译|提供|回答)|拒绝(?:翻译|回答)|번역할 수 없|답변할 수 없|제공할 수 없|도와드릴 수 없|no puedo (?:traducir|ayudar|responder|ofrecer)|ne peux pas (?:traduire|aider|répondre|fournir)|kann (?:ich )?(?:diesen|das|den|es|nicht|leider)[^.]*nicht|не могу (?:перевести|помочь|ответить)",
     "sorry": r"申し訳(?:あり|ござ)|ごめんなさい|すみません|恐れ入り|残念ながら|\bsorry\b|\bunfortunately\b|抱歉|对不起|죄송|lo siento|désolé|leider|tut mir leid|извините|к сожалению",
     "self": r"言語モデル|アシスタント|(?:AI|ＡＩ|人工知能)(?:な|で|と)|\bas an? (?:ai|language|assistant)|language (?:model|assistant)|语言模型|언어 모델|modelo de lenguaje|modèle de langue|sprachmodell|языковая модель",
@@ -92,6 +92,10 @@ class Pair:
     finished: float | None  # how often its ending comes before a final mark
 
 
+def _often(rate: float | None) -> str:
+    return "?" if rate is None else "never" if rate < 0.1 else "seldom" if rate < 0.4 else "often"
+
+
 def _step(x: float) -> str:
     return str(min(4, int(x * 5)))
 
@@ -124,10 +128,9 @@ def describe(prompt: str | None, response: str | None, finished: float | None) -
         reported = bool(REPORTED.search(clause)) or (spoken and "「" in clause)
         own += [f"cue:{k}:{reported}" for k in cues] or ["cue:none"]
         own.append(f"refuses:{('declines' in around) or len(around) > 2}:{spoken}")
-        if i == len(clauses) - 1:
+        if i == len(clauses) - 1 and native:
             marked = text.rstrip()[-1:] in FINAL
-            seen = "?" if finished is None else _step(finished)
-            own += ["last", f"last:marked:{marked}", f"last:finished:{'marked' if marked else seen}:{cut_off}", f"last:cut:{cut_off}", f"last:comma:{text.rstrip()[-1:] in '、，,､'}"]
+            own += ["last", f"last:marked:{marked}", f"last:finished:{'marked' if marked else _often(finished)}:{cut_off}", f"last:cut:{cut_off}", f"last:comma:{text.rstrip()[-1:] in '、，,､'}"]
         else:
             own.append("inner")
         features.append(own)
