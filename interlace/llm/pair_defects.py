@@ -187,7 +187,7 @@ def training_set(rows: list[tuple[str | None, str | None, float | None]], rate_o
         text = response.rstrip()
         if text[-1:] == "。" and len(text) > 8 and set(label(describe(prompt, response, finished), response)) == {"answer"}:
             short = text[: rng.randrange(3, len(text) - 2)].rstrip("。")
-            if rate_of(ending(short)) in (None, 0.0):
+            if _KANA.search(_QUOTED.sub("", short)) and rate_of(ending(short)) in (None, 0.0):
                 add(prompt, short + rng.choice(["", "", "…", "、", "　"]), rate_of(ending(short)), "unfinished")
         if prompt and len(plain(prompt)) > 3 and rng.random() < 0.2:
             dress = rng.choice(["{}", "「{}」", "訳：{}", "{}（未訳）", "{} / {}", "{}。", "日本語訳 → {}"]).replace("{}", rng.choice([prompt, prompt.upper(), prompt.replace(" ", ", ")]))
