@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from interlace.llm.tokens import TOKENIZER, with_token_counts
-from interlace.plans.storage import BROADCAST_BYTES, written
+from interlace.plans.storage import written
 
 BLOCKS = 4096
 #: The targets are a small table that the driver computes with; more sources are refused.
@@ -120,12 +120,11 @@ def mixed(tokens: DataFrame, made: Plan, key: str = "doc_id", seed: int = 0) ->
     full = drawn.where("whole > 0").select(key, "source", F.explode(F.sequence(F.lit(0).cast("long"), F.col("whole") - 1)).alias("epoch"), "n_tokens")
     placed = drawn.where("rest > 0").withColumn("h", F.xxhash64(F.lit(seed), "whole", key)).withColumn("block", F.pmod(F.col("h"), F.lit(BLOCKS)))
     sums = placed.groupBy("source", "block").agg(F.sum("n_tokens").alias("block_tokens"))
-    before = sums.withColumn("before", F.sum("block_tokens").over(Window.partitionBy("source").orderBy("block")) - F.col("block_tokens"))
-    if len(rows) * BLOCKS * 64 <= BROADCAST_BYTES:
-        before = F.broadcast(before)
-    at = placed.join(before, ["source", "block"]).where("before < rest")
-    whole = at.where("before + block_tokens <= rest")
-    edge = at.where("before + block_tokens > rest").withColumn("upto", F.sum("n_tokens").over(Window.partitionBy("source", "block").orderBy("h", key).rowsBetween(Window.unboundedPreceding, 0)))
+    running = sums.withColumn("upto", F.sum("block_tokens").over(Window.partitionBy("source").orderBy("block"))).join(quotas, "source").where("upto > rest")
+    edges = running.groupBy("source").agg(F.min_by(F.struct("block", (F.col("upto") - F.col("block_tokens")).alias("before")), "block").alias("e"))
+    at = placed.join(F.broadcast(edges), "source", "left").withColumns({"edge": F.coalesce("e.block", F.lit(BLOCKS)), "before": F.col("e.before")})
+    whole = at.where("block < edge")
+    edge = at.where("block = edge").withColumn("upto", F.sum("n_tokens").over(Window.partitionBy("source").orderBy("h", key).rowsBetween(Window.unboundedPreceding, 0)))
     last = [x.select(key, "source", F.col("whole").alias("epoch"), "n_tokens") for x in (whole, edge.where("2 * (before + upto) - n_tokens <= 2 * rest"))]
     return full.unionByName(last[0]).unionByName(last[1])
 

@@ -27,6 +27,8 @@ from interlace.plans.storage import fits, written
 
 #: At most so many pairs are labelled for the fit; their order is a hash of the key.
 FIT_ROWS = 4000
+#: Longer pairs are judged, but not among those.
+FIT_CHARS = 4000
 TAGS = ("answer", "refusal", "echo", "foreign", "unfinished")
 
 # Words that stand for nothing; what an echo may be dressed in; final marks; marks and blanks after an ending.
@@ -230,7 +232,8 @@ def pair_defects(pairs: DataFrame, key: str, prompt: str, response: str, fit_row
     counted = given.where("r is not null").groupBy("e").agg(F.count("*").alias("n"), F.count_if(trimmed.rlike(f"[{FINAL}]$")).alias("marked"))
     rates = written(counted.select("e", (F.col("marked") / F.col("n")).alias("rate")), "endings")
     rated = given.join(F.broadcast(rates) if fits(rates, "length(e) * 4 + 8") else rates, "e", "left").select("k", "p", "r", "rate")
-    sample = rated.orderBy(F.xxhash64("k"), "k").limit(fit_rows).collect()
+    short = F.coalesce(F.length("r"), F.lit(0)) + F.coalesce(F.length("p"), F.lit(0)) <= FIT_CHARS
+    sample = rated.where(short).orderBy(F.xxhash64("k"), "k").limit(fit_rows).collect()
     seen = {r["e"]: r["rate"] for r in rates.join(spark.createDataFrame([(e,) for e in _cut_endings(sample)], "e string"), "e").collect()}
     model = Crf(TAGS).fit(*training_set([(x["p"], x["r"], x["rate"]) for x in sample], seen.get))
     sent = spark.sparkContext.broadcast(model)
