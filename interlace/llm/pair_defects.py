@@ -117,6 +117,9 @@ def describe(prompt: str | None, response: str | None, finished: float | None) -
     clauses = CLAUSE.findall(text)
     native = bool(_KANA.search(_QUOTED.sub("", text)))
     spoken = bool(REPORTED.search(text))
+    around = [k for k, p in _CUES.items() if p.search(text)]
+    marked = text.rstrip()[-1:] in FINAL
+    comma = text.rstrip()[-1:] in "、，,､"
     cut_off = text[-1:].isspace() or text.count("「") > text.count("」") or text.count("（") > text.count("）") or text.count("『") > text.count("』")
     features = []
     for i, clause in enumerate(clauses):
@@ -126,13 +129,11 @@ def describe(prompt: str | None, response: str | None, finished: float | None) -
         own.append(f"echo:{_step(shared(letters, known) / len(letters)) if len(letters) > 2 else 'short'}")
         own.append(f"echoed:{_step(echo)}{_step(back)}")
         cues = [k for k, p in _CUES.items() if p.search(clause)]
-        around = [k for k, p in _CUES.items() if p.search(text)]
         reported = bool(REPORTED.search(clause)) or (spoken and "「" in clause)
         own += [f"cue:{k}:{reported}" for k in cues] or ["cue:none"]
         own.append(f"refuses:{('declines' in around) or len(around) > 2}:{spoken}")
         if i == len(clauses) - 1 and native:
-            marked = text.rstrip()[-1:] in FINAL
-            own += ["last", f"last:marked:{marked}", f"last:finished:{'marked' if marked else _often(finished)}:{cut_off}", f"last:cut:{cut_off}", f"last:comma:{text.rstrip()[-1:] in '、，,､'}"]
+            own += ["last", f"last:marked:{marked}", f"last:finished:{'marked' if marked else _often(finished)}:{cut_off}", f"last:cut:{cut_off}", f"last:comma:{comma}"]
         else:
             own.append("inner")
         features.append(own)
