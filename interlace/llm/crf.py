@@ -37,7 +37,11 @@ class Crf:
         kept = [k for k, s in enumerate(sequences) if s]
         if not kept:
             return self
-        sequences, tags = [sequences[k] for k in kept], [tags[k] for k in kept]
+        same: dict[tuple, list[int]] = {}
+        for k in kept:  # features are few, so that many sequences are alike: each is worked on once, with its weight
+            same.setdefault((tuple(map(tuple, sequences[k])), tuple(tags[k])), []).append(k)
+        many = np.array([len(v) for v in same.values()], float)
+        sequences, tags = [sequences[v[0]] for v in same.values()], [tags[v[0]] for v in same.values()]
         x, lengths = self._encode(sequences, True)
         n, longest, _ = x.shape
         size = len(self.labels)
@@ -45,23 +49,24 @@ class Crf:
         for i, t in enumerate(tags):
             y[i, np.arange(len(t)), [self.labels.index(v) for v in t]] = 1
         real = (np.arange(longest) < lengths[:, None]).astype(float)
+        weighed = y * many[:, None, None]
         ends = np.zeros((n, longest))
         ends[np.arange(n), lengths - 1] = 1
         params = [np.zeros((len(self.index) + 1, size)), np.zeros((size + 2, size))]
         seen_moves = np.zeros_like(params[1])
-        seen_moves[:size] = np.einsum("ntl,ntm->lm", y[:, :-1], y[:, 1:])
-        seen_moves[size], seen_moves[size + 1] = y[:, 0].sum(0), np.einsum("nt,ntl->l", ends, y)
+        seen_moves[:size] = np.einsum("ntl,ntm->lm", weighed[:, :-1], y[:, 1:])
+        seen_moves[size], seen_moves[size + 1] = weighed[:, 0].sum(0), np.einsum("nt,ntl->l", ends, weighed)
         first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
         flat = x.reshape(-1, x.shape[2])
         for step in range(1, rounds + 1):
             w, m = params
             score = w[x].sum(axis=2)
-            marginal, moved = self._expect(score, m, real, ends)
-            diff = ((y - marginal) * real[..., None]).reshape(-1, size)
+            marginal, moved = self._expect(score, m, real, ends, many)
+            diff = (weighed - marginal * (many[:, None] * real)[..., None]).reshape(-1, size)
             grads = [np.stack([np.bincount(flat.ravel(), np.repeat(diff[:, k], flat.shape[1]), minlength=len(w)) for k in range(size)], axis=1), seen_moves - moved]
             grads[0][0] = 0
             for k in range(2):
-                g = grads[k] / n - decay * params[k]
+                g = grads[k] / many.sum() - decay * params[k]
                 first[k] = 0.9 * first[k] + 0.1 * g
                 second[k] = 0.99 * second[k] + 0.01 * g * g
                 params[k] = params[k] + rate * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.99**step)) + 1e-8)
@@ -69,7 +74,7 @@ class Crf:
         self.weights[0] = 0
         return self
 
-    def _expect(self, score: np.ndarray, moves: np.ndarray, real: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def _expect(self, score: np.ndarray, moves: np.ndarray, real: np.ndarray, ends: np.ndarray, many: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Expected labels of each place, and expected moves, by the forward-backward recursion."""
         n, longest, size = score.shape
         step = moves[:size]
@@ -88,9 +93,9 @@ class Crf:
         out = np.zeros_like(moves)
         for t in range(1, longest):
             p = np.exp(forward[:, t - 1, :, None] + step + (score[:, t] + backward[:, t])[:, None, :] - total[:, None, None])
-            out[:size] += (p * real[:, t, None, None]).sum(0)
-        out[size] = marginal[:, 0].sum(0)
-        out[size + 1] = np.einsum("nt,ntl->l", ends, marginal)
+            out[:size] += (p * (many * real[:, t])[:, None, None]).sum(0)
+        out[size] = (marginal[:, 0] * many[:, None]).sum(0)
+        out[size + 1] = np.einsum("nt,ntl->l", ends * many[:, None], marginal)
         return marginal, out
 
     def tag(self, sequences: list[list[list[str]]], lanes: int = 2048) -> list[list[str]]:
