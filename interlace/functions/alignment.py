@@ -43,14 +43,22 @@ def _errors(gold: Column, predicted: Column) -> Column:
     return F.element_at(F.aggregate(_upto(F.size(gold)), first, row), -1)["errors"]
 
 
-def align(predicted: Column, gold: Column) -> Column:
-    """struct(matches, substitutions, insertions, deletions, edits, gold_ids, predicted_ids, confusions). Equal arrays skip the table."""
+def trailing_matches(predicted: Column, gold: Column) -> Column:
+    """How many tokens at the end of both are equal. The best alignment, read from its end, matches them first."""
+    differ = F.array_position(F.zip_with(F.reverse(gold), F.reverse(predicted), lambda x, y: x.eqNullSafe(y)), False)
+    return F.when(differ == 0, F.size(gold)).otherwise(differ - 1).cast("int")
+
+
+def align(predicted: Column, gold: Column, matched: Column | None = None) -> Column:
+    """struct(matches, substitutions, insertions, deletions, edits, gold_ids, predicted_ids, confusions). `matched` more tokens were
+    equal at the end of both and have been cut off. Equal arrays skip the table."""
     errors = F.when(predicted == gold, F.array().cast(_ERRORS)).otherwise(_errors(gold, predicted))
+    more = F.lit(0) if matched is None else matched
     count = lambda keep: F.size(F.filter(errors, keep))
     extra, missing = count(lambda e: e["gold"] == EXTRA), count(lambda e: e["predicted"] == MISSING)
     return F.struct(
-        (F.size(gold) - F.size(errors) + extra).alias("matches"), (F.size(errors) - extra - missing).alias("substitutions"), extra.alias("insertions"), missing.alias("deletions"),
-        F.size(errors).alias("edits"), F.size(gold).alias("gold_ids"), F.size(predicted).alias("predicted_ids"), errors.alias("confusions"),
+        (more + F.size(gold) - F.size(errors) + extra).alias("matches"), (F.size(errors) - extra - missing).alias("substitutions"), extra.alias("insertions"), missing.alias("deletions"),
+        F.size(errors).alias("edits"), (more + F.size(gold)).alias("gold_ids"), (more + F.size(predicted)).alias("predicted_ids"), errors.alias("confusions"),
     )
 
 

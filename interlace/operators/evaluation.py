@@ -8,14 +8,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from interlace.functions import annotation as A
-from interlace.functions.alignment import align, boundary_scores, edit_distance, error_rate, match_rate
+from interlace.functions.alignment import align, boundary_scores, edit_distance, error_rate, match_rate, trailing_matches
 from interlace.functions.text import blank
 
 
 def aligned(results: DataFrame, keys: Sequence[str], predicted: str = "ai_annotation", gold: str = "gold_annotation") -> DataFrame:
     """(*keys, a): the alignment of the IDs, of rows that have gold."""
     rows = results.where(~F.coalesce(F.col(gold) == "", F.lit(True))).select(*keys, A.annotation_ids(predicted).alias("p"), A.annotation_ids(gold).alias("g"))
-    return rows.select(*keys, align(F.col("p"), F.col("g")).alias("a"))
+    cut = rows.withColumn("m", trailing_matches(F.col("p"), F.col("g")))
+    short = cut.select(*keys, "m", *[F.slice(c, F.lit(1), F.size(c) - F.col("m")).alias(c) for c in "pg"])
+    return short.select(*keys, align(F.col("p"), F.col("g"), F.col("m")).alias("a"))
 
 
 def alignment_rows(results: DataFrame, key: str) -> DataFrame:
