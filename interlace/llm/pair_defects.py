@@ -29,6 +29,8 @@ from interlace.plans.storage import fits, written
 FIT_ROWS = 4000
 #: Longer pairs are judged, but not among those.
 FIT_CHARS = 4000
+#: A response with that share of the prompt in it, and that share of the prompt, gives it back.
+COPIED = (0.6, 0.5)
 TAGS = ("answer", "refusal", "echo", "foreign", "unfinished")
 
 # Words that stand for nothing; what an echo may be dressed in; final marks; marks and blanks after an ending.
@@ -83,6 +85,11 @@ def trigrams(text: str) -> set[str]:
     return {text[i : i + 3] for i in range(len(text) - 2)}
 
 
+def refusing(cues: list[str]) -> bool:
+    """Whether the kinds of cues found make a refusal."""
+    return "declines" in cues or len(cues) > 2
+
+
 @dataclass
 class Pair:
     """A pair with its response's clauses, their features and the figures that the verdict needs."""
@@ -121,6 +128,8 @@ def describe(prompt: str | None, response: str | None, finished: float | None) -
     marked = text.rstrip()[-1:] in FINAL
     comma = text.rstrip()[-1:] in "、，,､"
     cut_off = text[-1:].isspace() or text.count("「") > text.count("」") or text.count("（") > text.count("）") or text.count("『") > text.count("』")
+    copies = echo >= COPIED[0] and back >= COPIED[1]
+    refuses = refusing(around) and not spoken
     features = []
     for i, clause in enumerate(clauses):
         letters = plain(clause)
@@ -131,8 +140,8 @@ def describe(prompt: str | None, response: str | None, finished: float | None) -
         cues = [k for k, p in _CUES.items() if p.search(clause)]
         reported = bool(REPORTED.search(clause)) or (spoken and "「" in clause)
         own += [f"cue:{k}:{reported}" for k in cues] or ["cue:none"]
-        own.append(f"refuses:{('declines' in around) or len(around) > 2}:{spoken}")
-        if i == len(clauses) - 1 and native:
+        own += [f"refuses:{refusing(around)}:{spoken}", f"copies:{copies}"]
+        if i == len(clauses) - 1 and native and not copies and not refuses:
             own += ["last", f"last:marked:{marked}", f"last:finished:{'marked' if marked else _often(finished)}:{cut_off}", f"last:cut:{cut_off}", f"last:comma:{comma}"]
         else:
             own.append("inner")
@@ -144,14 +153,14 @@ def label(pair: Pair, text: str) -> list[str]:
     """Labels of the clauses by the fixed cues, for the fit."""
     around = [k for k, p in _CUES.items() if p.search(_QUOTED.sub("", text))]
     spoken = bool(REPORTED.search(text))
-    refuses = not spoken and ("declines" in around or len(around) > 2)
+    refuses = not spoken and refusing(around)
     native = bool(_KANA.search(_QUOTED.sub("", text)))
     tags = []
     for i, _ in enumerate(pair.clauses):
         last = i == len(pair.clauses) - 1
         if refuses:
             tags.append("refusal")
-        elif pair.echo_share >= 0.6 and pair.prompt_share >= 0.5:
+        elif pair.echo_share >= COPIED[0] and pair.prompt_share >= COPIED[1]:
             tags.append("echo")
         elif not native:
             tags.append("foreign")
