@@ -43,13 +43,11 @@ def alignment_error(segmented: Column | str, annotation: Column | str) -> Column
     """Why surfaces and annotation can't be aligned, or null: phrase counts, then phrase by phrase an empty segment, segment counts."""
     s, a = skeleton(segmented), skeleton(annotation)
 
-    def phrase(x: Column, i: Column) -> Column:
-        y = F.get(a, i)
-        return F.when(F.exists(x, lambda v: v == ""), F.concat(F.lit("empty segment in phrase "), (i + 1).cast("string"))).when(
-            F.size(x) != F.size(y), F.concat(F.lit("segment count "), F.size(x).cast("string"), F.lit(" for "), F.size(y).cast("string"), F.lit(" in phrase "), (i + 1).cast("string"))
-        )
+    def wrong(x: Column, y: Column) -> Column:
+        return F.when(F.exists(x, lambda v: v == ""), F.lit("empty segment")).when(F.size(x) != F.size(y), F.concat(F.lit("segment count "), F.size(x).cast("string"), F.lit(" for "), F.size(y).cast("string")))
 
-    first = F.get(F.filter(F.transform(s, phrase), lambda e: e.isNotNull()), F.lit(0))
+    placed = F.transform(F.zip_with(s, a, wrong), lambda e, i: F.concat(e, F.lit(" in phrase "), (i + 1).cast("string")))
+    first = F.get(F.filter(placed, lambda e: e.isNotNull()), F.lit(0))
     counts = F.concat(F.lit("phrase count "), F.size(s).cast("string"), F.lit(" for "), F.size(a).cast("string"))
     return F.when(F.size(s) != F.size(a), counts).otherwise(first)
 
@@ -62,9 +60,15 @@ def surface(segmented: Column | str) -> Column:
 def boundary_offsets(segmented: Column | str) -> Column:
     """Where, in code points of the surface, segments part; a boundary before the first letter is none."""
     joined = F.regexp_replace(_text(segmented), r"(?U)[\s\x{3000}]+", "")
-    parts = F.split(joined, "-")
-    ends = F.transform(parts, lambda _, i: F.length(F.array_join(F.slice(parts, 1, i + 1), "")))
-    return F.array_distinct(F.filter(F.slice(ends, 1, F.size(ends) - 1), lambda n: n > 0))
+    lengths = F.transform(F.split(joined, "-"), lambda p: F.length(p))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("ends"))
+
+    def step(done: Column, n: Column) -> Column:
+        return F.struct((done["at"] + n).alias("at"), F.concat(done["ends"], F.array(done["at"] + n)).alias("ends"))
+
+    last = F.aggregate(lengths, start, step)
+    inner = F.slice(last["ends"], F.lit(1), F.greatest(F.size(last["ends"]) - 1, F.lit(0)))
+    return F.array_distinct(F.filter(inner, lambda n: n > 0))
 
 
 def morph_surfaces(segmented: Column | str) -> Column:
@@ -74,16 +78,14 @@ def morph_surfaces(segmented: Column | str) -> Column:
 
 def contains_analysis(segmented: Column, annotation: Column, need_segmented: Column, need_annotation: Column) -> Column:
     """Whether the segments of the need, with their labels, follow one another inside one phrase."""
-    a = skeleton(annotation)
     need_s, need_a = F.split(need_segmented, "-"), F.split(need_annotation, "-")
     n = F.size(need_s)
 
-    def inside(x: Column, i: Column) -> Column:
-        y = F.coalesce(F.get(a, i), F.array().cast("array<string>"))
+    def inside(x: Column, y: Column) -> Column:
         starts = F.when(F.size(x) >= n, F.sequence(F.lit(1), F.size(x) - n + 1)).otherwise(F.array().cast("array<int>"))
         return F.exists(starts, lambda k: (F.slice(x, k, n) == need_s) & (F.slice(y, k, n) == need_a))
 
-    return (n == F.size(need_a)) & F.exists(F.transform(skeleton(segmented), inside), lambda v: v)
+    return (n == F.size(need_a)) & F.exists(F.zip_with(skeleton(segmented), skeleton(annotation), inside), lambda v: F.coalesce(v, F.lit(False)))
 
 
 def splice(values: Column, place: Column, new: Column) -> Column:

@@ -12,9 +12,13 @@ from interlace.functions.text import blank, strip
 
 
 def one_per_sentence(sentences: DataFrame) -> DataFrame:
-    """The latest export of each sentence: re-exports would count twice."""
-    newest = F.struct(F.col("ingested_at"), F.col("row_id"))
-    return sentences.groupBy("sentence_id").agg(F.max_by(F.struct(*[c for c in sentences.columns if c != "sentence_id"]), newest).alias("s")).select("sentence_id", "s.*")
+    """The latest export of each sentence: re-exports would count twice.
+
+    Rows beyond the first are dropped in each task before the shuffle (a limit on the window's groups), so a sentence exported very
+    often stays small; columns that aren't used later aren't read.
+    """
+    newest = Window.partitionBy("sentence_id").orderBy(F.col("ingested_at").desc_nulls_last(), F.col("row_id").desc())
+    return sentences.withColumn("__n", F.row_number().over(newest)).where("__n = 1").drop("__n")
 
 
 def tokens(sentences: DataFrame, *keep: str) -> DataFrame:
