@@ -157,3 +157,26 @@ def clip(col: Column | str, longest: int) -> Column:
 def bounded(col: Column | str) -> Column:
     """A number between 0 and 1; 0 for what is none."""
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce((F.col(col) if isinstance(col, str) else col).try_cast("double"), F.lit(0.0))))
+
+
+def single_surface(col: Column | str) -> Column:
+    """The trimmed text where it is one segment of at most 255 characters, else an empty text."""
+    text = strip(_text(col))
+    return F.when((F.length(text) > 255) | text.rlike(r"(?U)[\s\-]"), "").otherwise(text)
+
+
+def groundable(col: Column | str) -> Column:
+    """Whether a label can be looked up: not blank, at most 128 characters, without blanks inside."""
+    text = strip(_text(col))
+    return (text != "") & (F.length(text) <= 128) & ~text.rlike(r"(?U)\s")
+
+
+def positive_ids(col: Column | str) -> Column:
+    """The distinct positive numbers of a comma-separated list, in order."""
+    numbers = F.transform(F.split(_text(col), ","), lambda v: strip(v).try_cast("int"))
+    return F.array_distinct(F.filter(numbers, lambda n: n > 0))
+
+
+def example_note(source: Column, phrase: Column, translation: Column) -> Column:
+    """One example in a note."""
+    return F.concat(F.lit("例（文訳）: "), F.coalesce(source, F.lit("")), F.lit(" ["), F.coalesce(phrase, F.lit("")), F.lit("] → "), F.coalesce(translation, F.lit("")))

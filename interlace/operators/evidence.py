@@ -134,3 +134,17 @@ def preferred(forms: DataFrame, dialects: Sequence[int]) -> DataFrame:
     listed = forms.where(F.col("dialect_id").isin(*dialects)).withColumn("__o", F.struct(F.when(F.col("form_source") == "corpus", 0).otherwise(1), order))
     best = listed.groupBy("label").agg(F.min_by(F.struct("dialect_id", "form_source"), "__o").alias("b")).select("label", F.col("b.dialect_id").alias("dialect_id"), F.when(F.col("b.form_source") == "corpus", "requested_dialect").otherwise("schema_pool").alias("scope"))
     return forms.select("label").where("label is not null").distinct().join(best, "label", "left").na.fill({"dialect_id": -1, "scope": "none"})
+
+
+def region_dialects(sentences: DataFrame) -> DataFrame:
+    """(dialect_region, dialects, representative): the dialects of a region, those with most sentences first."""
+    counts = sentences.where("dialect_region is not null and dialect_id is not null").groupBy("dialect_region", "dialect_id").agg(F.count_distinct("sentence_id").alias("n"))
+    listed = counts.groupBy("dialect_region").agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("k"), F.col("dialect_id").alias("d")))).alias("l"))
+    return listed.select("dialect_region", F.array_join(F.transform("l", lambda x: x["d"].cast("string")), ",").alias("dialects"), F.get("l", F.lit(0))["d"].alias("representative"))
+
+
+def notes(sentences: DataFrame, k: int = 3) -> DataFrame:
+    """(id, note): up to k examples of an ID in one text, a line each."""
+    chosen = examples(sentences, k).join(sentences.select("sentence_id", "text", "translation_jp"), "sentence_id")
+    line = F.struct((~F.col("translated")).alias("bare"), F.col("sentence_id"), F.col("phrase"), A.example_note(F.col("text"), F.col("phrase"), F.col("translation_jp")).alias("line"))
+    return chosen.groupBy("id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(line)), lambda x: x["line"]), "\n").alias("note"))

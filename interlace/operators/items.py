@@ -74,3 +74,9 @@ def chosen_analysis(sentences: DataFrame, results: DataFrame) -> DataFrame:
     rows = sentences.select("sentence_id", "segmented", "annotation", own.alias("own")).join(best, "sentence_id", "left")
     pick = lambda mine, theirs: F.when(F.col("own"), F.col(mine)).otherwise(F.coalesce(F.col(theirs), F.lit("")))
     return rows.select("sentence_id", F.when(F.col("own"), "existing").when(F.col("p").isNotNull(), "predicted").otherwise("none").alias("source"), pick("segmented", "p.ai_segmented").alias("segmented"), pick("annotation", "p.ai_annotation").alias("annotation"))
+
+
+def counters(results: DataFrame, by: Sequence[str]) -> DataFrame:
+    """(by, selected, completed, failed): results by whether they came to an answer."""
+    failed = F.coalesce(F.col("decision") == "failed", F.lit(False))
+    return results.groupBy(*by).agg(F.count("*").alias("selected"), F.count_if(~failed).alias("completed"), F.count_if(failed).alias("failed"))

@@ -141,6 +141,27 @@ def scoped_name(t):
     return t.surface_forms_for_id.select("form_row_id", A.scoped_name("surface", "dialect_name", 20).alias("scoped_name"))
 
 
+@query(f"SELECT form_row_id, CASE WHEN length(s) > 255 OR regexp_matches(s, '[\\s\\p{{Z}}\\-]') THEN '' ELSE s END AS surface FROM (SELECT form_row_id, {O.strip("coalesce(surface, '')")} AS s FROM surface_forms_for_id)")
+def single_surface(t):
+    return t.surface_forms_for_id.select("form_row_id", A.single_surface("surface").alias("surface"))
+
+
+@query(f"SELECT form_row_id, s <> '' AND length(s) <= 128 AND NOT regexp_matches(s, '[\\s\\p{{Z}}]') AS groundable FROM (SELECT form_row_id, {O.strip("coalesce(label, '')")} AS s FROM surface_forms_for_id)")
+def grounding_labels(t):
+    return t.surface_forms_for_id.select("form_row_id", A.groundable("label").alias("groundable"))
+
+
+@query("SELECT row_id, array_to_string(list_filter([dialect_id, dataset_id, annotation_schema_id], lambda v, i: v > 0 AND list_position([dialect_id, dataset_id, annotation_schema_id], v) = i), '|') AS ids FROM sentences")
+def positive_ids(t):
+    packed = F.concat_ws(", ", F.col("dialect_id").cast("string"), F.lit("x"), F.lit("-3"), F.col("dataset_id").cast("string"), F.col("annotation_schema_id").cast("string"), F.col("dialect_id").cast("string"))
+    return t.sentences.select("row_id", _bar(A.positive_ids(packed).cast("array<string>")).alias("ids"))
+
+
+@query("SELECT result_id, greatest(0, least(1, coalesce(confidence, 0)))::DOUBLE AS confidence FROM job_results")
+def bounded_confidence(t):
+    return t.job_results.select("result_id", A.bounded("confidence").alias("confidence"))
+
+
 # Evaluation
 
 _IDPAIRS = f"scored AS (SELECT result_id, job_id, {O.ids('gold_annotation')} AS g, {O.ids('ai_annotation')} AS p FROM job_results WHERE coalesce(gold_annotation, '') <> '')"
@@ -346,6 +367,23 @@ def priority_pick(t):
     return evidence.preferred(t.surface_forms_for_id, [17, 57, 28])
 
 
+@query(
+    f"""WITH {_LATEST}, c AS (SELECT dialect_region, dialect_id, count(DISTINCT sentence_id) AS n FROM latest WHERE dialect_region IS NOT NULL AND dialect_id IS NOT NULL GROUP BY ALL)
+    SELECT dialect_region, string_agg(dialect_id, ',' ORDER BY n DESC, dialect_id) AS dialects, (list(dialect_id ORDER BY n DESC, dialect_id))[1] AS representative FROM c GROUP BY 1"""
+)
+def region_dialects(t):
+    return evidence.region_dialects(_latest(t))
+
+
+@query(
+    f"""WITH {_TOKENS}, o AS (SELECT id, phrase, max(translated::INTEGER) AS tr FROM tokens GROUP BY ALL), q AS (SELECT o.id, o.phrase, tr = 1 AS translated, min(sentence_id) AS sentence_id FROM o JOIN tokens t ON t.id = o.id AND t.phrase = o.phrase AND t.translated = (tr = 1) GROUP BY ALL),
+    r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY translated DESC, sentence_id, phrase) AS n FROM q)
+    SELECT id, string_agg('例（文訳）: ' || coalesce(text, '') || ' [' || phrase || '] → ' || coalesce(translation_jp, ''), chr(10) ORDER BY n) AS note FROM r JOIN latest USING (sentence_id) WHERE n <= 3 GROUP BY 1"""
+)
+def example_notes(t):
+    return evidence.notes(_latest(t))
+
+
 # Scopes
 
 _ISLANDS = """i AS (SELECT DISTINCT dataset_id, sentence_id FROM {0} WHERE dataset_id > 0 AND sentence_id > 0), g AS (SELECT *, sentence_id - row_number() OVER (PARTITION BY dataset_id ORDER BY sentence_id) AS g FROM i),
@@ -633,6 +671,11 @@ def output_projection(t):
     return items.output_rows(t.job_results, ["result_id", "sentence_id"])
 
 
+@query("SELECT job_id, count(*) AS selected, count(*) FILTER (NOT coalesce(decision = 'failed', false)) AS completed, count(*) FILTER (decision = 'failed') AS failed FROM job_results GROUP BY 1")
+def batch_counters(t):
+    return items.counters(t.job_results, ["job_id"])
+
+
 @query(
     f"""WITH {_LATEST}, p AS (SELECT *, row_number() OVER (PARTITION BY sentence_id ORDER BY finished_at DESC NULLS LAST, result_id DESC) AS n FROM job_results WHERE NOT {O.blank('ai_segmented')} AND NOT {O.blank('ai_annotation')}),
     r AS (SELECT l.sentence_id, l.segmented, l.annotation, NOT {O.blank('l.segmented')} AND NOT {O.blank('l.annotation')} AS own, p.sentence_id IS NOT NULL AS has, ai_segmented, ai_annotation FROM latest l LEFT JOIN p ON p.sentence_id = l.sentence_id AND n = 1)

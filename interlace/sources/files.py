@@ -55,3 +55,8 @@ def write_tsv(tables: Sequence[DataFrame], path: str) -> None:
 def write_json(df: DataFrame, path: str) -> None:
     """One JSON object a line, with the fields that are null."""
     df.write.option("ignoreNullFields", "false").json(path)
+
+
+def file_hashes(spark: SparkSession, path: str) -> DataFrame:
+    """(path, length, sha256) of files, to hold them against the hashes they should have."""
+    return spark.read.format("binaryFile").load(path).select("path", "length", F.sha2("content", 256).alias("sha256"))

@@ -33,3 +33,8 @@ def test_stream_equals_batch(spark, sf, tmp_path):
     q = stream.writeStream.outputMode("complete").format("memory").queryName("usage").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert rows(spark.table("usage")) == rows(by_hour(distinct_calls(calls)))
+
+
+def test_hashes(spark, tmp_path):
+    (tmp_path / "a.bin").write_bytes(b"abc")
+    assert files.file_hashes(spark, str(tmp_path / "a.bin")).first()["sha256"] == "ba7816bf8f01cfea414140de5dae2223b00361a396177a9cb410ff61f20015ad"
