@@ -26,13 +26,14 @@ class Encoded:
 
 def encode(records: DataFrame, items: str, min_count: int, min_share: float) -> Encoded:
     """Codes for the items of `records` (one array per record, written table) that occur in at least `min_count` records and in
-    a share of `min_share` of the records that have any item. Rarer items can be in no pair or pattern of that support.
+    a share of `min_share` of the records that have any item. Rarer items can be in no pair or pattern of that support; null items
+    are left out.
 
     Their number is at most the mean number of items per record over `min_share`; it is counted all the same, and beyond
     VOCABULARY the items are looked up by a shuffled join instead of a table in each task.
     """
     spark = records.sparkSession
-    records = records.select(F.col(items).alias("items")).where(F.size("items") > 0)
+    records = records.select(F.filter(items, lambda x: x.isNotNull()).alias("items")).where(F.size("items") > 0)
     n = records.count()
     least = max(min_count, -(-int(round(n * min_share * 1e9)) // 10**9), 1)
     counts = records.select(F.explode(F.array_distinct("items")).alias("item")).groupBy("item").agg(F.count("*").alias("n_records")).where(F.col("n_records") >= least)

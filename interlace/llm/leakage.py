@@ -96,8 +96,12 @@ def leaks(documents: DataFrame, items: DataFrame, doc_key: str = "doc_id", item_
     """({doc_key}, {item_key}, longest_run, score, item_share): each document and each item of which it holds a seed.
 
     longest_run: the longest run of shared letters and digits around a seed, exact from `run` on; score: of the local alignment
-    (2 a match, -1 a mismatch or gap); item_share: score against that of a whole, unchanged copy.
+    (2 a match, -1 a mismatch or gap); item_share: score against that of a whole, unchanged copy. Rows with a null key leak under it. The two keys need different names.
     """
+    if doc_key == item_key:
+        raise ValueError("the keys of documents and items need different names")
+    if run < SEED:
+        raise ValueError(f"runs under {SEED} letters and digits hold no seed")
     spark = documents.sparkSession
     step = run - SEED + 1
     docs = documents.select(doc_key, text).where(f"{text} is not null")

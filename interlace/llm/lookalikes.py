@@ -105,9 +105,9 @@ def lookalike_pairs(df: DataFrame, key: str, fields: Sequence[str]) -> DataFrame
     """(field_name, {key}_a, {key}_b), a < b: rows whose texts differ but have the same consistent form.
 
     Of two different texts with the same form, at least one isn't in that form. So such rows, a small part, are joined to all
-    rows of the same field and form; adaptive execution splits a form that many rows share.
+    rows of the same field and form; adaptive execution splits a form that many rows share. Rows without a key are left out.
     """
-    forms = written(with_consistent(df, [key], fields).select(key, "field_name", "canon", F.when(F.col("value") != F.col("canon"), F.col("value")).alias("odd")), "forms")
+    forms = written(with_consistent(df.where(F.col(key).isNotNull()), [key], fields).select(key, "field_name", "canon", F.when(F.col("value") != F.col("canon"), F.col("value")).alias("odd")), "forms")
     odd = forms.where("odd is not null").select("field_name", "canon", F.col(key).alias("key_odd"), F.col("odd").alias("value_odd"))
     other = forms.select("field_name", "canon", F.col(key).alias("key_any"), F.col("odd").alias("value_any"))
     same = odd.join(other, ["field_name", "canon"]).where("value_any is null or (value_any <> value_odd and key_odd < key_any)")

@@ -138,3 +138,14 @@ def reached_shares(mix: DataFrame, made: Plan) -> DataFrame:
     out = wanted.join(got, "source", "left").na.fill(0, ["mixed_tokens", "most_uses"])
     total = F.sum("mixed_tokens").over(Window.partitionBy())
     return out.withColumn("actual_share", F.round(F.try_divide(F.col("mixed_tokens"), total), 9))
+
+
+def tempered_shares(tokens: DataFrame, targets: DataFrame) -> DataFrame:
+    """(source, tokens, own_share, exponent, weight): own shares p^x, x bisected so that the entropy is that of the target shares of
+    the same sources, or as near as an exponent between 0 and 1 comes."""
+    wanted = wanted_shares(targets)
+    sums = {r[0]: r[1] for r in tokens.groupBy("source").agg(F.sum("n_tokens")).collect() if wanted.get(r[0], (0, 0))[0] > 0}
+    own = {s: n / sum(sums.values()) for s, n in sums.items()}
+    x, w = weights_for_entropy(own, entropy(tempered(own, 1.0, {s: wanted[s][0] for s in own})))
+    rows = [(s, n, round(own[s], 9), round(x, 9), round(w[s], 9)) for s, n in sums.items()]
+    return tokens.sparkSession.createDataFrame(rows, "source string, tokens long, own_share double, exponent double, weight double")

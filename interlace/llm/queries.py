@@ -12,7 +12,7 @@ from interlace.functions.text import strip
 from interlace.llm.cooccurrence import cooccurring_pairs
 from interlace.llm.leakage import leaks
 from interlace.llm.lookalikes import lookalike_classes, lookalike_pairs
-from interlace.llm.mixing import mixed, planned, reached_shares, token_table
+from interlace.llm.mixing import mixed, planned, reached_shares, tempered_shares, token_table
 from interlace.llm.pair_defects import pair_defects
 from interlace.llm.sentence_items import sentence_items
 from interlace.llm.splitting import split_texts
@@ -86,11 +86,12 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p7_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "eval_items"))
+    """Edited copies too: shared runs of 32 letters and digits are certain to be met, shorter ones by chance."""
+    return leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "eval_items"), run=32)
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return p7_leaks(spark, sf_dir).where("longest_run >= 50").select("doc_id", "item_id")
+    return leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "eval_items")).where("longest_run >= 50").select("doc_id", "item_id")
 
 
 def p8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -106,12 +107,18 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reached_shares(mixed(tokens, made), made)
 
 
+def p8_tempered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sources' own token shares, tempered to the entropy of the target shares."""
+    targets = _table(spark, sf_dir, "mix_targets")
+    return tempered_shares(token_table(_table(spark, sf_dir, "documents"), targets), targets)
+
+
 def p9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split_texts(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "piece_limits"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p2_found, p2_pairs, p3_found, p3_forms, p4_found, p4_pairs, p5_found, p5_terms, p6_found, p6_patterns, p7_found, p7_leaks, p8_mix, p8_shares, p9_pieces)
+    f.__name__: f for f in (p2_found, p2_pairs, p3_found, p3_forms, p4_found, p4_pairs, p5_found, p5_terms, p6_found, p6_patterns, p7_found, p7_leaks, p8_mix, p8_shares, p8_tempered, p9_pieces)
 }
 
 _P2 = f"""WITH {sentence_ids()},

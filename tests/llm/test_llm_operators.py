@@ -42,6 +42,12 @@ def test_pairs_of_nothing(spark):
     assert rows(cooccurrence.cooccurring_pairs(frame(spark, [[], None]), "items")) == [] and rows(cooccurrence.cooccurring_pairs(frame(spark).limit(0), "items")) == []
 
 
+def test_null_items_and_other_columns(spark):
+    df = spark.createDataFrame([(k, ["x", None, "y"], k, "q") for k in range(6)], "id int, items array<string>, codes int, record string")
+    assert [tuple(r)[:5] for r in cooccurrence.cooccurring_pairs(df, "items").collect()] == [("x", "y", 6, 6, 6)]
+    assert [tuple(r) for r in subsequences.frequent_subsequences(df, "items", min_length=2).collect()] == [(["x", "y"], 6)]
+
+
 def contains(record, pattern):
     rest = iter(record)
     return all(any(x == y for y in rest) for x in pattern)
@@ -103,6 +109,7 @@ def test_lookalikes(spark):
         df = spark.createDataFrame([(1, a), (2, b)], "k long, text string")
         assert len(rows(lookalikes.lookalike_pairs(df, "k", ["text"]))) == 1, (a, b)
     df = spark.createDataFrame([(1, "ハ"), (2, "バ"), (3, "パ"), (4, "x" * 100_000)], "k long, text string").withColumns({"canon": F.lit(1), "value": F.lit(2), "odd": F.lit(3)})
+    assert rows(lookalikes.lookalike_pairs(spark.createDataFrame([(None, "ａ"), (1, "a"), (2, "ａ")], "k long, text string"), "k", ["text"])) == [("text", 1, 2)]
     assert rows(lookalikes.lookalike_pairs(df, "k", ["text"])) == [] == rows(lookalikes.lookalike_pairs(df.limit(0), "k", ["text"]))
 
 
@@ -132,6 +139,12 @@ def test_leaks(spark):
         assert rows(leakage.leaks(docs.limit(0), items, sent_bytes=sent)) == [] == rows(leakage.leaks(docs, items.limit(0), sent_bytes=sent))
 
 
+def test_leaks_refuse_one_name(spark):
+    df = spark.createDataFrame([(1, "a")], "id long, text string")
+    with pytest.raises(ValueError):
+        leakage.leaks(df, df, "id", "id")
+
+
 def test_weights():
     own, target = {"a": 0.7, "b": 0.2, "c": 0.1}, {"a": 0.2, "b": 0.4, "c": 0.4}
     assert mixing.tempered(own, 1.0, target) == pytest.approx(target) and mixing.tempered(own, 0.0, target) == pytest.approx(own)
