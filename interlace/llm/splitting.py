@@ -23,8 +23,9 @@ from pyspark.sql import functions as F
 
 from interlace.llm.tokens import TOKENIZER, encoding
 
-#: Marks that end a sentence, with or without a blank after them; marks that end a clause; marks that close either.
-SENTENCE_BLANK, SENTENCE, CLAUSE, CLOSING = ".!?…", "。！？｡", ",;:、，；：､", "\"'”’」』）)]］»"
+#: Marks that end a sentence where a blank (or a capital) follows, or anyway; marks that end a clause anyway, or where a
+#: blank follows (within a word a colon is a length mark); marks that close either.
+SENTENCE_BLANK, SENTENCE, CLAUSE, CLAUSE_BLANK, CLOSING = ".!?…．", "。！？｡", ",;、，；､", ":：", "\"'”’」』）)]］»"
 #: Limits for up to so many groups are broadcast.
 GROUPS = 100_000
 PARAGRAPH_CUT, LINE_CUT, SENTENCE_CUT, CLAUSE_CUT, WORD_CUT, ANY_CUT, NO_CUT = 5, 4, 3, 2, 1, 0, -1
@@ -47,9 +48,12 @@ def strengths(chars: np.ndarray, places: np.ndarray) -> np.ndarray:
     out = np.full(len(places), ANY_CUT, np.int64)
     kana = (left >= 0x3041) & (left <= 0x309F) & ~((right >= 0x3041) & (right <= 0x309F))
     out[_blank(left) | _blank(right) | kana] = WORD_CUT
-    out[_is(left, CLAUSE)] = CLAUSE_CUT
+    digit = (right >= 0x30) & (right <= 0x39)
+    out[_is(mark, SENTENCE_BLANK) & ~digit & ~_is(right, CLOSING + SENTENCE_BLANK)] = CLAUSE_CUT
+    out[_is(left, CLAUSE) | (_is(left, CLAUSE_BLANK) & _blank(right))] = CLAUSE_CUT
     out[_is(mark, SENTENCE) & ~_is(right, CLOSING + SENTENCE)] = SENTENCE_CUT
-    out[_is(mark, SENTENCE_BLANK) & _blank(right)] = SENTENCE_CUT
+    capital = ((right >= 0x41) & (right <= 0x5A)) | ((right >= 0xFF21) & (right <= 0xFF3A))
+    out[_is(mark, SENTENCE_BLANK) & (_blank(right) | capital)] = SENTENCE_CUT
     out[_blank(left) & (left != 10) & _is(left2, SENTENCE_BLANK + SENTENCE)] = SENTENCE_CUT
     out[left == 10] = LINE_CUT
     out[(left == 10) & (left2 == 10)] = PARAGRAPH_CUT
