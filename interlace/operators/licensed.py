@@ -20,13 +20,15 @@ def contained(texts: DataFrame, lexicon: DataFrame, key: str = "sentence_id", te
     """(key, lexeme_id, n_occurrences, first_at): lexemes whose form, of at least `shortest` characters, lies anywhere in a text.
 
     Every run of `shortest` characters of a text meets the forms that begin with it by equality; the rest of the form is compared
-    where they meet. So no text is compared with all forms.
+    where they meet, within a stretch as long as the longest form. So no text is compared with all forms, nor carried whole.
     """
     forms = lexicon.select("lexeme_id", strip("form2").alias("form")).where(F.length("form") >= shortest).distinct()
+    longest = forms.select(F.max(F.length("form"))).first()[0] or shortest
     seeds = forms.withColumn("seed", F.substring("form", 1, shortest))
-    t = texts.select(key, F.col(text).alias("t")).where(F.length("t") >= shortest)
-    places = t.select(key, "t", F.posexplode(F.transform(F.sequence(F.lit(1), F.length("t") - shortest + 1), lambda i: F.substring(F.col("t"), i, F.lit(shortest)))).alias("at", "seed"))
-    hits = places.join(seeds, "seed").where(F.substring(F.col("t"), F.col("at") + 1, F.length("form")) == F.col("form"))
+    t = texts.select(key, F.split(text, "").alias("c")).where(F.size("c") >= shortest)
+    stretches = F.transform(F.sequence(F.lit(1), F.size("c") - shortest + 1), lambda i: F.array_join(F.slice("c", i, longest), ""))
+    places = t.select(key, F.posexplode(stretches).alias("at", "stretch")).withColumn("seed", F.substring("stretch", 1, shortest))
+    hits = places.join(seeds, "seed").where(F.startswith("stretch", "form"))
     return hits.groupBy(key, "lexeme_id", "form").agg(F.count("*").alias("n_occurrences"), F.min("at").alias("first_at"))
 
 
