@@ -94,3 +94,31 @@ def test_pieces_of_all_documents(spark, sf):
             assert a["begin_char"] < b["begin_char"] <= a["end_char"] < b["end_char"]
             shared = len(enc.encode_ordinary(text[b["begin_char"] : a["end_char"]]))
             assert overlap - 2 <= shared <= overlap + 3
+
+
+def test_pair_defects_held_out(spark, sf):
+    """Answers of the table made defective in known ways, none of them in the fit's own dress: at least 95 % of each kind are found."""
+    import random
+
+    from interlace.llm.pair_defects import pair_defects
+
+    rng = random.Random(5)
+    judged = {r["result_id"]: r["defect"] for r in QUERIES["p4_pairs"](spark, sf).collect()}
+    table = spark.read.parquet(f"{sf}/job_results.parquet").select("result_id", "text", "trsl_ai").where("text is not null").collect()
+    whole = [r for r in table if r["result_id"] in judged and judged[r["result_id"]] is None and r["trsl_ai"].endswith("。") and len(r["trsl_ai"]) > 9]
+    assert len(whole) > 60
+    broken = {
+        "empty": lambda p, a: rng.choice(["null", "【】", "\n \n", "（なし）", "N/A"]), "refusal": lambda p, a: rng.choice(["恐れ入りますが、翻訳は差し控えます。", "Sorry, I am unable to provide this.", "この文は訳せません。申し訳ありません。"]),
+        "copy": lambda p, a: rng.choice(["<{}>", "answer: {}", "{} {}", "{}?"]).replace("{}", rng.choice([p, p.title()])), "other_language": lambda p, a: rng.choice(["She left the lamp near the old well.", "他把灯笼放在旁边了。", "El barco no vuelve hoy."]),
+        "truncated": lambda p, a: a[: a.rindex(next(c for c in "をがはにと" if c in a)) + 1] if any(c in a for c in "をがはにと") else a[:3] + "を",
+    }
+    data, truth = [], {}
+    for r in whole:
+        for kind, make in (*broken.items(), (None, lambda p, a: a)):
+            if kind != "copy" or len(r["text"].split()) > 1:
+                truth[len(data)] = kind
+                data.append((len(data), r["text"], make(r["text"], r["trsl_ai"])))
+    got = {r["k"]: r["defect"] for r in pair_defects(spark.createDataFrame(data, "k long, p string, r string"), "k", "p", "r").collect()}
+    for kind in (*broken, None):
+        own = [k for k, v in truth.items() if v == kind]
+        assert sum(got[k] == kind for k in own) >= 0.95 * len(own), (kind, [(data[k], got[k]) for k in own if got[k] != kind][:5])
