@@ -31,33 +31,34 @@ GROUPS = 100_000
 PARAGRAPH_CUT, LINE_CUT, SENTENCE_CUT, CLAUSE_CUT, WORD_CUT, ANY_CUT, NO_CUT = 5, 4, 3, 2, 1, 0, -1
 
 
-def _is(chars: np.ndarray, marks: str) -> np.ndarray:
-    return np.isin(chars, np.frombuffer(marks.encode("utf-32-le"), np.uint32))
-
-
-def _blank(chars: np.ndarray) -> np.ndarray:
-    return np.isin(chars, np.array([9, 10, 11, 12, 13, 32, 0x85, 0xA0, 0x2028, 0x2029, 0x3000, *range(0x2000, 0x200B)], np.uint32))
+BLANKS = "\t\n\v\f\r \x85\xa0\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u3000"
+_KINDS = (BLANKS, CLOSING, SENTENCE_BLANK, SENTENCE, CLAUSE, CLAUSE_BLANK, "".join(map(chr, [*range(0x41, 0x5B), *range(0xFF21, 0xFF3B)])), "0123456789")
+_BLANK, _CLOSING, _SENTENCE_BLANK, _SENTENCE, _CLAUSE, _CLAUSE_BLANK, _CAPITAL, _DIGIT, _KANA, _LINE = (1 << k for k in range(10))
+_KIND = np.zeros(0x10000, np.uint16)  # what a character is, as bits; none of these is above
+for _k, _chars in enumerate(_KINDS):
+    _KIND[[ord(c) for c in _chars]] |= 1 << _k
+_KIND[0x3041:0x30A0] |= _KANA
+_KIND[10] |= _LINE
 
 
 def strengths(chars: np.ndarray, places: np.ndarray) -> np.ndarray:
     """How natural a cut before chars[place] is, for places from 1 to len(chars) - 1."""
-    left, right = chars[places - 1], chars[places]
-    left2 = chars[np.maximum(places - 2, 0)]
-    closes = _is(left, CLOSING)
-    mark = np.where(closes, left2, left)
+    kinds = _KIND[np.minimum(chars, 0xFFFF)]
+    left, right, left2 = kinds[places - 1], kinds[places], kinds[np.maximum(places - 2, 0)]
+    mark = np.where(left & _CLOSING, left2, left)
+    is_ = lambda x, bits: (x & bits) != 0
+    blank = is_(right, _BLANK)
     out = np.full(len(places), ANY_CUT, np.int64)
-    kana = (left >= 0x3041) & (left <= 0x309F) & ~((right >= 0x3041) & (right <= 0x309F))
-    out[_blank(left) | _blank(right) | kana] = WORD_CUT
-    digit = (right >= 0x30) & (right <= 0x39)
-    out[_is(mark, SENTENCE_BLANK) & ~digit & ~_is(right, CLOSING + SENTENCE_BLANK)] = CLAUSE_CUT
-    out[_is(left, CLAUSE) | (_is(left, CLAUSE_BLANK) & _blank(right))] = CLAUSE_CUT
-    out[_is(mark, SENTENCE) & ~_is(right, CLOSING + SENTENCE)] = SENTENCE_CUT
-    capital = ((right >= 0x41) & (right <= 0x5A)) | ((right >= 0xFF21) & (right <= 0xFF3A))
-    out[_is(mark, SENTENCE_BLANK) & (_blank(right) | capital)] = SENTENCE_CUT
-    out[_blank(left) & (left != 10) & _is(left2, SENTENCE_BLANK + SENTENCE)] = SENTENCE_CUT
-    out[left == 10] = LINE_CUT
-    out[(left == 10) & (left2 == 10)] = PARAGRAPH_CUT
-    out[(left == 10) & (right == 10)] = LINE_CUT
+    out[blank | is_(left, _BLANK) | (is_(left, _KANA) & ~is_(right, _KANA))] = WORD_CUT
+    bare = is_(mark, _SENTENCE_BLANK) & ~is_(right, _DIGIT | _CLOSING | _SENTENCE_BLANK)
+    out[bare | is_(left, _CLAUSE) | (is_(left, _CLAUSE_BLANK) & blank)] = CLAUSE_CUT
+    sentence = is_(mark, _SENTENCE) & ~is_(right, _CLOSING | _SENTENCE)
+    sentence |= is_(mark, _SENTENCE_BLANK) & is_(right, _BLANK | _CAPITAL)
+    sentence |= is_(left, _BLANK) & is_(left2, _SENTENCE_BLANK | _SENTENCE)
+    out[sentence] = SENTENCE_CUT
+    line = is_(left, _LINE)
+    out[line] = LINE_CUT
+    out[line & is_(left2, _LINE) & ~is_(right, _LINE)] = PARAGRAPH_CUT
     return out
 
 
