@@ -81,14 +81,14 @@ def rules_of(df: DataFrame, fields: Sequence[str]) -> DataFrame:
     return written(each.mapInPandas(_rules, f"skel string, rule {RULE}"), "packed-rules")
 
 
-def values_by_rule(field: str, rule: str) -> Column:
-    """The values of a field, cut out by the positions of its rule; without a rule, the runs of ordinary characters."""
-    parts = F.regexp_extract_all(F.col(field), F.lit(f"[^{MARKS}]+|[{MARKS}]"), F.lit(0))
+def values_by_rule(field: str, rule: str, parts: str) -> Column:
+    """The values of a field, cut out of its parts by the positions of its rule; without a rule, the runs of ordinary characters."""
+    p = F.col(parts)
 
     def cut(span: Column) -> Column:
-        whole = F.array_join(F.slice(parts, span["first"] + 1, span["last"] - span["first"] + 1), "")
+        whole = F.array_join(F.slice(p, span["first"] + 1, span["last"] - span["first"] + 1), "")
         one = F.when(span["doubled"], F.replace(whole, F.lit('""'), F.lit('"'))).otherwise(whole)
-        return F.when(span["quoted"], F.array(one)).otherwise(F.regexp_extract_all(F.element_at(parts, span["first"] + 1), F.lit(ORDINARY), F.lit(0)))
+        return F.when(span["quoted"], F.array(one)).otherwise(F.regexp_extract_all(F.element_at(p, span["first"] + 1), F.lit(ORDINARY), F.lit(0)))
 
     plain = F.regexp_extract_all(F.col(field), F.lit(ORDINARY), F.lit(0))
     return F.when(F.col(rule).isNull(), plain).otherwise(F.flatten(F.transform(F.col(rule), cut)))
@@ -111,7 +111,8 @@ def with_values(df: DataFrame, fields: dict[str, str]) -> DataFrame:
         else:
             marked = keyed.where("__key is not null").join(mine, F.col("__key") == F.col("__skel"), "left")
             joined = marked.unionByName(keyed.where("__key is null").withColumns({"__skel": F.lit(None).cast("string"), "__rule": F.lit(None).cast(RULE)}))
-        out = joined.withColumn(name, values_by_rule(field, "__rule")).drop("__key", "__skel", "__rule")
+        parts = F.when(F.col("__rule").isNotNull(), F.regexp_extract_all(F.col(field), F.lit(f"[^{MARKS}]+|[{MARKS}]"), F.lit(0)))
+        out = joined.withColumn("__parts", parts).withColumn(name, values_by_rule(field, "__rule", "__parts")).drop("__key", "__skel", "__rule", "__parts")
     return out
 
 
