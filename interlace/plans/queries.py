@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from interlace.functions import annotation as A
 from interlace.functions import oracle as O
 from interlace.functions.alignment import edit_distance
-from interlace.functions.text import blank, strip
 from interlace.operators import critics, evaluation, evidence, items, licensed, proposals, scopes, usage
 from interlace.operators.packed import split_packed
 from interlace.plans.registry import Registry
