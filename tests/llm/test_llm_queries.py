@@ -35,7 +35,7 @@ def test_lookalikes_against_all_pairs(spark, sf):
     import unicodedata
 
     invisible = re.compile("[​-‏⁠﻿\xad]")
-    letters = dict(zip("аіѕурνоһесхј力口工卜八夕二りへべぺ一", "aisypvohecxjカロエトハタニリヘベペー"))
+    letters = dict(zip("аіїѕурνоһесхј力口工卜八夕二りへべぺ一", "aiïsypvohecxjカロエトハタニリヘベペー"))
 
     def seen(text):
         text = re.sub(r"\s", " ", unicodedata.normalize("NFKC", invisible.sub("", text)))
