@@ -2,7 +2,9 @@
 
 Texts are reduced to their letters and digits (NFKC, lower case). The seeds are all n-grams of the evaluation items; with n = 25 a
 seed that meets a document by chance is practically unknown, so all of them are rare and none is left out. A document is probed at
-every 26th place only: any run of 50 characters holds a whole n-gram that begins at such a place. Where a seed is met, the run is
+every 26th place only: any run of 50 characters holds a whole n-gram that begins at such a place. For edited copies shorter seeds are
+asked for (`short`): then every place is probed, and a short seed counts if few of all documents hold it, or if the run that it lies
+in has 25 letters, so that nothing that the long seeds meet is lost. Where a seed is met, the run is
 extended both ways, and the item is aligned with the surrounding passage by Smith-Waterman, vectorised over many pairs, which also
 scores edited copies.
 
@@ -16,18 +18,25 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from interlace.plans.storage import written
+
 MATCH, MISMATCH, GAP = 2, -1, 1
 SEED = 25
 #: Evaluation texts up to so many bytes are sent to the tasks.
 SENT_BYTES = 8 * 1024 * 1024
-LANES = 64
+LANES = 128
+#: A short seed is rare in up to that share of the documents, and in up to so many documents anyway.
+RARE_SHARE, RARE_LEAST = 1 / 200, 10
+_PRIME, _SPREAD = 1_000_003, 0x9E3779B97F4A7C15
 
 _OTHER = re.compile(r"[\W_]+")
 
@@ -48,33 +57,68 @@ def run_around(a: str, b: str, i: int, j: int) -> tuple[int, int]:
     return i - lo, lo + hi
 
 
+def _hashes(text: str, n: int, bits: int) -> np.ndarray:
+    """A number of so many bits for each n-gram of the text."""
+    codes = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.uint64)
+    m = len(codes) - n + 1
+    h = np.zeros(max(m, 0), np.uint64)
+    for i in range(n if m > 0 else 0):
+        h *= np.uint64(_PRIME)
+        h += codes[i : i + m]
+    return (h * np.uint64(_SPREAD)) >> np.uint64(64 - bits)
+
+
+def _sieve(texts: list[str], n: int) -> np.ndarray:
+    """Marks the hashes of all n-grams of the texts; sixteen places or more for each."""
+    bits = max(16, (16 * sum(map(len, texts))).bit_length())
+    out = np.zeros(1 << bits, np.bool_)
+    for t in texts:
+        out[_hashes(t, n, bits)] = True
+    return out
+
+
+def _places(text: str, n: int, step: int, sieve: np.ndarray | None) -> Iterable[int]:
+    """Where n-grams are looked up: all those that the sieve lets through, or every step-th."""
+    if sieve is None:
+        return range(0, len(text) - n + 1, step)
+    return np.flatnonzero(sieve[_hashes(text, n, len(sieve).bit_length() - 1)]).tolist()
+
+
 def _codes(texts: list[str], fill: int) -> np.ndarray:
-    out = np.full((len(texts), max(map(len, texts))), fill, np.int32)
-    for row, t in zip(out, texts):
-        row[: len(t)] = np.frombuffer(t.encode("utf-32-le"), np.int32)
+    """The characters of the texts, a column each."""
+    out = np.full((max(map(len, texts)), len(texts)), fill, np.int32)
+    for k, t in enumerate(texts):
+        out[: len(t), k] = np.frombuffer(t.encode("utf-32-le"), np.int32)
     return out
 
 
 def smith_waterman(pairs: list[tuple[str, str]]) -> list[int]:
-    """Best local alignment score of each pair of non-empty texts."""
+    """Best local alignment score of each pair of non-empty texts; a diagonal of all tables at a time."""
     scores = [0] * len(pairs)
     order = sorted(range(len(pairs)), key=lambda k: (len(pairs[k][0]), len(pairs[k][1])))
     for lo in range(0, len(order), LANES):
         part = order[lo : lo + LANES]
-        a, b = _codes([pairs[k][0] for k in part], -1), _codes([pairs[k][1] for k in part], -2)
-        slope = GAP * np.arange(b.shape[1], dtype=np.int32)
-        h = np.zeros((len(part), b.shape[1] + 1), np.int32)
-        best = np.zeros(len(part), np.int32)
-        for i in range(a.shape[1]):
-            now = h[:, :-1] + np.where(b == a[:, i : i + 1], np.int32(MATCH), np.int32(MISMATCH))
-            np.maximum(now, h[:, 1:] - GAP, out=now)
-            np.maximum(now, 0, out=now)
-            now += slope  # a gap along the row: the best of all cells before, less its length
-            np.maximum.accumulate(now, axis=1, out=now)
-            now -= slope
-            h[:, 1:] = now
-            np.maximum(best, now.max(axis=1), out=best)
-        for k, s in zip(part, best.tolist()):
+        a, b = _codes([pairs[k][0] for k in part], -1), _codes([pairs[k][1] for k in part], -2)[::-1].copy()
+        n, m = len(a), len(b)
+        kind = np.int16 if MATCH * min(n, m) < 30_000 else np.int32
+        if max(a.max(), b.max()) < 0xFFFE:
+            a, b = a.astype(np.uint16), b.astype(np.uint16)  # the fillings stay two that nothing else is
+        older, old, new = (np.zeros((n + 1, len(part)), kind) for _ in range(3))  # row i + 1: the cell of a[i]
+        best = np.zeros((n, len(part)), kind)
+        for d in range(n + m - 1):
+            first, end = max(0, d - m + 1), min(n, d + 1)
+            at = m - 1 - d
+            now = new[first + 1 : end + 1]
+            np.multiply(a[first:end] == b[at + first : at + end], kind(MATCH - MISMATCH), out=now)
+            now += older[first:end]
+            now += kind(MISMATCH)
+            gap = np.maximum(old[first:end], old[first + 1 : end + 1])
+            gap -= kind(GAP)
+            np.maximum(now, gap, out=now)
+            np.maximum(now, kind(0), out=now)
+            np.maximum(best[first:end], now, out=best[first:end])
+            older, old, new = old, new, older
+        for k, s in zip(part, best.max(axis=0).tolist()):
             scores[k] = s
     return scores
 
@@ -92,10 +136,11 @@ def _result(rows: list[tuple], doc_type: pa.DataType, item_type: pa.DataType, na
     return pa.RecordBatch.from_arrays(columns, names)
 
 
-def leaks(documents: DataFrame, items: DataFrame, doc_key: str = "doc_id", item_key: str = "item_id", text: str = "text", run: int = 50, sent_bytes: int = SENT_BYTES) -> DataFrame:
-    """({doc_key}, {item_key}, longest_run, score, item_share): each document and each item of which it holds a seed.
+def leaks(documents: DataFrame, items: DataFrame, doc_key: str = "doc_id", item_key: str = "item_id", text: str = "text", run: int = 50, sent_bytes: int = SENT_BYTES, short: int | None = None) -> DataFrame:
+    """({doc_key}, {item_key}, longest_run, score, item_share): each document and each item of which it holds a seed that is probed.
 
-    longest_run: the longest run of shared letters and digits around a seed, exact from `run` on; score: of the local alignment
+    Every shared run of `run` letters and digits holds such a seed, shorter ones by chance. With `short`, every shared run of SEED
+    letters and digits counts, and every rare one of `short`. longest_run: the longest such run, exact from `run` on, or always; score: of the local alignment
     (2 a match, -1 a mismatch or gap); item_share: score against that of a whole, unchanged copy. Rows with a null key leak under it. The two keys need different names.
     """
     if doc_key == item_key:
@@ -103,40 +148,44 @@ def leaks(documents: DataFrame, items: DataFrame, doc_key: str = "doc_id", item_
     if run < SEED:
         raise ValueError(f"runs under {SEED} letters and digits hold no seed")
     spark = documents.sparkSession
-    step = run - SEED + 1
+    if short is not None and not 0 < short <= SEED:
+        raise ValueError(f"short seeds have 1 to {SEED} letters and digits")
+    size, step = (SEED, run - SEED + 1) if short is None else (short, 1)
     docs = documents.select(doc_key, text).where(f"{text} is not null")
     few = items.select(item_key, text).where(f"{text} is not null")
     doc_type, item_type = (documents.schema[doc_key].dataType, items.schema[item_key].dataType)
     schema = f"{doc_key} {doc_type.simpleString()}, {item_key} {item_type.simpleString()}, longest_run long, score long, item_share double"
     if (few.agg(F.sum(F.octet_length(text))).first()[0] or 0) > sent_bytes:
-        return _leaks_by_join(docs, few, doc_key, item_key, text, step, schema)
+        return _leaks_by_join(docs, few, doc_key, item_key, text, size, step, schema)
 
     held = [(r[0], plain(r[1])) for r in few.collect()]
     seeds: dict[str, list[tuple[int, int]]] = {}
     for k, (_, t) in enumerate(held):
-        for at in range(len(t) - SEED + 1):
-            seeds.setdefault(t[at : at + SEED], []).append((k, at))
-    sent = spark.sparkContext.broadcast((held, seeds))
+        for at in range(len(t) - size + 1):
+            seeds.setdefault(t[at : at + size], []).append((k, at))
+    sent = spark.sparkContext.broadcast((held, seeds, None if short is None else _sieve([t for _, t in held], size)))
+    common = spark.sparkContext.broadcast(frozenset() if short is None else _common(docs.select(text), sent, size))
     names = [doc_key, item_key, "longest_run", "score", "item_share"]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_type
 
-        held, seeds = sent.value
-        get = seeds.get
+        held, seeds, sieve = sent.value
+        get, often = seeds.get, common.value
         for batch in batches:
             rows = []
             for key, t in zip(batch.column(0).to_pylist(), batch.column(1)):
                 doc = plain(t.as_py())
                 best: dict[int, tuple[int, int, int]] = {}
-                covered: dict[tuple[int, int], int] = {}
-                for i in range(0, len(doc) - SEED + 1, step):
-                    for k, j in get(doc[i : i + SEED], ()):
-                        if covered.get((k, i - j), -1) >= i:
-                            continue
-                        begin, length = run_around(doc, held[k][1], i, j)
-                        covered[k, i - j] = begin + length - 1
-                        if k not in best or length > best[k][0]:
+                runs: dict[tuple[int, int], tuple[int, int]] = {}
+                for i in _places(doc, size, step, sieve):
+                    seed = doc[i : i + size]
+                    for k, j in get(seed, ()):
+                        end, length = runs.get((k, i - j), (-1, 0))
+                        if end < i:
+                            begin, length = run_around(doc, held[k][1], i, j)
+                            runs[k, i - j] = (begin + length - 1, length)
+                        if (length >= SEED or seed not in often) and (k not in best or length > best[k][0]):
                             best[k] = (length, i, j)
                 rows += [(key, held[k][0], length, held[k][1], _window(doc, held[k][1], i, j)) for k, (length, i, j) in best.items()]
             yield _result(rows, to_arrow_type(doc_type), to_arrow_type(item_type), names)
@@ -144,7 +193,29 @@ def leaks(documents: DataFrame, items: DataFrame, doc_key: str = "doc_id", item_
     return docs.mapInArrow(scan, schema)
 
 
-def _leaks_by_join(docs: DataFrame, items: DataFrame, doc_key: str, item_key: str, text: str, step: int, schema: str) -> DataFrame:
+def _most_documents(n: int) -> float:
+    return max(RARE_LEAST, RARE_SHARE * n)
+
+
+def _common(texts: DataFrame, sent: Broadcast, size: int) -> frozenset[str]:
+    """The seeds that too many of all documents hold."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _, seeds, sieve = sent.value
+        for batch in batches:
+            n: Counter[str] = Counter()
+            for t in batch.column(0):
+                doc = plain(t.as_py())
+                n.update({s for i in _places(doc, size, 1, sieve) if (s := doc[i : i + size]) in seeds})
+            n[""] = batch.num_rows
+            yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], ["seed", "n"])
+
+    counted = written(texts.mapInArrow(count, "seed string, n long").groupBy("seed").agg(F.sum("n").alias("n")), "seeds")
+    total = counted.where("seed = ''").agg(F.sum("n")).first()[0] or 0
+    return frozenset(r[0] for r in counted.where((F.col("seed") != "") & (F.col("n") > _most_documents(total))).select("seed").collect())
+
+
+def _leaks_by_join(docs: DataFrame, items: DataFrame, doc_key: str, item_key: str, text: str, size: int, step: int, schema: str) -> DataFrame:
     """The same where the evaluation texts are too large for each task: seeds and probes meet by a shuffled join."""
     doc_type, item_type = docs.schema[doc_key].dataType, items.schema[item_key].dataType
 
@@ -154,8 +225,8 @@ def _leaks_by_join(docs: DataFrame, items: DataFrame, doc_key: str, item_key: st
                 seeds, keys, places = [], [], []
                 for key, t in zip(batch.column(0).to_pylist(), batch.column(1)):
                     p = plain(t.as_py())
-                    found = range(0, len(p) - SEED + 1, every)
-                    seeds += [p[i : i + SEED] for i in found]
+                    found = range(0, len(p) - size + 1, every)
+                    seeds += [p[i : i + size] for i in found]
                     keys += [key] * len(found)
                     places += found
                 yield pa.RecordBatch.from_arrays([pa.array(seeds, pa.string()), pa.array(keys, batch.column(0).type), pa.array(places, pa.int64())], ["seed", "key", "place"])
@@ -164,7 +235,12 @@ def _leaks_by_join(docs: DataFrame, items: DataFrame, doc_key: str, item_key: st
 
     probes = docs.mapInArrow(grams(step), f"seed string, key {doc_type.simpleString()}, place long").select("seed", F.col("key").alias("d"), F.col("place").alias("i"))
     seeds = items.mapInArrow(grams(1), f"seed string, key {item_type.simpleString()}, place long").select("seed", F.col("key").alias("k"), F.col("place").alias("j"))
-    hits = probes.join(seeds, "seed").groupBy("d", "k", (F.col("i") - F.col("j")).alias("diagonal")).agg(F.collect_list("i").alias("i"))
+    met = probes.join(seeds, "seed").withColumn("common", F.lit(False))
+    if size < SEED:
+        met = written(met.drop("common"), "seeds")
+        often = met.groupBy("seed").agg(F.count_distinct("d").alias("n")).where(F.col("n") > _most_documents(docs.count())).select("seed", F.lit(True).alias("common"))
+        met = met.join(often, "seed", "left").na.fill({"common": False})
+    hits = met.groupBy("d", "k", (F.col("i") - F.col("j")).alias("diagonal")).agg(F.collect_list(F.struct("i", "common")).alias("i"))
     texts = hits.join(docs.select(F.col(doc_key).alias("d"), F.col(text).alias("doc")), "d").join(items.select(F.col(item_key).alias("k"), F.col(text).alias("item")), "k").select("d", "k", "diagonal", "i", "doc", "item")
     names = [doc_key, item_key, "longest_run", "score", "item_share"]
 
@@ -173,8 +249,11 @@ def _leaks_by_join(docs: DataFrame, items: DataFrame, doc_key: str, item_key: st
             rows = []
             for r in batch.to_pylist():
                 doc, item = plain(r["doc"]), plain(r["item"])
-                length, i = max((run_around(doc, item, i, i - r["diagonal"])[1], i) for i in r["i"])
-                rows.append((r["d"], r["k"], length, item, _window(doc, item, i, i - r["diagonal"])))
+                each = [(run_around(doc, item, x["i"], x["i"] - r["diagonal"])[1], x["i"], x["common"]) for x in r["i"]]
+                kept = [(length, i) for length, i, often in each if length >= SEED or not often]
+                if kept:
+                    length, i = max(kept)
+                    rows.append((r["d"], r["k"], length, item, _window(doc, item, i, i - r["diagonal"])))
             yield _result(rows, batch.schema.field("d").type, batch.schema.field("k").type, names)
 
     each = texts.mapInArrow(aligned, schema)

@@ -86,8 +86,8 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p7_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Edited copies too: shared runs of 32 letters and digits are certain to be met, shorter ones by chance."""
-    return leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "eval_items"), run=32)
+    """Edited copies too: every shared run of 25 letters and digits, and every rare one of 12."""
+    return leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "eval_items"), short=12)
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
