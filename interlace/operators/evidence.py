@@ -82,8 +82,9 @@ def label_sets(pairs: DataFrame) -> DataFrame:
     return pairs.select("surface", "label").distinct().groupBy("surface").agg(F.array_join(F.array_sort(F.collect_list("label")), "|").alias("labels"), F.count("*").alias("n_labels"))
 
 
-def pattern_search(sentences: DataFrame, expressions: DataFrame, most: int = 8) -> DataFrame:
+def pattern_search(sentences: DataFrame, expressions: DataFrame, most: int = 8, atoms: bool = True) -> DataFrame:
     """(expression, sentence_id): up to `most` sentences, the first by ID, in which the segments of an expression follow one another.
+    An expression of one atom is also found inside conflated segments, unless `atoms` is off.
 
     Runs of segments are made only of the lengths that expressions have and met by equality. Per expression the first `most` are
     kept in each task before they meet.
@@ -95,7 +96,7 @@ def pattern_search(sentences: DataFrame, expressions: DataFrame, most: int = 8)
     def joined(n: int) -> Column:
         return F.when(F.size("p") >= n, F.transform(F.sequence(F.lit(1), F.size("p") - n + 1), lambda i: F.array_join(F.slice("p", i, n), "-"))).otherwise(F.array().cast("array<string>"))
 
-    runs = [joined(n) for n in lengths]
+    runs = [joined(n) for n in lengths] + ([F.flatten(F.transform("p", lambda s: F.split(s, ";")))] if atoms else [])
     found = phrases.select("sentence_id", F.explode(F.array_distinct(F.concat(*runs) if runs else F.array().cast("array<string>"))).alias("expression")).join(wanted, "expression", "left_semi").distinct()
     return top_k(found, ["expression"], [F.col("sentence_id")], most)
 

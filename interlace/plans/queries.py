@@ -328,6 +328,17 @@ def surface_label_sets(t):
     f AS (SELECT x AS expression, sentence_id, row_number() OVER (PARTITION BY x ORDER BY sentence_id) AS n FROM r SEMI JOIN k USING (x)) SELECT expression, sentence_id FROM f WHERE n <= 8"""
 )
 def corpus_pattern_search(t):
+    """Whole segments only, as its SQL; `corpus_atom_search` finds atoms of conflated segments too."""
+    return evidence.pattern_search(_latest(t), t.provider_lexemes.select(F.col("annotation").alias("expression")), atoms=False)
+
+
+@query(
+    f"""WITH {_LATEST}, e AS (SELECT DISTINCT {O.strip('annotation')} AS x FROM provider_lexemes WHERE NOT {O.blank('annotation')}), k AS (SELECT x, string_split(x, '-') AS parts FROM e WHERE length(x) <= 256 AND len(string_split(x, '-')) <= 8
+        AND len(list_filter(string_split(x, '-'), lambda p: len(list_filter(string_split(p, ';'), lambda a: {O.strip('a')} <> '')) NOT BETWEEN 1 AND 8)) = 0), p AS (SELECT sentence_id, unnest({O.skeleton('annotation')}) AS s FROM latest),
+    r AS (SELECT DISTINCT sentence_id, unnest(flatten(list_transform(range(1, 9), lambda n: list_transform(range(1, len(s) - n + 2), lambda i: array_to_string(s[i:i + n - 1], '-')))) || flatten(list_transform(s, lambda v: string_split(v, ';')))) AS x FROM p),
+    f AS (SELECT x AS expression, sentence_id, row_number() OVER (PARTITION BY x ORDER BY sentence_id) AS n FROM r SEMI JOIN k USING (x)) SELECT expression, sentence_id FROM f WHERE n <= 8"""
+)
+def corpus_atom_search(t):
     return evidence.pattern_search(_latest(t), t.provider_lexemes.select(F.col("annotation").alias("expression")))
 
 

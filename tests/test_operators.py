@@ -147,3 +147,11 @@ def test_items(spark):
     assert rows(items.accepted_segmentations(seg, "k", "s", "t")) == [(0, True), (1, True), (2, False), (3, False)]
     payload = spark.createDataFrame([(1, '```json\n{"decision":"Proposed","confidence":0.5,"segmented":" a "}\n```'), (2, '{"decision":"maybe"}'), (3, None), (4, '{"decision":"failed","confidence":2}')], "k int, p string")
     assert [(r["k"], r["valid"], r["segmented"]) for r in sorted(items.parsed_payload(payload, "p", "k").collect())] == [(1, True, "a"), (2, False, ""), (3, False, ""), (4, False, "")]
+
+
+def test_pattern_search_finds_atoms(spark):
+    texts = ["akk", "x-add;akk y", "akk;add", "akkx;add", "A;cvb-dat", "A-dat", "r", None]
+    sentences = spark.createDataFrame(list(enumerate(texts)), "sentence_id int, annotation string")
+    expressions = spark.createDataFrame([("akk",), ("akk;add",), ("A",), ("A-dat",), ("dat",)], "expression string")
+    assert rows(evidence.pattern_search(sentences, expressions)) == [("A", 4), ("A", 5), ("A-dat", 5), ("akk", 0), ("akk", 1), ("akk", 2), ("akk;add", 2), ("dat", 4), ("dat", 5)]
+    assert rows(evidence.pattern_search(sentences, expressions, most=2).where("expression = 'akk'")) == [("akk", 0), ("akk", 1)]
