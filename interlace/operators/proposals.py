@@ -22,24 +22,49 @@ def missing(references: DataFrame, available: DataFrame, reference: str, key: st
     return references.where(F.col(reference).isNotNull()).join(available.select(F.col(key).alias(reference)).distinct(), reference, "left_anti")
 
 
-def hosts(lexicon: DataFrame, pos: Sequence[str]) -> DataFrame:
-    """Lexemes of the given parts of speech, each once."""
-    return lexicon.where(strip("pos").isin(*pos)).dropDuplicates(["lexeme_id"])
+def hosts(lexicon: DataFrame, pos: Sequence[str] | None = None) -> DataFrame:
+    """Lexemes of the given parts of speech, or of all, each once."""
+    return (lexicon if pos is None else lexicon.where(strip("pos").isin(*pos))).dropDuplicates(["lexeme_id"])
 
 
 def probes(lexemes: DataFrame, forms: DataFrame) -> DataFrame:
     """(lexeme_id, form_row_id, dialect_id, form_source, text, segmented, annotation): forms of a label after the lexemes of their
     dialect. Hosts with a blank part or a blank in one are left out, as are forms that aren't one segment."""
+    return _combined(_usable(lexemes), _ends(forms)).drop("label")
+
+
+def _usable(lexemes: DataFrame) -> DataFrame:
     part = {c: strip(c) for c in ("form2", "form2_seg", "annotation")}
     usable = lexemes.select("lexeme_id", "dialect_id", *[v.alias(c) for c, v in part.items()])
     for c in part:
         usable = usable.where(~F.col(c).rlike(r"(?U)\s") & (F.col(c) != ""))
-    ends = forms.select("form_row_id", "dialect_id", "form_source", "label", strip("surface").alias("surface")).where("surface <> ''").where(~F.col("surface").rlike(r"(?U)[\s\-]"))
+    return usable
+
+
+def _ends(forms: DataFrame) -> DataFrame:
+    return forms.select("form_row_id", "dialect_id", "form_source", "label", strip("surface").alias("surface")).where("surface <> ''").where(~F.col("surface").rlike(r"(?U)[\s\-]"))
+
+
+def _combined(usable: DataFrame, ends: DataFrame) -> DataFrame:
     return usable.join(ends, "dialect_id").select(
-        "lexeme_id", "form_row_id", "dialect_id", "form_source", F.concat("form2", "surface").alias("text"), F.concat_ws("-", "form2_seg", "surface").alias("segmented"), F.concat_ws("-", "annotation", "label").alias("annotation")
+        "lexeme_id", "form_row_id", "dialect_id", "form_source", F.concat("form2", "surface").alias("text"), F.concat_ws("-", "form2_seg", "surface").alias("segmented"), F.concat_ws("-", "annotation", "label").alias("annotation"), "label"
     )
 
 
+def target_probes(lexemes: DataFrame, forms: DataFrame, limit: int = 24) -> DataFrame:
+    """`probes` within the budget of each target, a label in a dialect, with `label` and `attested`.
+
+    Of the pairs in the order of lexeme and form, the first `limit` have only the first `limit` hosts of a dialect and the first `limit`
+    forms of a target; so these are taken before they meet, and no full product of a dialect is made.
+    """
+    attested = F.coalesce(F.col("form_source") == "corpus", F.lit(False))
+    ends = _ends(forms).where("label is not null").withColumn("attested", attested)
+    few = top_k(ends, ["label", "dialect_id", "attested"], [F.col("form_row_id")], limit).drop("attested")
+    rows = _combined(top_k(_usable(lexemes), ["dialect_id"], [F.col("lexeme_id")], limit), few).withColumn("attested", attested)
+    target = F.struct("label", "dialect_id")
+    return within_budget(rows.withColumn("target", target), "target", "attested", ["lexeme_id", "form_row_id"], limit).drop("target")
+
+
 def within_budget(rows: DataFrame, by: str, attested: str, order: Sequence[str], limit: int) -> DataFrame:
     """The first rows of each group up to `limit`: attested ones first, up to a third of it (8 at most, 1 at least) where there are
     others too, the rest from the others."""

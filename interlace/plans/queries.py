@@ -509,6 +509,22 @@ def probe_budget(t):
     return proposals.within_budget(rows, "dialect_id", "attested", ["lexeme_id", "form_row_id"], 24)
 
 
+_ALL_PROBES = f"""h AS (SELECT DISTINCT lexeme_id, dialect_id, {O.strip('form2')} AS form2, {O.strip('form2_seg')} AS form2_seg, {O.strip('annotation')} AS annotation FROM provider_lexemes),
+    e AS (SELECT form_row_id, dialect_id, form_source, label, {O.strip('surface')} AS surface FROM surface_forms_for_id),
+    probes AS (SELECT lexeme_id, form_row_id, e.dialect_id, form_source, label, form2 || surface AS text, form2_seg || '-' || surface AS segmented, annotation || '-' || label AS annotation FROM h JOIN e ON e.dialect_id = h.dialect_id
+        WHERE label IS NOT NULL AND surface <> '' AND NOT regexp_matches(surface, '[\\s\\p{{Z}}\\-]') AND form2 <> '' AND form2_seg <> '' AND annotation <> '' AND NOT regexp_matches(form2 || form2_seg || annotation, '[\\s\\p{{Z}}]'))"""
+
+
+@query(
+    f"""WITH {_ALL_PROBES}, c AS (SELECT *, coalesce(form_source = 'corpus', false) AS attested, row_number() OVER (PARTITION BY label, dialect_id, coalesce(form_source = 'corpus', false) ORDER BY lexeme_id, form_row_id) AS n FROM probes),
+    q AS (SELECT label, dialect_id, least(count(*) FILTER (attested), CASE WHEN count(*) FILTER (NOT attested) > 0 THEN 8 ELSE 24 END) AS q FROM c GROUP BY ALL)
+    SELECT label, dialect_id, lexeme_id, form_row_id, attested, text, segmented, annotation FROM c JOIN q USING (label, dialect_id) WHERE n <= CASE WHEN attested THEN q ELSE 24 - q END"""
+)
+def probe_targets(t):
+    """Probes of all labels and parts of speech, within the budget of each label in each dialect; the two above have one of each."""
+    return proposals.target_probes(proposals.hosts(t.provider_lexemes), t.surface_forms_for_id).select("label", "dialect_id", "lexeme_id", "form_row_id", "attested", "text", "segmented", "annotation")
+
+
 @query("SELECT label, dialect_id, surface, min(form_row_id) AS form_row_id FROM surface_forms_for_id GROUP BY ALL")
 def first_seen_dedup(t):
     return proposals.first_seen(t.surface_forms_for_id.select("label", "dialect_id", "surface", "form_row_id"), ["label", "dialect_id", "surface"], "form_row_id")

@@ -155,3 +155,20 @@ def test_pattern_search_finds_atoms(spark):
     expressions = spark.createDataFrame([("akk",), ("akk;add",), ("A",), ("A-dat",), ("dat",)], "expression string")
     assert rows(evidence.pattern_search(sentences, expressions)) == [("A", 4), ("A", 5), ("A-dat", 5), ("akk", 0), ("akk", 1), ("akk", 2), ("akk;add", 2), ("dat", 4), ("dat", 5)]
     assert rows(evidence.pattern_search(sentences, expressions, most=2).where("expression = 'akk'")) == [("akk", 0), ("akk", 1)]
+
+
+def test_target_probes_of_all_labels(spark):
+    """The first probes of each label and dialect, as from the full product."""
+    rng = random.Random(4)
+    lexemes = spark.createDataFrame([(k, k % 3, f"w{k}", f"w{k}", f"L{k}", rng.choice("nvao")) for k in range(100)], "lexeme_id int, dialect_id int, form2 string, form2_seg string, annotation string, pos string")
+    forms = spark.createDataFrame([(k, k % 4, rng.choice(["corpus", "lexicon", None]), rng.choice(["akk", "akk", "akk", "dat", "cvb", None]), f"s{k}") for k in range(200)], "form_row_id int, dialect_id int, form_source string, label string, surface string")
+    every = proposals.probes(proposals.hosts(lexemes), forms.where("label is not null"))
+    groups = {}
+    for r in every.collect():
+        groups.setdefault((r["annotation"].split("-")[1], r["dialect_id"]), ([], []))[r["form_source"] != "corpus"].append((r["lexeme_id"], r["form_row_id"]))
+    expected = set()
+    for target, (own, other) in groups.items():
+        q = min(len(own), 8 if other else 24)
+        expected |= {(*target, *p) for p in sorted(own)[:q] + sorted(other)[: 24 - q]}
+    got = [(r["label"], r["dialect_id"], r["lexeme_id"], r["form_row_id"]) for r in proposals.target_probes(proposals.hosts(lexemes), forms).collect()]
+    assert set(got) == expected and len(got) == len(expected) and {g[0] for g in got} == {"akk", "dat", "cvb"}
