@@ -2,8 +2,8 @@
 
 Each place between two tokens of a text has a strength: paragraph, line, sentence, clause, word, none; a place inside a character
 can't be cut. A sparse table gives the strongest cut in any window in two look-ups. From a piece's beginning, the window runs from
-half the limit to the limit; the strongest cut in it ends the piece, the rightmost of equals; the next piece begins the overlap's
-tokens before the cut, or before the character that would be cut in two.
+half the limit to the limit; the strongest cut in it ends the piece, the rightmost of equals. Where that is only a word's end, or
+none, a stronger cut in the half before it is taken instead, if there is one. The next piece begins the overlap's tokens before the cut, or before the character that would be cut in two.
 
 A piece's tokens are those of the whole text: places between byte-pair tokens stay places between tokens when a piece is tokenized
 alone, so a piece doesn't exceed the limit then either.
@@ -100,7 +100,12 @@ def cut(text: str, ids: np.ndarray, widths: np.ndarray, most: int, overlap: int)
     table = StrongestCut(strength, most)
     pieces, start = [], 0
     while n - start > most:
-        end, s = table.query(start + max(overlap + 1, most // 2), start + most)
+        least, middle = start + overlap + 1, start + max(overlap + 1, most // 2)
+        end, s = table.query(middle, start + most)
+        if s - 1 <= WORD_CUT and least < middle:
+            early, stronger = table.query(least, middle - 1)
+            if stronger > s:
+                end, s = early, stronger
         if s == 0:  # one character of more tokens than the window has
             end = start + most
             while end < n and not whole[end]:

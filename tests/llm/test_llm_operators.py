@@ -195,6 +195,14 @@ def test_split_edges(spark):
     assert rows(splitting.split_texts(docs.limit(0), limits)) == []
 
 
+def test_early_boundaries_beat_words(spark):
+    limits = spark.createDataFrame([("en", 16, 4)], "lang string, max_tokens int, overlap_tokens int")
+    docs = spark.createDataFrame([(0, "en", "One two three four five. " + "and so on " * 30), (1, "en", "one two three four five " + "x" * 200)], "doc_id long, lang string, text string")
+    first = {r["doc_id"]: r for r in splitting.split_texts(docs, limits).where("piece_no = 0").collect()}
+    assert first[0]["piece"].rstrip() == "One two three four five." and first[0]["cut_strength"] >= splitting.SENTENCE_CUT
+    assert first[1]["piece"].rstrip() in ("one two three four five", "one two three four") and first[1]["cut_strength"] == splitting.WORD_CUT
+
+
 def test_crf_learns_transitions():
     sequences, tags = [], []
     for _ in range(200):
