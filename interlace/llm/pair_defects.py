@@ -50,6 +50,7 @@ CUES = {
 _CUES = {k: re.compile(v, re.I) for k, v in CUES.items()}
 #: Fixed value: what somebody else said, after the words.
 REPORTED = re.compile(r"[」』]?と(?:、)?[^、。]{0,12}(?:言わ|言っ|言い|言う|断ら|答え|伝え|聞か|聞い|書か|話し)|\b(?:he|she|they|who|somebody|someone|nobody) (?:said|says|say|told|asked)\b", re.I)
+_TRAILING = re.compile(TRAILING.pattern.removesuffix("+$"))
 CLAUSE = re.compile(r"[^、。！？!?…‥\n｡､]+[、。！？!?…‥\n｡､」』）)\"”]*|[、。！？!?…‥\n｡､]+")
 _KANA, _HAN = re.compile("[ぁ-ゖァ-ヺｦ-ﾝ]"), re.compile("[㐀-鿿々]")
 _OTHER = re.compile(r"[\W_]+")
@@ -64,7 +65,7 @@ def plain(text: str | None) -> str:
 
 def is_empty(response: str | None) -> bool:
     """Nothing, or only blanks, marks or a word for nothing."""
-    return len(response or "") < 1000 and plain(response) in NOTHING
+    return plain(response) in NOTHING
 
 
 def ending(text: str) -> str:
@@ -266,4 +267,11 @@ def pair_defects(pairs: DataFrame, key: str, prompt: str, response: str, fit_row
 
 def _cut_endings(sample: list) -> list[str]:
     """Endings that the sample's answers can have when they are cut anywhere: at most its number of characters."""
-    return sorted({ending(t[:i]) for x in sample if (t := (x["r"] or "")[:400]) for i in range(3, len(t))})
+    out = set()
+    for x in sample:
+        text, end = x["r"] or "", 0
+        for i, c in enumerate(text[:-1], 1):
+            end = end if _TRAILING.match(c) else i  # of the part before i, without trailing marks
+            if i >= 3:
+                out.add(text[max(0, end - 2) : end])
+    return sorted(out)

@@ -236,3 +236,14 @@ def test_pair_defects(spark):
     assert got[2000] == got[2001] == "truncated" and got[2002] is None and all(got[k] is None for k in range(len(good)))
     assert len(got) == len(data)
     assert rows(pair_defects.pair_defects(df.limit(0), "k", "p", "r")) == []
+
+
+def test_pair_defects_of_any_length(spark):
+    """Length changes nothing: long nothing is empty, and every place where an answer can be cut has its ending looked up."""
+    nothing = [" \n" * 600, "…" * 1000, "\u200b" * 1500, "　" * 5000 + "なし"]
+    assert all(map(pair_defects.is_empty, nothing)) and not pair_defects.is_empty("舟" * 2000)
+    answers = ["舟を、見た。「塩」を買った。\n" * 3, "あ" * 450 + "塩を買った。", "。。。", "ab", "", None]
+    cut = {pair_defects.ending(t[:i]) for t in answers if t for i in range(3, len(t))}
+    assert pair_defects._cut_endings([{"r": t} for t in answers]) == sorted(cut) and "塩を" in cut
+    df = spark.createDataFrame([(k, "a b c", t) for k, t in enumerate(nothing)] + [(10 + k, f"p{k} q", "舟を見た。") for k in range(20)], "k long, p string, r string")
+    assert {r["k"] for r in pair_defects.pair_defects(df, "k", "p", "r").where("defect = 'empty'").collect()} == set(range(4))
