@@ -54,10 +54,28 @@ _TRAILING = re.compile(TRAILING.pattern.removesuffix("+$"))
 CLAUSE = re.compile(r"[^、。！？!?…‥\n｡､]+[、。！？!?…‥\n｡､」』）)\"”]*|[、。！？!?…‥\n｡､]+")
 _KANA, _HAN = re.compile("[ぁ-ゖァ-ヺｦ-ﾝ]"), re.compile("[㐀-鿿々]")
 _OTHER = re.compile(r"[\W_]+")
-_LATIN, _HANGUL, _WORD = re.compile("[A-Za-zÀ-ɏ]"), re.compile("[가-힣]"), re.compile(r"\w")
+_LATIN, _CYRILLIC, _HANGUL, _WORD = re.compile("[A-Za-zÀ-ɏ]"), re.compile("[Ѐ-ӿ]"), re.compile("[가-힣]"), re.compile(r"\w")
 _QUOTED = re.compile("「[^」]*」|『[^』]*』|“[^”]*”|\"[^\"]*\"")
 
 
+_BRACKETED = re.compile(_QUOTED.pattern + r"|（[^）]*）|\([^)]*\)|【[^】]*】|\[[^\]]*\]")
+
+
+def native_clauses(text: str) -> list[bool]:
+    """Of each clause, whether it is Japanese by its own letters outside quotation marks and brackets, where there are any. Clauses
+    without a script of their own, or of Chinese characters only, are as the others."""
+    bare = _BRACKETED.sub(lambda m: " " * len(m[0]), text)
+    if not plain(bare):
+        bare = text
+    kana = bool(_KANA.search(bare))
+    out = []
+    for m in CLAUSE.finditer(text):
+        own = bare[m.start() : m.end()]
+        other = _LATIN.search(own) or _HANGUL.search(own) or _CYRILLIC.search(own)
+        out.append(bool(_KANA.search(own)) or (kana and (bool(_HAN.search(own)) or not other)))
+    return out
+
+
 def plain(text: str | None) -> str:
     """Letters and digits only, of one width and case."""
     return _OTHER.sub("", unicodedata.normalize("NFKC", text).lower()) if text else ""
@@ -123,7 +141,7 @@ def describe(prompt: str | None, response: str | None, finished: float | None) -
     if asked and undressed and len(asked) < 4:
         echo = back = float(undressed.replace(asked, "") == "")
     clauses = CLAUSE.findall(text)
-    native = bool(_KANA.search(_QUOTED.sub("", text)))
+    native = native_clauses(text)
     spoken = bool(REPORTED.search(text))
     around = [k for k, p in _CUES.items() if p.search(text)]
     marked = text.rstrip()[-1:] in FINAL
@@ -135,14 +153,14 @@ def describe(prompt: str | None, response: str | None, finished: float | None) -
     for i, clause in enumerate(clauses):
         letters = plain(clause)
         kana, han, latin, hangul = (len(p.findall(clause)) for p in (_KANA, _HAN, _LATIN, _HANGUL))
-        own = [f"script:{max((kana + han if kana else -1, 'jp'), (han if not kana else -1, 'han'), (latin, 'latin'), (hangul, 'hangul'))[1] if letters else 'none'}", f"native:{native}"]
+        own = [f"script:{max((kana + han if kana else -1, 'jp'), (han if not kana else -1, 'han'), (latin, 'latin'), (hangul, 'hangul'))[1] if letters else 'none'}", f"native:{native[i]}"]
         own.append(f"echo:{_step(shared(letters, known) / len(letters)) if len(letters) > 2 else 'short'}")
         own.append(f"echoed:{_step(echo)}{_step(back)}")
         cues = [k for k, p in _CUES.items() if p.search(clause)]
         reported = bool(REPORTED.search(clause)) or (spoken and "「" in clause)
         own += [f"cue:{k}:{reported}" for k in cues] or ["cue:none"]
         own += [f"refuses:{refusing(around)}:{spoken}", f"copies:{copies}"]
-        if i == len(clauses) - 1 and native and not copies and not refuses:
+        if i == len(clauses) - 1 and native[i] and not copies and not refuses:
             own += ["last", f"last:marked:{marked}", f"last:finished:{'marked' if marked else _often(finished)}:{cut_off}", f"last:cut:{cut_off}", f"last:comma:{comma}"]
         else:
             own.append("inner")
@@ -155,7 +173,7 @@ def label(pair: Pair, text: str) -> list[str]:
     around = [k for k, p in _CUES.items() if p.search(_QUOTED.sub("", text))]
     spoken = bool(REPORTED.search(text))
     refuses = not spoken and refusing(around)
-    native = bool(_KANA.search(_QUOTED.sub("", text)))
+    native = native_clauses(text)
     tags = []
     for i, _ in enumerate(pair.clauses):
         last = i == len(pair.clauses) - 1
@@ -163,7 +181,7 @@ def label(pair: Pair, text: str) -> list[str]:
             tags.append("refusal")
         elif pair.echo_share >= COPIED[0] and pair.prompt_share >= COPIED[1]:
             tags.append("echo")
-        elif not native:
+        elif not native[i]:
             tags.append("foreign")
         elif last and _breaks_off(text, pair.finished):
             tags.append("unfinished")

@@ -247,3 +247,14 @@ def test_pair_defects_of_any_length(spark):
     assert pair_defects._cut_endings([{"r": t} for t in answers]) == sorted(cut) and "塩を" in cut
     df = spark.createDataFrame([(k, "a b c", t) for k, t in enumerate(nothing)] + [(10 + k, f"p{k} q", "舟を見た。") for k in range(20)], "k long, p string, r string")
     assert {r["k"] for r in pair_defects.pair_defects(df, "k", "p", "r").where("defect = 'empty'").collect()} == set(range(4))
+
+
+def test_foreign_clauses(spark):
+    """Clauses are foreign by their own letters: a gloss in brackets or one Japanese clause doesn't make an English answer Japanese."""
+    texts = [("They watched it (祭り) beside the field.", "other_language"), ("They came home late, 舟を見た。 They left the lamp near the old well.", "other_language"), ("舟を見た (the boat near the field).", None), ("昨日、舟を見た。", None), ("「舟を見た。」", None)]
+    assert pair_defects.native_clauses("舟を見た。 The boat.") == [True, False] and pair_defects.native_clauses("昨日、舟を見た。") == [True, True]
+    good = [(100 + k, f"p{k} q", f"{a}は{b}を見た。") for k, (a, b) in enumerate(itertools.product("舟塩月道風", "海山川村家"))]
+    foreign = [(200 + k, f"p{k} q", f"She saw the {w} near the well.") for k, w in enumerate(["lamp", "boat", "roof", "field", "shell", "salt"])]
+    df = spark.createDataFrame([(k, "ka mu:ba ya", t) for k, (t, _) in enumerate(texts)] + good + foreign, "k long, p string, r string")
+    got = {r["k"]: r["defect"] for r in pair_defects.pair_defects(df, "k", "p", "r").collect()}
+    assert [got[k] for k in range(len(texts))] == [d for _, d in texts]
