@@ -1,11 +1,9 @@
 """Several values packed in one field: one row per value, with its position.
 
-Method: ordinary characters and blanks of a field are masked, which leaves its delimiter skeleton; a splitting rule (the spans of
-the skeleton that hold a value, and whether quotation marks enclose them) is resolved once per distinct skeleton; the rules are
-joined back to the rows, and the values are cut out by position with built-in array functions.
-
-Every character outside quotation marks that isn't ordinary separates, whichever it is. So the skeleton folds ordinary characters
-and separators into one symbol and keeps quotation marks; a field without any has the trivial rule and needs no join.
+Method: runs of ordinary characters are masked, each to one x, and every other character stays, which leaves a field's delimiter
+skeleton; a splitting rule (the spans of the skeleton that hold a value, and whether quotation marks enclose them) is resolved once
+per distinct skeleton; the rules are broadcast and joined back to all rows, and the values are cut out by position with built-in
+array functions: a character of the skeleton is a part of the field.
 
 Defined cases: null and empty fields give no rows; empty quoted values are left out; a quotation mark without its partner
 separates; repeated rows give repeated values; an empty table gives an empty result.
@@ -22,19 +20,20 @@ from pyspark.sql import functions as F
 from interlace.plans.storage import fits, written
 
 #: The characters of an unquoted value.
-ORDINARY = r"[\p{L}\p{M}\p{Nd}:>._?]+"
+ORDINARY = r"\p{L}\p{M}\p{Nd}:>._?"
+#: A field's parts: runs of ordinary characters, and single characters of any other kind.
+PART = f"[{ORDINARY}]+|[^{ORDINARY}]"
 #: Quotation marks with the marks that may close them.
 PAIRS = {
     '"': '"', "'": "'", "＂": "＂", "＇": "＇", "“": "”", "‘": "’", "”": "”", "’": "’", "„": "“”", "‚": "‘’", "‟": "”", "‛": "’",
     "«": "»", "»": "«»", "‹": "›", "›": "‹›", "「": "」", "『": "』", "｢": "｣", "〝": "〞〟", "﹁": "﹂", "﹃": "﹄", "❝": "❞", "❛": "❜", "⹂": "”",
 }
-MARKS = "".join(sorted({c for pair in PAIRS.items() for x in pair for c in x}))
 RULE = "array<struct<first:int,last:int,quoted:boolean,doubled:boolean>>"
 
 
 def skeleton(col: Column | str) -> Column:
-    """The field with everything but quotation marks folded to x; null where no mark occurs."""
-    return F.when(F.col(col).rlike(f"[{MARKS}]") if isinstance(col, str) else col.rlike(f"[{MARKS}]"), F.regexp_replace(col, f"[^{MARKS}]+", "x"))
+    """The field with each run of ordinary characters folded to x; null for a null or empty field."""
+    return F.nullif(F.regexp_replace(col, f"[{ORDINARY}]+", "x"), F.lit(""))
 
 
 def resolve(skel: str) -> list[dict]:
@@ -76,29 +75,26 @@ def _rules(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def rules_of(df: DataFrame, fields: Sequence[str]) -> DataFrame:
-    """(skel, rule): one row per distinct skeleton with quotation marks in any of `fields`."""
+    """(skel, rule): one row per distinct skeleton in any of `fields`."""
     each = df.select(F.explode(F.array(*[skeleton(f) for f in fields])).alias("skel")).where("skel is not null").distinct()
     return written(each.mapInPandas(_rules, f"skel string, rule {RULE}"), "packed-rules")
 
 
-def values_by_rule(field: str, rule: str, parts: str) -> Column:
-    """The values of a field, cut out of its parts by the positions of its rule; without a rule, the runs of ordinary characters."""
-    p = F.col(parts)
+def values_by_rule(rule: Column, parts: Column) -> Column:
+    """The values that a rule cuts out of the parts of a field."""
 
     def cut(span: Column) -> Column:
-        whole = F.array_join(F.slice(p, span["first"] + 1, span["last"] - span["first"] + 1), "")
-        one = F.when(span["doubled"], F.replace(whole, F.lit('""'), F.lit('"'))).otherwise(whole)
-        return F.when(span["quoted"], F.array(one)).otherwise(F.regexp_extract_all(F.element_at(p, span["first"] + 1), F.lit(ORDINARY), F.lit(0)))
+        whole = F.array_join(F.slice(parts, span["first"] + 1, span["last"] - span["first"] + 1), "")
+        return F.when(~span["quoted"], F.element_at(parts, span["first"] + 1)).when(span["doubled"], F.replace(whole, F.lit('""'), F.lit('"'))).otherwise(whole)
 
-    plain = F.regexp_extract_all(F.col(field), F.lit(ORDINARY), F.lit(0))
-    return F.when(F.col(rule).isNull(), plain).otherwise(F.flatten(F.transform(F.col(rule), cut)))
+    return F.transform(rule, cut)
 
 
 def with_values(df: DataFrame, fields: dict[str, str]) -> DataFrame:
     """`df` with an array column of values for each packed field (`fields`: field -> name of the array column).
 
-    The table of rules is broadcast only if its measured size allows; beyond, the rows with quotation marks are joined by
-    shuffling and the rows without, which need no rule, go beside the join. Names in `df` may clash with nothing but the new columns.
+    The table of rules is broadcast only if its measured size allows; beyond, the rows are joined by shuffling, null fields beside
+    the join; adaptive execution splits a skeleton that many rows share. Names in `df` may clash with nothing but the new columns.
     """
     rules = rules_of(df, list(fields))
     small = fits(rules, "length(skel) * 4 + size(rule) * 16")
@@ -109,10 +105,11 @@ def with_values(df: DataFrame, fields: dict[str, str]) -> DataFrame:
         if small:
             joined = keyed.join(F.broadcast(mine), F.col("__key") == F.col("__skel"), "left")
         else:
-            marked = keyed.where("__key is not null").join(mine, F.col("__key") == F.col("__skel"), "left")
-            joined = marked.unionByName(keyed.where("__key is null").withColumns({"__skel": F.lit(None).cast("string"), "__rule": F.lit(None).cast(RULE)}))
-        parts = F.when(F.col("__rule").isNotNull(), F.regexp_extract_all(F.col(field), F.lit(f"[^{MARKS}]+|[{MARKS}]"), F.lit(0)))
-        out = joined.withColumn("__parts", parts).withColumn(name, values_by_rule(field, "__rule", "__parts")).drop("__key", "__skel", "__rule", "__parts")
+            joined = keyed.where("__key is not null").join(mine, F.col("__key") == F.col("__skel"))
+            joined = joined.unionByName(keyed.where("__key is null").withColumns({"__skel": F.lit(None).cast("string"), "__rule": F.lit(None).cast(RULE)}))
+        values = values_by_rule(F.col("__rule"), F.col("__parts"))
+        cut = joined.withColumn("__parts", F.regexp_extract_all(F.col(field), F.lit(PART), F.lit(0))).withColumn(name, F.coalesce(values, F.array().cast("array<string>")))
+        out = cut.drop("__key", "__skel", "__rule", "__parts")
     return out
 
 
