@@ -1,25 +1,26 @@
-"""Evaluation texts leaking into training text: rare n-gram seeds, then Smith-Waterman alignment.
+"""Evaluation texts leaking into training text: rare n-gram seeds join passages of documents to evaluation items, and Smith-Waterman
+alignment in bands around the seeds scores exact, partial and edited copies.
 
-Texts are reduced to their letters and digits (NFKC, lower case). The seeds are all n-grams of the evaluation items; with n = 25 a
-seed that meets a document by chance is practically unknown, so all of them are rare and none is left out. A document is probed at
-every 26th place only: any run of 50 characters holds a whole n-gram that begins at such a place. For edited copies shorter seeds are
-asked for (`short`): then every place is probed, and a short seed counts if few of all documents hold it, or if the run that it lies
-in has 25 letters, so that nothing that the long seeds meet is lost. Where a seed is met, the run is
-extended both ways, and the item is aligned with the surrounding passage by Smith-Waterman, vectorised over many pairs, which also
-scores edited copies.
+Texts are reduced to their letters and digits (NFKC, lower case). All n-grams of the items are candidates for seeds; in how many
+documents each occurs is counted over all documents. Of every stretch of `run` letters of an item the rarest n-gram of SEED letters
+is a seed, whatever its frequency, so every shared run of that length is met and nothing common is dropped; for edited copies the
+n-grams of SHORT letters that few documents and few items hold are seeds as well, and two of them that don't overlap must lie on
+neighbouring diagonals. Documents are looked through with a Bloom filter of a bounded size, and what passes is joined with the seeds
+by hash. There is one way for evaluation texts of any size, and nothing of them is collected.
 
-The seeds are sent to the tasks only if the evaluation texts' measured size allows; beyond, seeds and probes are joined by shuffling.
+A document is known by the hash of its text, so copies are aligned once, and texts meet only for pairs of a document and an item that
+seeds connect. An alignment follows a band of diagonals around its seeds, so its cost grows with the length of the passage only.
 
-Defined cases: null and empty texts leak nothing; an item or document that recurs leaks each time; an empty table gives an empty
-result; the columns besides key and text are never read.
+Defined cases: null and empty texts leak nothing; rows with a null key leak under it; an item or document that recurs leaks each
+time; an empty table gives an empty result; the columns besides key and text are never read.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
-from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -27,16 +28,24 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from interlace.plans.storage import written
-
-MATCH, MISMATCH, GAP = 2, -1, 1
-SEED = 25
-#: Evaluation texts up to so many bytes are sent to the tasks.
-SENT_BYTES = 8 * 1024 * 1024
-LANES = 128
-#: A short seed is rare in up to that share of the documents, and in up to so many documents anyway.
-RARE_SHARE, RARE_LEAST = 1 / 200, 10
-_PRIME, _SPREAD = 1_000_003, 0x9E3779B97F4A7C15
+from interlace.plans.storage import fits, written
+
+MATCH, MISMATCH, GAP = 2, -3, 3
+SEED, SHORT = 25, 8
+#: An edited copy is a leak from this score on, that of 30 equal letters.
+LEAST_SCORE = 60
+#: A short seed is rare in up to that share of the documents and of the items, and in up to so many anyway.
+RARE_SHARE, RARE_ITEMS, RARE_LEAST = 1 / 1000, 1 / 20, 10
+#: Hits whose diagonals are no further apart lie on one band; a band takes in so many diagonals, and letters of the item, on either
+#: side, and is cut where it would be wider.
+NEAR, PAD, ROWS, WIDEST = 16, 16, 256, 512
+#: Bits of the filter: so many for each n-gram, between these powers of two; at most 16 MB.
+FILTER_BITS, FILTER_LEAST, FILTER_MOST, FILTER_PROBES = 32, 20, 27, 4
+#: Copies of the seed table that a hot seed's hits are spread over.
+SALTS = 16
+CHARS = 2_000_000  # letters hashed at a time; a longer text is hashed alone
+CELLS = 32_768  # cells of a row of bands aligned at a time
+_PRIME, _SPREAD, _MIX = 1_000_003, 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9
 
 _OTHER = re.compile(r"[\W_]+")
 
@@ -46,215 +55,351 @@ def plain(text: str | None) -> str:
     return _OTHER.sub("", unicodedata.normalize("NFKC", text).lower()) if text else ""
 
 
-def run_around(a: str, b: str, i: int, j: int) -> tuple[int, int]:
-    """Where in `a` the run of characters that `a` and `b` share around a[i], b[j] begins, and its length."""
-    lo = 0
-    while lo < i and lo < j and a[i - lo - 1] == b[j - lo - 1]:
-        lo += 1
-    hi, most = 0, min(len(a) - i, len(b) - j)
-    while hi < most and a[i + hi] == b[j + hi]:
-        hi += 1
-    return i - lo, lo + hi
-
-
-def _hashes(text: str, n: int, bits: int) -> np.ndarray:
-    """A number of so many bits for each n-gram of the text."""
-    codes = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.uint64)
-    m = len(codes) - n + 1
-    h = np.zeros(max(m, 0), np.uint64)
-    for i in range(n if m > 0 else 0):
-        h *= np.uint64(_PRIME)
-        h += codes[i : i + m]
-    return (h * np.uint64(_SPREAD)) >> np.uint64(64 - bits)
-
-
-def _sieve(texts: list[str], n: int) -> np.ndarray:
-    """Marks the hashes of all n-grams of the texts; sixteen places or more for each."""
-    bits = max(16, (16 * sum(map(len, texts))).bit_length())
-    out = np.zeros(1 << bits, np.bool_)
-    for t in texts:
-        out[_hashes(t, n, bits)] = True
-    return out
-
+@lru_cache(maxsize=1)
+def _kept() -> np.ndarray:
+    """Of every code point, whether `plain` keeps it."""
+    return np.array([chr(c).isalnum() for c in range(0x110000)])
+
+
+def letters_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The letters of the plain forms of all texts in one array, and where each text's begin and the last ends."""
+    lines = np.cumsum([0] + [t.count("\n") + 1 for t in texts])  # normalising neither makes nor takes away line ends
+    codes = np.frombuffer((unicodedata.normalize("NFKC", "\n".join(texts)).lower() + "\n").encode("utf-32-le", "surrogatepass"), np.uint32)
+    kept = _kept()[codes]
+    before = np.cumsum(kept) - kept
+    ends = np.flatnonzero(codes == 10)
+    starts = np.r_[0, before[ends[lines[1:] - 1]]]
+    return codes[kept], starts
+
+
+def hashes(codes: np.ndarray, n: int) -> np.ndarray:
+    """A 64-bit number for each n-gram, put together from those of halves."""
+    if len(codes) < n:
+        return np.empty(0, np.uint64)
+    whole, done = None, 0
+    power, size = codes.astype(np.uint64) + np.uint64(1), 1
+    while True:
+        if n & size:
+            m = len(codes) - (done + size) + 1
+            part = power[done : done + m] if done else power[:m]
+            whole = part.copy() if whole is None else whole[:m] * np.uint64(pow(_PRIME, size, 1 << 64)) + part
+            done += size
+        if done == n:
+            break
+        power = power[: len(power) - size] * np.uint64(pow(_PRIME, size, 1 << 64)) + power[size:]
+        size *= 2
+    whole += np.uint64(n)
+    whole *= np.uint64(_SPREAD)
+    whole ^= whole >> np.uint64(32)
+    whole *= np.uint64(_MIX)
+    whole ^= whole >> np.uint64(29)
+    return whole
+
+
+def _bits_of(h: np.ndarray, bits: int, probe: int) -> np.ndarray:
+    return (h * np.uint64(2 * probe + 1) + np.uint64(probe)) >> np.uint64(64 - bits) if probe else h >> np.uint64(64 - bits)
+
+
+def passing(h: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """Places of the numbers that the filter lets through: all that it was made of, and few others."""
+    bits = (len(words) * 64).bit_length() - 1
+    at = None
+    for probe in range(FILTER_PROBES):
+        bit = _bits_of(h if at is None else h[at], bits, probe)
+        ok = (words[bit >> np.uint64(6)] >> (bit & np.uint64(63))) & np.uint64(1) != 0
+        at = np.flatnonzero(ok) if at is None else at[ok]
+    return at
+
+
+def _filter(seeds: DataFrame) -> Broadcast:
+    """The Bloom filter of a table's hashes, as 64-bit words."""
+    n = seeds.count()
+    bits = min(FILTER_MOST, max(FILTER_LEAST, (FILTER_BITS * max(n, 1) - 1).bit_length()))
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            h = np.asarray(batch.column(0)).view(np.uint64)
+            bit = np.concatenate([_bits_of(h, bits, k) for k in range(FILTER_PROBES)])
+            word, inverse = np.unique(bit >> np.uint64(6), return_inverse=True)
+            value = np.zeros(len(word), np.uint64)
+            np.bitwise_or.at(value, inverse, np.uint64(1) << (bit & np.uint64(63)))
+            yield pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(value.view(np.int64))], ["word", "value"])
+
+    found = seeds.select("h").mapInArrow(mark, "word long, value long").groupBy("word").agg(F.bit_or("value").alias("value")).toArrow()
+    words = np.zeros(1 << (bits - 6), np.uint64)
+    words[np.asarray(found.column(0))] = np.asarray(found.column(1)).view(np.uint64)
+    return seeds.sparkSession.sparkContext.broadcast(words)
+
+
+def _stretches(texts: pa.Array) -> Iterator[tuple[int, list[str]]]:
+    """Runs of texts of at most CHARS letters together, or single ones, each with the number of its first."""
+    part: list[str] = []
+    first = size = 0
+    for k, t in enumerate(texts):
+        t = t.as_py()
+        if part and size + len(t) > CHARS:
+            yield first, part
+            part, first, size = [], k, 0
+        part.append(t)
+        size += len(t)
+    if part:
+        yield first, part
+
+
+def _hits(texts: pa.Array, sizes: tuple[int, ...], words: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(text number, place, hash) of the n-grams that pass the filter."""
+    for first, part in _stretches(texts):
+        codes, starts = letters_of(part)
+        for n in sizes:
+            h = hashes(codes, n)
+            at = passing(h, words)
+            text = np.searchsorted(starts, at, "right") - 1
+            inside = at + n <= starts[text + 1]
+            at, text = at[inside], text[inside]
+            yield first + text, at - starts[text], h[at]
+
+
+def _seeds(held: DataFrame, sizes: tuple[int, ...]) -> DataFrame:
+    """(h, size, item_no, j): every n-gram of every item."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for no, t in zip(batch.column(0).to_pylist(), batch.column(1)):
+                codes = np.frombuffer(t.as_py().encode("utf-32-le", "surrogatepass"), np.uint32)
+                for n in sizes:
+                    h = hashes(codes, n)
+                    yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(np.full(len(h), n, np.int32)), pa.array(np.full(len(h), no, np.int64)), pa.array(np.arange(len(h), dtype=np.int32))], ["h", "size", "item_no", "j"])
 
-def _places(text: str, n: int, step: int, sieve: np.ndarray | None) -> Iterable[int]:
-    """Where n-grams are looked up: all those that the sieve lets through, or every step-th."""
-    if sieve is None:
-        return range(0, len(text) - n + 1, step)
-    return np.flatnonzero(sieve[_hashes(text, n, len(sieve).bit_length() - 1)]).tolist()
+    return held.select("item_no", "plain").mapInArrow(cut, "h long, size int, item_no long, j int")
 
 
-def _codes(texts: list[str], fill: int) -> np.ndarray:
-    """The characters of the texts, a column each."""
-    out = np.full((max(map(len, texts)), len(texts)), fill, np.int32)
-    for k, t in enumerate(texts):
-        out[: len(t), k] = np.frombuffer(t.encode("utf-32-le"), np.int32)
-    return out
+def _document_counts(docs: DataFrame, sizes: tuple[int, ...], sent: Broadcast) -> DataFrame:
+    """(h, n): in how many documents each n-gram that passes the filter occurs, over all documents; all documents under a null."""
 
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept = [(np.empty(0, np.int64), np.empty(0, np.uint64))] + [(text, h) for text, _, h in _hits(batch.column(0), sizes, sent.value)]
+            text, h = (np.concatenate(c) for c in zip(*kept))
+            order = np.lexsort((text, h))
+            text, h = text[order], h[order]
+            fresh = np.r_[True, (h[1:] != h[:-1]) | (text[1:] != text[:-1])][: len(h)]
+            known, n = np.unique(h[fresh], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array([None, *known.view(np.int64).tolist()], pa.int64()), pa.array(np.r_[batch.num_rows, n].astype(np.int64))], ["h", "n"])
+
+    return docs.select("text").mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+
+
+def rarest(counts: np.ndarray, window: int) -> np.ndarray:
+    """Places that hold the least count of any window of so many places; every window has one."""
+    if len(counts) < window:
+        return np.empty(0, np.int64)
+    windows = np.lib.stride_tricks.sliding_window_view(counts, window)
+    found = [np.unique(lo + np.arange(len(part)) + part.argmin(axis=1)) for lo in range(0, len(windows), 65_536) if len(part := windows[lo : lo + 65_536])]
+    return np.unique(np.concatenate(found))
+
+
+def _chosen(seeds: DataFrame, counts: DataFrame, n_items: int, run: int) -> DataFrame:
+    """(h, size, item_no, js): the seeds, with the places of the item where each stands."""
+    total = counts.where("h is null").agg(F.sum("n")).first()[0] or 0
+    known = seeds.join(counts.where("h is not null"), "h", "left").na.fill(0, ["n"])
+    short = known.where(F.col("size") == SHORT).where(F.col("n").between(1, max(RARE_LEAST, RARE_SHARE * total)))
+    spread = short.groupBy("h").agg(F.count_distinct("item_no").alias("m")).where(F.col("m") <= max(RARE_LEAST, RARE_ITEMS * n_items))
+    few = short.join(spread.select("h"), "h", "left_semi").groupBy("h", "size", "item_no").agg(F.collect_list("j").alias("js"))
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for no, places in zip(batch.column(0).to_pylist(), batch.column(1)):
+                h, j, n = (np.asarray(places.values.field(c)) for c in ("h", "j", "n"))
+                order = np.argsort(j)
+                at = order[rarest(n[order], run - SEED + 1)]
+                at = at[n[at] > 0]  # in no document
+                own: dict[int, list[int]] = {}
+                for x, y in zip(h[at].tolist(), j[at].tolist()):
+                    own.setdefault(x, []).append(y)
+                yield pa.RecordBatch.from_arrays([pa.array(list(own), pa.int64()), pa.array([SEED] * len(own), pa.int32()), pa.array([no] * len(own), pa.int64()), pa.array(list(own.values()), pa.list_(pa.int32()))], ["h", "size", "item_no", "js"])
 
-def smith_waterman(pairs: list[tuple[str, str]]) -> list[int]:
-    """Best local alignment score of each pair of non-empty texts; a diagonal of all tables at a time."""
-    scores = [0] * len(pairs)
-    order = sorted(range(len(pairs)), key=lambda k: (len(pairs[k][0]), len(pairs[k][1])))
-    for lo in range(0, len(order), LANES):
-        part = order[lo : lo + LANES]
-        a, b = _codes([pairs[k][0] for k in part], -1), _codes([pairs[k][1] for k in part], -2)[::-1].copy()
-        n, m = len(a), len(b)
-        kind = np.int16 if MATCH * min(n, m) < 30_000 else np.int32
-        if max(a.max(), b.max()) < 0xFFFE:
-            a, b = a.astype(np.uint16), b.astype(np.uint16)  # the fillings stay two that nothing else is
-        older, old, new = (np.zeros((n + 1, len(part)), kind) for _ in range(3))  # row i + 1: the cell of a[i]
-        best = np.zeros((n, len(part)), kind)
-        for d in range(n + m - 1):
-            first, end = max(0, d - m + 1), min(n, d + 1)
-            at = m - 1 - d
-            now = new[first + 1 : end + 1]
-            np.multiply(a[first:end] == b[at + first : at + end], kind(MATCH - MISMATCH), out=now)
-            now += older[first:end]
-            now += kind(MISMATCH)
-            gap = np.maximum(old[first:end], old[first + 1 : end + 1])
-            gap -= kind(GAP)
-            np.maximum(now, gap, out=now)
-            np.maximum(now, kind(0), out=now)
-            np.maximum(best[first:end], now, out=best[first:end])
-            older, old, new = old, new, older
-        for k, s in zip(part, best.max(axis=0).tolist()):
-            scores[k] = s
-    return scores
+    by_item = known.where(F.col("size") == SEED).groupBy("item_no").agg(F.collect_list(F.struct("h", "j", "n")).alias("places"))
+    return written(by_item.mapInArrow(pick, few.schema).unionByName(few), "chosen-seeds")
 
 
-def _window(doc: str, item: str, doc_at: int, item_at: int) -> str:
-    """The passage of the document that the whole item would cover, and a quarter of its length on either side."""
-    pad = len(item) // 4
-    begin = doc_at - item_at
-    return doc[max(0, begin - pad) : begin + len(item) + pad]
+def _probes(docs: DataFrame, sizes: tuple[int, ...], sent: Broadcast) -> DataFrame:
+    """(d1, d2, h, is): the seeds of each document, with the places where they stand. Of short seeds only, a document needs two that
+    don't overlap."""
 
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for text, at, h in _by_text(batch.column(2), sizes, sent.value):
+                order = np.lexsort((at, h, text))
+                text, at, h = text[order], at[order], h[order]
+                first = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (text[1:] != text[:-1])][: len(h)])
+                lists = pa.ListArray.from_arrays(pa.array(np.r_[first, len(h)].astype(np.int32)), pa.array(at.astype(np.int32)))
+                no = pa.array(text[first])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(no), batch.column(1).take(no), pa.array(h[first].view(np.int64)), lists], ["d1", "d2", "h", "is"])
+
+    return docs.select("d1", "d2", "text").mapInArrow(find, "d1 long, d2 long, h long, is array<int>")
+
+
+def _by_text(texts: pa.Array, sizes: tuple[int, ...], words: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The hits of all sizes in the texts that can leak."""
+    stretch: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    for k, found in enumerate(_hits(texts, sizes, words)):
+        stretch.append(found)
+        if (k + 1) % len(sizes) == 0:
+            text, at, h = (np.concatenate(c) for c in zip(*stretch))
+            if len(text):
+                names, own = np.unique(text, return_inverse=True)
+                least, most = np.full(len(names), 1 << 60), np.full(len(names), -1)
+                np.minimum.at(least, own, at)
+                np.maximum.at(most, own, at)
+                sure = np.zeros(len(names), bool)
+                sure[np.searchsorted(names, stretch[0][0])] = True  # the first size is SEED
+                good = (sure | (most - least >= SHORT))[own]
+                yield text[good], at[good], h[good]
+            stretch = []
+
+
+def bands(i: np.ndarray, j: np.ndarray, sure: np.ndarray) -> list[tuple[int, int, int, int]]:
+    """(first diagonal, last, first letter of the item, last) around hits at document places i and item places j, where one of them
+    is sure, or two don't overlap."""
+    out = []
+    d = i - j
+    order = np.argsort(d, kind="stable")
+    d, j, sure = d[order], j[order], sure[order]
+    edges = np.flatnonzero(np.r_[True, d[1:] - d[:-1] > NEAR, True])
+    for lo, hi in zip(edges[:-1], edges[1:]):
+        at = lo
+        while at < hi:  # cut where it would be too wide, half a width on
+            end = int(np.searchsorted(d[lo:hi], d[at] + WIDEST, "right")) + lo
+            if sure[at:end].any() or j[at:end].max() - j[at:end].min() >= SHORT:
+                out.append((int(d[at]), int(d[end - 1]), int(j[at:end].min()), int(j[at:end].max())))
+            if end >= hi:
+                break
+            at = int(np.searchsorted(d[lo:hi], d[at] + WIDEST // 2, "right")) + lo
+    return out
 
-def _result(rows: list[tuple], doc_type: pa.DataType, item_type: pa.DataType, names: list[str]) -> pa.RecordBatch:
-    scores = smith_waterman([(r[3], r[4]) for r in rows])
-    columns = [pa.array([r[0] for r in rows], doc_type), pa.array([r[1] for r in rows], item_type), pa.array([r[2] for r in rows], pa.int64()), pa.array(scores, pa.int64()), pa.array([round(s / (MATCH * len(r[3])), 4) for s, r in zip(scores, rows)], pa.float64())]
-    return pa.RecordBatch.from_arrays(columns, names)
 
+def longest_run(doc: np.ndarray, item: np.ndarray, diagonals: np.ndarray) -> int:
+    """Of equal letters on any of the diagonals."""
+    best = 0
+    for d in diagonals.tolist():
+        lo, hi = max(0, -d), min(len(item), len(doc) - d)
+        differ = np.flatnonzero(np.r_[True, item[lo:hi] != doc[lo + d : hi + d], True])
+        best = max(best, int(np.diff(differ).max()) - 1)
+    return best
+
+
+def smith_waterman(passages: list[tuple[np.ndarray, np.ndarray, int]]) -> list[int]:
+    """Best local alignment score of each passage: letters of an item, letters of a document, and a number of diagonals. Letter r of
+    the item meets the document's letters r to r + diagonals - 1. One row of many bands at a time."""
+    scores = [0] * len(passages)
+    order = sorted((k for k, p in enumerate(passages) if len(p[0])), key=lambda k: (passages[k][2], len(passages[k][0])))
+    at = 0
+    while at < len(order):
+        width = passages[order[at]][2]
+        part = [order[at]]
+        while at + len(part) < len(order) and passages[order[at + len(part)]][2] <= width * 2 and (len(part) + 1) * passages[order[at + len(part)]][2] <= CELLS:
+            part.append(order[at + len(part)])
+        at += len(part)
+        width = max(passages[k][2] for k in part)
+        rows = max(len(passages[k][0]) for k in part)
+        item, doc = np.full((rows, len(part)), 0xFFFFFFFF, np.uint32), np.full((rows + width - 1, len(part)), 0xFFFFFFFE, np.uint32)
+        inside = np.zeros((width, len(part)), bool)
+        for c, k in enumerate(part):
+            a, b, w = passages[k]
+            item[: len(a), c] = a
+            doc[: len(b), c] = b
+            inside[:w, c] = True
+        slope = (np.arange(width, dtype=np.int32) * GAP)[:, None]
+        h = np.zeros((width + 1, len(part)), np.int32)  # the last row stands for the diagonal beyond
+        best = np.zeros((width, len(part)), np.int32)
+        new = np.empty((width, len(part)), np.int32)
+        for r in range(rows):
+            np.multiply(doc[r : r + width] == item[r], np.int32(MATCH - MISMATCH), out=new)
+            new += h[:-1]
+            new += np.int32(MISMATCH)
+            np.maximum(new, h[1:] - np.int32(GAP), out=new)
+            np.maximum(new, 0, out=new)
+            new *= inside
+            new += slope
+            np.maximum.accumulate(new, axis=0, out=new)
+            new -= slope
+            new *= inside
+            h[:-1] = new
+            np.maximum(best, new, out=best)
+        for k, s in zip(part, best.max(axis=0).tolist()):
+            scores[k] = s
+    return scores
 
-def leaks(documents: DataFrame, items: DataFrame, doc_key: str = "doc_id", item_key: str = "item_id", text: str = "text", run: int = 50, sent_bytes: int = SENT_BYTES, short: int | None = None) -> DataFrame:
-    """({doc_key}, {item_key}, longest_run, score, item_share): each document and each item of which it holds a seed that is probed.
 
-    Every shared run of `run` letters and digits holds such a seed, shorter ones by chance. With `short`, every shared run of SEED
-    letters and digits counts, and every rare one of `short`. longest_run: the longest such run, exact from `run` on, or always; score: of the local alignment
-    (2 a match, -1 a mismatch or gap); item_share: score against that of a whole, unchanged copy. Rows with a null key leak under it. The two keys need different names.
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+def _passage(doc: np.ndarray, item: np.ndarray, band: tuple[int, int, int, int]) -> tuple[np.ndarray, np.ndarray, int]:
+    """What a band aligns, with its margins."""
+    first, last, j0, j1 = band
+    first, last = first - PAD, last + PAD
+    lo, hi = max(0, j0 - ROWS), min(len(item), j1 + SEED + ROWS)
+    a, b = lo + first, hi - 1 + last + 1
+    before = max(0, -a)
+    out = np.full(b - a, 0xFFFFFFFE, np.uint32)
+    own = doc[max(0, a) : max(0, b)]
+    out[before : before + len(own)] = own
+    return item[lo:hi], out, last - first + 1
+
+
+def _aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per document and item, from the plain item, the text and the seeds they share: the longest run, the best score."""
+    names = ["d1", "d2", "item_no", "longest_run", "score", "item_share"]
+    for batch in batches:
+        for lo in range(0, batch.num_rows, 1024):
+            part = batch.slice(lo, 1024)
+            rows, passages = [], []
+            last: tuple[str, np.ndarray] = ("", np.empty(0, np.uint32))
+            for d1, d2, no, item, text, met in zip(*[part.column(c).to_pylist() for c in ("d1", "d2", "item_no", "plain", "text", "met")]):
+                if last[0] is not text and last[0] != text:
+                    last = (text, _codes(plain(text)))
+                doc, own = last[1], _codes(item)
+                i = np.concatenate([np.repeat(m["is"], len(m["js"])) for m in met]).astype(np.int64)
+                j = np.concatenate([np.tile(m["js"], len(m["is"])) for m in met]).astype(np.int64)
+                sure = np.concatenate([np.full(len(m["is"]) * len(m["js"]), m["size"] == SEED) for m in met])
+                found = bands(i, j, sure)
+                rows.append((d1, d2, no, longest_run(doc, own, np.unique(i - j)) if found else 0, len(own), len(passages), len(found)))
+                passages += [_passage(doc, own, b) for b in found]
+            scores = smith_waterman(passages)
+            best = [max(scores[r[5] : r[5] + r[6]], default=0) for r in rows]
+            columns = [*zip(*[r[:4] for r in rows])] or [[]] * 4
+            yield pa.RecordBatch.from_arrays([*[pa.array(c, pa.int64()) for c in columns], pa.array(best, pa.int64()), pa.array([round(s / (MATCH * r[4]), 4) for s, r in zip(best, rows)], pa.float64())], names)
+
+
+def leaks(documents: DataFrame, items: DataFrame, doc_key: str = "doc_id", item_key: str = "item_id", text: str = "text", run: int = 50, edited: bool = False) -> DataFrame:
+    """({doc_key}, {item_key}, longest_run, score, item_share): each document and each item that share a run of `run` letters and
+    digits; with `edited` also those whose alignment, through two rare seeds at least, scores LEAST_SCORE.
+
+    longest_run: the longest shared run on the seeds' diagonals, exact from `run` on; score: of the best local alignment (2 a match, -3
+    a mismatch or gap) in a band around seeds; item_share: score against that of a whole, unchanged copy. Rows with a null key leak
+    under it. The two keys need different names.
     """
     if doc_key == item_key:
         raise ValueError("the keys of documents and items need different names")
     if run < SEED:
         raise ValueError(f"runs under {SEED} letters and digits hold no seed")
-    spark = documents.sparkSession
-    if short is not None and not 0 < short <= SEED:
-        raise ValueError(f"short seeds have 1 to {SEED} letters and digits")
-    size, step = (SEED, run - SEED + 1) if short is None else (short, 1)
-    docs = documents.select(doc_key, text).where(f"{text} is not null")
-    few = items.select(item_key, text).where(f"{text} is not null")
-    doc_type, item_type = (documents.schema[doc_key].dataType, items.schema[item_key].dataType)
-    schema = f"{doc_key} {doc_type.simpleString()}, {item_key} {item_type.simpleString()}, longest_run long, score long, item_share double"
-    if (few.agg(F.sum(F.octet_length(text))).first()[0] or 0) > sent_bytes:
-        return _leaks_by_join(docs, few, doc_key, item_key, text, size, step, schema)
-
-    held = [(r[0], plain(r[1])) for r in few.collect()]
-    seeds: dict[str, list[tuple[int, int]]] = {}
-    for k, (_, t) in enumerate(held):
-        for at in range(len(t) - size + 1):
-            seeds.setdefault(t[at : at + size], []).append((k, at))
-    sent = spark.sparkContext.broadcast((held, seeds, None if short is None else _sieve([t for _, t in held], size)))
-    common = spark.sparkContext.broadcast(frozenset() if short is None else _common(docs.select(text), sent, size))
-    names = [doc_key, item_key, "longest_run", "score", "item_share"]
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark.sql.pandas.types import to_arrow_type
-
-        held, seeds, sieve = sent.value
-        get, often = seeds.get, common.value
-        for batch in batches:
-            rows = []
-            for key, t in zip(batch.column(0).to_pylist(), batch.column(1)):
-                doc = plain(t.as_py())
-                best: dict[int, tuple[int, int, int]] = {}
-                runs: dict[tuple[int, int], tuple[int, int]] = {}
-                for i in _places(doc, size, step, sieve):
-                    seed = doc[i : i + size]
-                    for k, j in get(seed, ()):
-                        end, length = runs.get((k, i - j), (-1, 0))
-                        if end < i:
-                            begin, length = run_around(doc, held[k][1], i, j)
-                            runs[k, i - j] = (begin + length - 1, length)
-                        if (length >= SEED or seed not in often) and (k not in best or length > best[k][0]):
-                            best[k] = (length, i, j)
-                rows += [(key, held[k][0], length, held[k][1], _window(doc, held[k][1], i, j)) for k, (length, i, j) in best.items()]
-            yield _result(rows, to_arrow_type(doc_type), to_arrow_type(item_type), names)
-
-    return docs.mapInArrow(scan, schema)
-
-
-def _most_documents(n: int) -> float:
-    return max(RARE_LEAST, RARE_SHARE * n)
-
-
-def _common(texts: DataFrame, sent: Broadcast, size: int) -> frozenset[str]:
-    """The seeds that too many of all documents hold."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _, seeds, sieve = sent.value
-        for batch in batches:
-            n: Counter[str] = Counter()
-            for t in batch.column(0):
-                doc = plain(t.as_py())
-                n.update({s for i in _places(doc, size, 1, sieve) if (s := doc[i : i + size]) in seeds})
-            n[""] = batch.num_rows
-            yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], ["seed", "n"])
-
-    counted = written(texts.mapInArrow(count, "seed string, n long").groupBy("seed").agg(F.sum("n").alias("n")), "seeds")
-    total = counted.where("seed = ''").agg(F.sum("n")).first()[0] or 0
-    return frozenset(r[0] for r in counted.where((F.col("seed") != "") & (F.col("n") > _most_documents(total))).select("seed").collect())
-
-
-def _leaks_by_join(docs: DataFrame, items: DataFrame, doc_key: str, item_key: str, text: str, size: int, step: int, schema: str) -> DataFrame:
-    """The same where the evaluation texts are too large for each task: seeds and probes meet by a shuffled join."""
-    doc_type, item_type = docs.schema[doc_key].dataType, items.schema[item_key].dataType
-
-    def grams(every: int):
-        def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                seeds, keys, places = [], [], []
-                for key, t in zip(batch.column(0).to_pylist(), batch.column(1)):
-                    p = plain(t.as_py())
-                    found = range(0, len(p) - size + 1, every)
-                    seeds += [p[i : i + size] for i in found]
-                    keys += [key] * len(found)
-                    places += found
-                yield pa.RecordBatch.from_arrays([pa.array(seeds, pa.string()), pa.array(keys, batch.column(0).type), pa.array(places, pa.int64())], ["seed", "key", "place"])
-
-        return cut
-
-    probes = docs.mapInArrow(grams(step), f"seed string, key {doc_type.simpleString()}, place long").select("seed", F.col("key").alias("d"), F.col("place").alias("i"))
-    seeds = items.mapInArrow(grams(1), f"seed string, key {item_type.simpleString()}, place long").select("seed", F.col("key").alias("k"), F.col("place").alias("j"))
-    met = probes.join(seeds, "seed").withColumn("common", F.lit(False))
-    if size < SEED:
-        met = written(met.drop("common"), "seeds")
-        often = met.groupBy("seed").agg(F.count_distinct("d").alias("n")).where(F.col("n") > _most_documents(docs.count())).select("seed", F.lit(True).alias("common"))
-        met = met.join(often, "seed", "left").na.fill({"common": False})
-    hits = met.groupBy("d", "k", (F.col("i") - F.col("j")).alias("diagonal")).agg(F.collect_list(F.struct("i", "common")).alias("i"))
-    texts = hits.join(docs.select(F.col(doc_key).alias("d"), F.col(text).alias("doc")), "d").join(items.select(F.col(item_key).alias("k"), F.col(text).alias("item")), "k").select("d", "k", "diagonal", "i", "doc", "item")
-    names = [doc_key, item_key, "longest_run", "score", "item_share"]
-
-    def aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for r in batch.to_pylist():
-                doc, item = plain(r["doc"]), plain(r["item"])
-                each = [(run_around(doc, item, x["i"], x["i"] - r["diagonal"])[1], x["i"], x["common"]) for x in r["i"]]
-                kept = [(length, i) for length, i, often in each if length >= SEED or not often]
-                if kept:
-                    length, i = max(kept)
-                    rows.append((r["d"], r["k"], length, item, _window(doc, item, i, i - r["diagonal"])))
-            yield _result(rows, batch.schema.field("d").type, batch.schema.field("k").type, names)
-
-    each = texts.mapInArrow(aligned, schema)
-    return each.groupBy(doc_key, item_key).agg(F.max("longest_run").alias("longest_run"), F.max("score").alias("score"), F.max("item_share").alias("item_share"))
+    sizes = (SEED, SHORT) if edited else (SEED,)
+    plain_of = F.pandas_udf(lambda texts: texts.map(plain), "string")
+    docs = documents.where(F.col(text).isNotNull()).select(F.col(doc_key).alias("key"), F.col(text).alias("text"), F.xxhash64(text).alias("d1"), F.xxhash64(F.lit(1), text).alias("d2"))
+    held = written(items.where(F.col(text).isNotNull()).select(F.monotonically_increasing_id().alias("item_no"), F.col(item_key).alias("item_key"), plain_of(F.col(text)).alias("plain")), "eval-items")
+    seeds = written(_seeds(held, sizes), "eval-seeds")
+    counts = written(_document_counts(docs, sizes, _filter(seeds)), "seed-counts")
+    chosen = _chosen(seeds, counts, held.count(), run)
+    salted = chosen.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    probes = _probes(docs, sizes, _filter(chosen)).withColumn("salt", F.pmod("d2", F.lit(SALTS)).cast("int"))
+    met = probes.join(salted, ["h", "salt"]).groupBy("d1", "d2", "item_no").agg(F.collect_list(F.struct("is", "js", "size")).alias("met"))
+    ample = F.exists("met", lambda m: m["size"] == SEED) | (F.array_max(F.transform("met", lambda m: F.array_max(m["js"]))) - F.array_min(F.transform("met", lambda m: F.array_min(m["js"]))) >= SHORT)
+    pairs = written(met.where(ample), "met-seeds")
+    ids = pairs.select("d1", "d2").distinct()
+    leaking = written(docs.join(F.broadcast(ids) if fits(ids, "16") else ids, ["d1", "d2"], "left_semi"), "leaking-documents")
+    texts = leaking.groupBy("d1", "d2").agg(F.any_value("text").alias("text"))
+    aligned = pairs.join(texts, ["d1", "d2"]).join(held.select("item_no", "plain"), "item_no").mapInArrow(_aligned, "d1 long, d2 long, item_no long, longest_run long, score long, item_share double")
+    found = aligned.where(((F.col("longest_run") >= run) & (F.col("score") >= MATCH * run)) | (F.col("score") >= LEAST_SCORE if edited else F.lit(False)))
+    named = found.join(leaking.select("d1", "d2", "key"), ["d1", "d2"]).join(held.select("item_no", "item_key"), "item_no")
+    return named.select(F.col("key").alias(doc_key), F.col("item_key").alias(item_key), "longest_run", "score", "item_share")

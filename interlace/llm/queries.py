@@ -86,12 +86,12 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p7_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Edited copies too: every shared run of 25 letters and digits, and every rare one of 12."""
-    return leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "eval_items"), short=12)
+    """Edited copies too."""
+    return leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "eval_items"), edited=True)
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "eval_items")).where("longest_run >= 50").select("doc_id", "item_id")
+    return leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "eval_items")).select("doc_id", "item_id")
 
 
 def p8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -113,30 +113,109 @@ def test_lookalikes(spark):
     assert rows(lookalikes.lookalike_pairs(df, "k", ["text"])) == [] == rows(lookalikes.lookalike_pairs(df.limit(0), "k", ["text"]))
 
 
-def test_smith_waterman():
-    def slow(a, b):
-        h = np.zeros((len(a) + 1, len(b) + 1), int)
+def test_smith_waterman_in_bands():
+    """All diagonals give the whole table's score; fewer give that of the cells on them."""
+
+    def slow(a, b, width):
+        h = np.full((len(a) + 1, len(b) + 1), 0)
         for i in range(1, len(a) + 1):
             for j in range(1, len(b) + 1):
-                h[i, j] = max(0, h[i - 1, j - 1] + (2 if a[i - 1] == b[j - 1] else -1), h[i - 1, j] - 1, h[i, j - 1] - 1)
-        return h.max()
-
-    pairs = [("".join(RNG.choice("ab漢") for _ in range(RNG.randrange(1, 25))), "".join(RNG.choice("ab漢") for _ in range(RNG.randrange(1, 25)))) for _ in range(130)]
-    assert leakage.smith_waterman(pairs) == [slow(a, b) for a, b in pairs] and leakage.smith_waterman([]) == []
-
-
-def test_leaks(spark):
+                if 0 <= j - i < width:
+                    side = h[i, j - 1] - 3 if j - 1 - i >= 0 else 0
+                    over = h[i - 1, j] - 3 if j - i + 1 < width else 0
+                    h[i, j] = max(0, h[i - 1, j - 1] + (2 if a[i - 1] == b[j - 1] else -3), side, over)
+        return int(h.max())
+
+    passages = []
+    for _ in range(150):
+        a = np.array([RNG.randrange(3) for _ in range(RNG.randrange(1, 25))], np.uint32)
+        width = RNG.randrange(1, 12)
+        passages.append((a, np.array([RNG.randrange(3) for _ in range(len(a) + width - 1)], np.uint32), width))
+    assert leakage.smith_waterman(passages) == [slow(*p) for p in passages] and leakage.smith_waterman([]) == []
+
+
+def test_letters_and_hashes():
+    texts = ["Ａb, c\nd\n", "", "…", "ｶﾞΣ", "x_yΣ"]
+    codes, starts = leakage.letters_of(texts)
+    assert ["".join(map(chr, codes[a:b])) for a, b in zip(starts, starts[1:])] == [leakage.plain(t) for t in texts] == ["abcd", "", "", "ガσ", "xyς"]
+    codes = np.array([RNG.randrange(4) for _ in range(300)], np.uint32)
+    for n in (1, 7, 8, 25):
+        h = leakage.hashes(codes, n)
+        grams = [tuple(codes[i : i + n]) for i in range(len(codes) - n + 1)]
+        assert len(set(zip(grams, h.tolist()))) == len(set(grams)) == len(set(h.tolist()))
+    assert len(leakage.hashes(codes[:3], 8)) == 0
+
+
+def test_rarest_seeds_cover_every_run():
+    for _ in range(20):
+        counts = np.array([RNG.randrange(5) for _ in range(RNG.randrange(0, 90))])
+        at = set(leakage.rarest(counts, 26).tolist())
+        for lo in range(len(counts) - 25):
+            assert any(counts[k] == counts[lo : lo + 26].min() for k in at & set(range(lo, lo + 26)))
+
+
+def test_wide_bands_are_cut():
+    i = np.arange(0, 20_000, 8)
+    found = leakage.bands(i, np.arange(len(i)) % 50 * 10, np.zeros(len(i), bool))
+    assert found and all(b - a <= leakage.WIDEST for a, b, _, _ in found)
+    assert leakage.bands(np.array([5, 6]), np.array([0, 1]), np.array([False, False])) == [] and len(leakage.bands(np.array([5]), np.array([0]), np.array([True]))) == 1
+
+
+@pytest.mark.parametrize("edited", [False, True])
+def test_leaks(spark, edited):
     item = "".join(RNG.choice("abcdefgh") for _ in range(120))
     dressed = " ".join(item[i : i + 3].upper() for i in range(20, 71, 3))[:-1]
     texts = [item, "x" * 33 + dressed + "y", item[:49], None, "", "…" * 100, item[:24], "z".join([item[:60], item[60:]]), "q" * 100_000 + item[40:92]]
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("item_id", F.lit("clash"))
-    items = spark.createDataFrame([(7, item), (8, None), (9, ""), (10, item)], "item_id long, text string")
-    for sent in (leakage.SENT_BYTES, 0):
-        got = leakage.leaks(docs.drop("item_id"), items, sent_bytes=sent)
-        assert {(r["doc_id"], r["item_id"]) for r in got.where("longest_run >= 50").collect()} == {(d, i) for d in (0, 1, 7, 8) for i in (7, 10)}
-        best = {r["doc_id"]: r for r in got.where("item_id = 7").collect()}
-        assert best[0]["longest_run"] == 120 and best[0]["item_share"] == 1.0 and best[7]["score"] == 239
-        assert rows(leakage.leaks(docs.limit(0), items, sent_bytes=sent)) == [] == rows(leakage.leaks(docs, items.limit(0), sent_bytes=sent))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumns({"item_no": F.lit("clash"), "d1": F.lit(1), "h": F.lit(2)})
+    items = spark.createDataFrame([(7, item), (8, None), (9, ""), (10, item)], "item_id long, text string").withColumn("plain", F.lit("clash"))
+    got = leakage.leaks(docs, items, edited=edited)
+    assert {(r["doc_id"], r["item_id"]) for r in got.where("longest_run >= 50").collect()} == {(d, i) for d in (0, 1, 7, 8) for i in (7, 10)}
+    best = {r["doc_id"]: r for r in got.where("item_id = 7").collect()}
+    assert set(best) == ({0, 1, 2, 7, 8} if edited else {0, 1, 7, 8})
+    assert best[0]["longest_run"] == 120 and best[0]["item_share"] == 1.0 and best[7]["score"] == 237
+    assert rows(leakage.leaks(docs.limit(0), items, edited=edited)) == [] == rows(leakage.leaks(docs, items.limit(0), edited=edited))
+
+
+def test_leaks_of_null_and_repeated_keys(spark):
+    item = "".join(RNG.choice("abcdefgh") for _ in range(120))
+    docs = spark.createDataFrame([(None, item), (1, item[:80]), (1, item[30:]), (1, item[:80]), (2, "other")], "doc_id long, text string")
+    items = spark.createDataFrame([(None, item), (5, item)], "item_id long, text string")
+    got = rows(leakage.leaks(docs, items).select("doc_id", "item_id", "longest_run"))
+    assert got == rows(leakage.leaks(docs, items, edited=True).select("doc_id", "item_id", "longest_run")) and len(got) == 8
+    assert sorted((r[0] or 0, r[2]) for r in got if r[1] == 5) == [(0, 120), (1, 80), (1, 80), (1, 90)]
+
+
+def test_leaks_of_a_run_that_a_third_of_all_documents_hold(spark):
+    """A common passage isn't dropped, whatever the frequency of its seeds; a common phrase is no edited copy."""
+    new = lambda n: "".join(RNG.choice("abcdefghijklmnop") for _ in range(n))
+    passage, phrase = new(50), new(20)
+    docs = spark.createDataFrame([(k, new(40) + (passage if k % 3 == 0 else phrase if k % 3 == 1 else "") + new(30)) for k in range(900)], "doc_id long, text string")
+    items = spark.createDataFrame([(1, new(30) + passage), (2, phrase + new(90))], "item_id long, text string")
+    for edited in (False, True):
+        assert {tuple(r) for r in leakage.leaks(docs, items, edited=edited).select("doc_id", "item_id").collect()} == {(k, 1) for k in range(0, 900, 3)}
+
+
+def edited_copy(text, every, kind):
+    """`text` with a letter changed, taken out or put in after each `every` - 1 letters."""
+    out = []
+    for i, c in enumerate(text):
+        edit = i % every == every - 1
+        out.append(("#q" if c != "q" else "#z")[1] if edit and kind == "change" else "" if edit and kind == "delete" else c + "q" if edit else c)
+    return "".join(out)
+
+
+def test_leaks_of_edited_copies(spark, sf):
+    """Of whole items with an edit in every 10, 15, 20 and 24 letters at least 9 in 10 are found, of either kind, and nothing else."""
+    items = spark.read.parquet(f"{sf}/eval_items.parquet").where("text is not null")
+    plain = {r["item_id"]: leakage.plain(r["text"]) for r in items.collect()}
+    cases = [(every, kind) for every in (10, 15, 20, 24) for kind in ("change", "delete", "insert")]
+    made = [(c, k, edited_copy(t, *case)) for c, case in enumerate(cases) for k, t in plain.items()]
+    other = spark.read.parquet(f"{sf}/documents.parquet").select(F.lit("").alias("doc_id"), "text")
+    docs = spark.createDataFrame([(f"{c}:{k}", t) for c, k, t in made], "doc_id string, text string").unionByName(other)
+    got = {(r["doc_id"], r["item_id"]) for r in leakage.leaks(docs, items, edited=True).where("doc_id <> ''").collect()}
+    for c, case in enumerate(cases):
+        assert sum((f"{c}:{k}", k) in got for k in plain) >= 0.9 * len(plain), case
+    assert sum(int(d.split(":")[1]) != i for d, i in got) <= 0.02 * len(got)
 
 
 def test_leaks_refuse_one_name(spark):
