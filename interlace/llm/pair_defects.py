@@ -1,8 +1,12 @@
 """Broken prompt and response pairs: a conditional random field tags the clauses of each response, and the coverage of the tags
 gives the pair's defect.
 
-Tags are answer, refusal, echo, foreign and unfinished. The field is fitted on a bounded sample of the given pairs, labelled by the
-fixed cues below, and on responses made from them: whole answers cut at a random place, and prompts given back in several dresses.
+Tags are answer, refusal, echo, foreign and unfinished. A clause's features are its own: its characters in runs of one to four (what
+stands in quotation marks or brackets counts as one sign), its script, how much of it is the prompt's and how much of the prompt it
+is, and of the last one how it ends. The field is fitted in two rounds. First on made sentences (refusals, reports of them, plain
+narrative, prompts given back, whole answers cut off, mixtures of these) and on the clear part of a bounded sample of the given
+pairs; then on the whole sample, whose doubtful part the first round has tagged, so that it takes in the words that the data use.
+
 How often an ending (its last two letters) is followed by a final mark is counted over all responses; it tells endings of sentences
 from places where a response broke off.
 
@@ -22,34 +26,30 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from interlace.llm.crf import Crf
+from interlace.llm import pair_sentences as made
+from interlace.llm.crf import Crf, encode
 from interlace.plans.storage import fits, written
 
 #: At most so many pairs are labelled for the fit; their order is a hash of the key.
 FIT_ROWS = 4000
+#: So many responses are made for the fit.
+SENTENCES = 3500
 #: Longer pairs are judged, but not among those.
 FIT_CHARS = 4000
-#: A response with that share of the prompt in it, and that share of the prompt, gives it back.
-COPIED = (0.6, 0.5)
+#: A clause with that share of the prompt in it, or of a clause with Japanese around it that larger one, and responses with that share
+#: of the prompt give it back.
+COPIED, COPIED_NATIVE = (0.6, 0.5), 0.75
 TAGS = ("answer", "refusal", "echo", "foreign", "unfinished")
+#: The words of an answer that breaks off are those of any answer.
+TIED = ("unfinished", "answer")
 
 # Words that stand for nothing; what an echo may be dressed in; final marks; marks and blanks after an ending.
 NOTHING = {"", "none", "null", "na", "nil", "nan", "nothing", "empty", "blank", "undefined", "tbd", "なし", "無し", "無", "該当なし", "訳なし", "訳無し", "空", "空白", "空欄", "未訳", "未記入", "未入力", "不明", "特になし", "無回答", "回答なし", "没有", "无", "無い", "ない", "없음"}
 DRESS = ("日本語訳", "日本語翻訳", "日本語", "翻訳結果", "翻訳", "和訳", "訳文", "未訳", "原文", "回答", "答え", "出力", "訳", "translation", "japanese", "answer", "output")
 FINAL = "。.!?！？｡"
 TRAILING = re.compile(r"[\s…‥・。．.!?！？｡、，,､」』）)\]\"”’~〜ー―—-]+$")
-#: Cues of a refusal, by what they say; a refusal has one of the first kind, or two of the others.
-CUES = {
-    "declines": r"差し控え|控えさせて|いたしかね|致しかね|できかね|お答えでき|答えられま|応じられ|対象外と|見送らせて|見送り|保留と|保留いた|保留させ|空欄に|訳せま|訳すことはでき|訳すことができ|翻訳でき|翻訳することはでき|翻訳することができ|訳を示すことは|訳出でき|提供でき|お手伝いでき|お断り|辞退|ご遠慮|"
-    r"\bi (?:must|have to) decline|\bi (?:can'?t|cannot|can not|won'?t|will not|am (?:not able|unable)|'?m (?:not able|unable))|\bunable to (?:provide|translate|help|answer|render)|cannot (?:help|translate|provide|answer)|can'?t (?:help|translate|provide|answer)|not able to (?:provide|translate)|no translation (?:is|can|could|will)|not enough (?:evidence|context|information)|"
-    r"无法(?:翻译|提供|回答|理解)|不能(?:翻译|提供|回答)|拒绝(?:翻译|回答)|번역할 수 없|답변할 수 없|제공할 수 없|도와드릴 수 없|no puedo (?:traducir|ayudar|responder|ofrecer)|ne peux pas (?:traduire|aider|répondre|fournir)|kann (?:ich )?(?:diesen|das|den|es|nicht|leider)[^.]*nicht|не могу (?:перевести|помочь|ответить)",
-    "sorry": r"申し訳(?:あり|ござ)|ごめんなさい|すみません|恐れ入り|残念ながら|\bsorry\b|\bunfortunately\b|抱歉|对不起|죄송|lo siento|désolé|leider|tut mir leid|извините|к сожалению",
-    "self": r"言語モデル|アシスタント|(?:AI|ＡＩ|人工知能)(?:な|で|と)|\bas an? (?:ai|language|assistant)|language (?:model|assistant)|语言模型|언어 모델|modelo de lenguaje|modèle de langue|sprachmodell|языковая модель",
-    "reason": r"特定できない|確認できない|根拠が足り|資料にアクセス|該当する項目がない|合わないこと|方針により|supply more context|gloss is incomplete|dialect is unknown|翻訳|この文|訳",
-}
-_CUES = {k: re.compile(v, re.I) for k, v in CUES.items()}
-#: Fixed value: what somebody else said, after the words.
-REPORTED = re.compile(r"[」』]?と(?:、)?[^、。]{0,12}(?:言わ|言っ|言い|言う|断ら|答え|伝え|聞か|聞い|書か|話し)|\b(?:he|she|they|who|somebody|someone|nobody) (?:said|says|say|told|asked)\b", re.I)
+#: In a text with any of these it may be its own translation that is spoken of; such texts wait for the second round.
+TALK = re.compile(r"訳|翻|原文|回答|答え|応じ|控え|断|保留|対象|空欄|お手伝い|言語モデル|アシスタント|申し訳|ごめん|すみません|恐れ入り|残念|ません|かね|いたし|ください|\b(?:i|i'm|we|my|me|sorry|unfortunately|please|translat\w*|answer|request|sentence|text|unable|cannot|can't|won't|help|provide)\b|译|抱歉|번역|죄송|traduc|traduz|tradu|übersetz|перев|menerjemah", re.I)
 _TRAILING = re.compile(TRAILING.pattern.removesuffix("+$"))
 CLAUSE = re.compile(r"[^、。！？!?…‥\n｡､]+[、。！？!?…‥\n｡､」』）)\"”]*|[、。！？!?…‥\n｡､]+")
 _KANA, _HAN = re.compile("[ぁ-ゖァ-ヺｦ-ﾝ]"), re.compile("[㐀-鿿々]")
@@ -104,20 +104,15 @@ def trigrams(text: str) -> set[str]:
     return {text[i : i + 3] for i in range(len(text) - 2)}
 
 
-def refusing(cues: list[str]) -> bool:
-    """Whether the kinds of cues found make a refusal."""
-    return "declines" in cues or len(cues) > 2
-
-
 @dataclass
 class Pair:
-    """A pair with its response's clauses, their features and the figures that the verdict needs."""
+    """A pair's response in clauses, with their features, how much of the prompt each gives back, and whether it is Japanese."""
 
     clauses: list[str]
-    features: list[list[str]]
-    echo_share: float  # of the response, without its dress, that is the prompt's
-    prompt_share: float  # of the prompt that the response gives back
-    finished: float | None  # how often its ending comes before a final mark
+    places: list[tuple[list[str], str]]
+    echoed: list[float]
+    back: list[float]
+    native: list[bool]
 
 
 def _often(rate: float | None) -> str:
@@ -131,63 +126,36 @@ def _step(x: float) -> str:
 def describe(prompt: str | None, response: str | None, finished: float | None) -> Pair:
     """The clauses of a response and their features."""
     text = response or ""
-    asked, given = plain(prompt), plain(text)
-    undressed = given
-    for word in DRESS:
-        undressed = undressed.replace(word, "")
+    asked = plain(prompt)
     known = trigrams(asked)
-    echo = (shared(undressed, known) / len(undressed)) if undressed else 0.0
-    back = (shared(asked, trigrams(undressed)) / len(asked)) if asked else 0.0
-    if asked and undressed and len(asked) < 4:
-        echo = back = float(undressed.replace(asked, "") == "")
     clauses = CLAUSE.findall(text)
     native = native_clauses(text)
-    spoken = bool(REPORTED.search(text))
-    around = [k for k, p in _CUES.items() if p.search(text)]
-    marked = text.rstrip()[-1:] in FINAL
-    comma = text.rstrip()[-1:] in "、，,､"
+    masked = _BRACKETED.sub(lambda m: "\3" * len(m[0]), text)
+    last = text.rstrip()[-1:]
     cut_off = text[-1:].isspace() or text.count("「") > text.count("」") or text.count("（") > text.count("）") or text.count("『") > text.count("』")
-    copies = echo >= COPIED[0] and back >= COPIED[1]
-    refuses = refusing(around) and not spoken
-    features = []
+    places, echoed, back = [], [], []
+    at = 0
     for i, clause in enumerate(clauses):
         letters = plain(clause)
+        for word in DRESS if asked else ():
+            letters = letters.replace(word, "")
         kana, han, latin, hangul = (len(p.findall(clause)) for p in (_KANA, _HAN, _LATIN, _HANGUL))
-        own = [f"script:{max((kana + han if kana else -1, 'jp'), (han if not kana else -1, 'han'), (latin, 'latin'), (hangul, 'hangul'))[1] if letters else 'none'}", f"native:{native[i]}"]
-        own.append(f"echo:{_step(shared(letters, known) / len(letters)) if len(letters) > 2 else 'short'}")
-        own.append(f"echoed:{_step(echo)}{_step(back)}")
-        cues = [k for k, p in _CUES.items() if p.search(clause)]
-        reported = bool(REPORTED.search(clause)) or (spoken and "「" in clause)
-        own += [f"cue:{k}:{reported}" for k in cues] or ["cue:none"]
-        own += [f"refuses:{refusing(around)}:{spoken}", f"copies:{copies}"]
-        if i == len(clauses) - 1 and native[i] and not copies and not refuses:
-            own += ["last", f"last:marked:{marked}", f"last:finished:{'marked' if marked else _often(finished)}:{cut_off}", f"last:cut:{cut_off}", f"last:comma:{comma}"]
+        if known:
+            echo = shared(letters, known) / len(letters) if letters else 0.0
+            given = shared(asked, trigrams(letters)) / len(asked)
         else:
-            own.append("inner")
-        features.append(own)
-    return Pair(clauses, features, echo, back, finished)
-
-
-def label(pair: Pair, text: str) -> list[str]:
-    """Labels of the clauses by the fixed cues, for the fit."""
-    around = [k for k, p in _CUES.items() if p.search(_QUOTED.sub("", text))]
-    spoken = bool(REPORTED.search(text))
-    refuses = not spoken and refusing(around)
-    native = native_clauses(text)
-    tags = []
-    for i, _ in enumerate(pair.clauses):
-        last = i == len(pair.clauses) - 1
-        if refuses:
-            tags.append("refusal")
-        elif pair.echo_share >= COPIED[0] and pair.prompt_share >= COPIED[1]:
-            tags.append("echo")
-        elif not native[i]:
-            tags.append("foreign")
-        elif last and _breaks_off(text, pair.finished):
-            tags.append("unfinished")
+            echo = given = float(bool(asked and letters) and letters.replace(asked, "") == "")
+        own = [f"script:{max((kana + han if kana else -1, 'jp'), (han if not kana else -1, 'han'), (latin, 'latin'), (hangul, 'hangul'))[1] if letters else 'none'}", f"native:{native[i]}", f"echo:{_step(echo)}", f"echo:{_step(echo)}:{_step(given)}:{native[i]}"]
+        if i == len(clauses) - 1:
+            marked = last in FINAL
+            own += ["last", f"last:{native[i]}:{'marked' if marked else _often(finished)}:{cut_off}", f"last:cut:{cut_off}", f"last:comma:{last in '、，,､'}"]
         else:
-            tags.append("answer")
-    return tags
+            own.append("inner")
+        begin, at = at, at + len(clause)
+        places.append((own, re.sub("\3+", "\3", unicodedata.normalize("NFKC", masked[begin:at]).lower())))
+        echoed.append(echo)
+        back.append(given)
+    return Pair(clauses, places, echoed, back, native)
 
 
 def _breaks_off(text: str, finished: float | None) -> bool:
@@ -196,34 +164,100 @@ def _breaks_off(text: str, finished: float | None) -> bool:
     return text.rstrip()[-1:] not in FINAL and (finished or 0.0) < 0.25
 
 
-def training_set(rows: list[tuple[str | None, str | None, float | None]], rate_of, seed: int = 7) -> tuple[list[list[list[str]]], list[list[str]]]:
-    """Features and labels of the sample, and of responses made from it. rate_of: how often an ending is final, or None."""
-    rng = random.Random(seed)
-    sequences, tags = [], []
-
-    def add(prompt: str | None, response: str, finished: float | None, forced: str | None = None) -> None:
-        pair = describe(prompt, response, finished)
-        own = label(pair, response)
-        if forced == "echo":
-            own = ["echo"] * len(own)
-        elif forced and own:
-            own = ["answer" if t == "unfinished" else t for t in own[:-1]] + [forced]
-        sequences.append(pair.features)
-        tags.append(own)
+def evident(pair: Pair, text: str, finished: float | None) -> list[str]:
+    """The tags of the clauses of a response that doesn't speak of its own translation."""
+    tags = ["echo" if e >= (COPIED_NATIVE if n else COPIED[0]) and (b >= COPIED[1] or not n) else "answer" if n else "foreign" for e, b, n in zip(pair.echoed, pair.back, pair.native)]
+    if tags and tags[-1] == "answer" and _breaks_off(text, finished):
+        tags[-1] = "unfinished"
+    return tags
+
 
+class TrainingSet:
+    """Places and tags of responses."""
+
+    def __init__(self):
+        self.places: list[list[tuple[list[str], str]]] = []
+        self.tags: list[list[str]] = []
+
+    def add(self, pair: Pair, tags: list[str]) -> None:
+        if pair.clauses and len(tags) == len(pair.clauses):
+            self.places.append(pair.places)
+            self.tags.append(tags)
+
+    def put(self, prompt: str | None, parts: list[tuple[str, str]], finished: float | None) -> None:
+        """A response of tagged parts."""
+        tags = [tag for text, tag in parts for _ in CLAUSE.findall(text)]
+        self.add(describe(prompt, "".join(text for text, _ in parts), finished), tags)
+
+
+def made_pairs(rows: list[tuple[str | None, str | None, float | None]], rate_of, rng: random.Random) -> TrainingSet:
+    """Responses made from parts and from the sample's whole answers. rate_of: how often an ending is final, or None."""
+    out = TrainingSet()
+    whole = []
+    for prompt, response, finished in rows:
+        text = (response or "").rstrip()
+        if text[-1:] == "。" and len(text) > 8 and not TALK.search(text) and set(evident(describe(prompt, text, finished), text, finished)) == {"answer"}:
+            whole.append((prompt, text))
+    prompts = [p for p, *_ in rows if p and len(plain(p)) > 3] or [None]
+    answer = lambda: rng.choice(whole)[1] if whole else made.narrative(rng)
+    for prompt, text in rng.sample(whole, min(len(whole), SENTENCES // 2)):
+        short = text[: rng.randrange(3, len(text) - 2)].rstrip("。")
+        if _KANA.search(_QUOTED.sub("", short)) and rate_of(ending(short)) in (None, 0.0):
+            clauses = CLAUSE.findall(short)
+            rate = rate_of(ending(short))
+            out.add(describe(prompt, short + rng.choice(["", "", "…", "、", "　"]), rate), ["answer"] * (len(clauses) - 1) + ["unfinished"])
+    for prompt in rng.sample(prompts, min(len(prompts), SENTENCES // 2)) if prompts != [None] else []:
+        dress = rng.choice(["{}", "「{}」", "訳：{}", "{}（未訳）", "{} / {}", "{}。", "日本語訳 → {}", "原文「{}」", "{}です。", "{}のままです。"]).replace("{}", rng.choice([prompt, prompt.upper(), prompt.replace(" ", ", "), prompt.replace(" ", "、")]))
+        out.put(prompt, [(dress, "echo")], rate_of(ending(dress)))
+    for _ in range(SENTENCES):
+        prompt = rng.choice(prompts)
+        quote = rng.choice((plain(prompt)[:6], "その文")) if prompt else "その文"
+        shape = rng.random()
+        some = answer()
+        at = rng.randrange(len(some))
+        words = re.sub(r"\W", "", some[at : at + rng.randrange(2, 10)])
+        no = made.refusal(rng, words).replace("「Q」", f"「{quote}」")
+        if shape < 0.4:
+            parts = [(no, "refusal")]
+        elif shape < 0.45:
+            parts = [(f"「{quote}」について", "refusal"), (rng.choice(("：", "は、", "ですが、")) + no, "refusal")]
+        elif shape < 0.57:
+            parts = [(answer(), "answer"), (no, "refusal")] if rng.random() < 0.5 else [(no.rstrip("\n！。") + "。", "refusal"), (answer(), "answer")]
+        elif shape < 0.68:
+            parts = [(made.report(rng), "answer"), (rng.choice((answer(), made.narrative(rng, words))), "answer")]
+        elif shape < 0.72 and prompt:
+            parts = [(f"「{max(prompt.split(), key=len)}」{rng.choice(made.QUOTING)}", "answer"), (answer(), "answer")]
+        elif shape < 0.84:
+            parts = [(made.narrative(rng, words), "answer")] + ([(answer(), "answer")] if rng.random() < 0.3 else [])
+        else:
+            parts = [(made.foreign(rng), "foreign")]
+        text = "".join(t for t, _ in parts)
+        out.put(prompt, parts, 1.0 if text.rstrip()[-1:] in FINAL else rate_of(ending(text)))
+    return out
+
+
+def fitted(rows: list[tuple[str | None, str | None, float | None]], rate_of, seed: int = 7) -> Crf:
+    """The field for a sample of (prompt, response, how often its ending is final)."""
+    rng = random.Random(seed)
+    own = made_pairs(rows, rate_of, rng)
+    doubtful: list[tuple[Pair, str, float | None]] = []
     for prompt, response, finished in rows:
-        if is_empty(response):
-            continue
-        add(prompt, response, finished)
-        text = response.rstrip()
-        if text[-1:] == "。" and len(text) > 8 and set(label(describe(prompt, response, finished), response)) == {"answer"}:
-            short = text[: rng.randrange(3, len(text) - 2)].rstrip("。")
-            if _KANA.search(_QUOTED.sub("", short)) and rate_of(ending(short)) in (None, 0.0):
-                add(prompt, short + rng.choice(["", "", "…", "、", "　"]), rate_of(ending(short)), "unfinished")
-        if prompt and len(plain(prompt)) > 3 and rng.random() < 0.2:
-            dress = rng.choice(["{}", "「{}」", "訳：{}", "{}（未訳）", "{} / {}", "{}。", "日本語訳 → {}"]).replace("{}", rng.choice([prompt, prompt.upper(), prompt.replace(" ", ", ")]))
-            add(prompt, dress, rate_of(ending(dress)), "echo")
-    return sequences, tags
+        if not is_empty(response):
+            pair = describe(prompt, response, finished)
+            if TALK.search(response):
+                doubtful.append((pair, response, finished))
+            else:
+                own.add(pair, evident(pair, response, finished))
+    first = Crf(TAGS, TIED).fit(encode(own.places), own.tags)
+    if not doubtful:
+        return first
+    for (pair, response, finished), tags in zip(doubtful, first.tag(encode([p.places for p, *_ in doubtful]))):
+        plainly = evident(pair, response, finished)
+        refused = [t == "refusal" and e != "echo" for t, e in zip(tags, plainly)]
+        share = sum(len(c) for c, no in zip(pair.clauses, refused) if no) / len(response)
+        if share >= 0.5 or not any(refused):  # what the first round takes for less of a refusal may be half understood
+            own.add(pair, ["refusal"] * len(tags) if any(refused) else plainly)
+    return Crf(TAGS, TIED).fit(encode(own.places), own.tags)
 
 
 def verdict(pair: Pair, tags: list[str], response: str | None) -> str | None:
@@ -231,14 +265,14 @@ def verdict(pair: Pair, tags: list[str], response: str | None) -> str | None:
     if is_empty(response):
         return "empty"
     covered = dict.fromkeys(TAGS, 0)
-    for clause, tag in zip(pair.clauses, tags):
-        covered[tag] += len(_WORD.findall(clause))
+    for clause, tag, native in zip(pair.clauses, tags, pair.native):  # letters tell for certain that a clause isn't Japanese
+        covered["foreign" if not native and tag in ("answer", "unfinished") else tag] += len(_WORD.findall(clause))
     total = sum(covered.values()) or 1
     if covered["refusal"] * 2 >= total:
         return "refusal"
-    if covered["echo"] * 2 >= total:
+    if covered["echo"] * 2 >= total and sum(b for b, tag in zip(pair.back, tags) if tag == "echo") >= COPIED[1]:
         return "copy"
-    if covered["foreign"] * 2 >= total:
+    if (covered["foreign"] + sum(len(_WORD.findall(c)) for c, n, tag in zip(pair.clauses, pair.native, tags) if tag == "echo" and not n)) * 2 >= total:
         return "other_language"
     if tags and tags[-1] == "unfinished":
         return "truncated"
@@ -252,11 +286,8 @@ def pair_defects(pairs: DataFrame, key: str, prompt: str, response: str, fit_row
     key_type = pairs.schema[key].dataType.simpleString()
     found = pairs.select(F.col(key).alias("k"), F.col(prompt).alias("p"), F.col(response).alias("r"))
 
-    @F.pandas_udf("string")
-    def ends(texts):
-        return texts.map(lambda t: None if t is None else ending(t))
-
-    given = found.withColumn("e", ends(F.col("r")))
+    ends = F.right(F.regexp_replace("r", "(?U)" + TRAILING.pattern.removesuffix("$") + "\\z", ""), F.lit(2))
+    given = found.withColumn("e", ends)
     trimmed = F.regexp_replace("r", r"(?U)\s+$", "")
     counted = given.where("r is not null").groupBy("e").agg(F.count("*").alias("n"), F.count_if(trimmed.rlike(f"[{FINAL}]$")).alias("marked"))
     rates = written(counted.select("e", (F.col("marked") / F.col("n")).alias("rate")), "endings")
@@ -264,15 +295,15 @@ def pair_defects(pairs: DataFrame, key: str, prompt: str, response: str, fit_row
     short = F.coalesce(F.length("r"), F.lit(0)) + F.coalesce(F.length("p"), F.lit(0)) <= FIT_CHARS
     sample = rated.where(short).orderBy(F.xxhash64("k"), "k").limit(fit_rows).collect()
     seen = {r["e"]: r["rate"] for r in rates.join(spark.createDataFrame([(e,) for e in _cut_endings(sample)], "e string"), "e").collect()}
-    model = Crf(TAGS).fit(*training_set([(x["p"], x["r"], x["rate"]) for x in sample], seen.get))
+    model = fitted([(x["p"], x["r"], x["rate"]) for x in sample], seen.get)
     sent = spark.sparkContext.broadcast(model)
 
     def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        crf = sent.value
+        crf, names = sent.value, {}
         for batch in batches:
             prompts, responses, rate = (c.to_pylist() for c in batch.columns[1:])
             described = [describe(p, r, e) for p, r, e in zip(prompts, responses, rate)]
-            tagged = crf.tag([d.features for d in described])
+            tagged = crf.tag(encode([d.places for d in described], names))
             defects = [verdict(d, t, r) for d, t, r in zip(described, tagged, responses)]
             shares = []
             for d, t in zip(described, tagged):

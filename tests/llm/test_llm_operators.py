@@ -287,14 +287,40 @@ def test_crf_learns_transitions():
     for _ in range(200):
         n = RNG.randrange(1, 6)
         state = RNG.choice("AB")
-        seq, tag = [], []
-        for i in range(n):
-            seq.append([f"start:{state}"] if i == 0 else ["same"])
-            tag.append(state)
-        sequences.append(seq)
-        tags.append(tag)
-    model = crf.Crf("AB").fit(sequences[:100], tags[:100], rounds=60)
-    assert model.tag(sequences[100:]) == tags[100:] and model.tag([[]]) == [[]]
+        sequences.append([([f"start:{state}"] if i == 0 else ["same"], "") for i in range(n)])
+        tags.append([state] * n)
+    model = crf.Crf("AB").fit(crf.encode(sequences[:100]), tags[:100], rounds=60)
+    assert model.tag(crf.encode(sequences[100:])) == tags[100:] and model.tag(crf.encode([[], sequences[0]])) == [[], tags[0]]
+    assert crf.Crf("AB").fit(crf.encode([]), []).tag(crf.encode([[]])) == [[]]
+
+
+def test_crf_learns_from_characters_but_not_of_tied_labels():
+    """A label's weights of characters are those of the label it is tied to; named features tell the two apart."""
+    words = {"A": "上下左右", "B": "山川草木"}
+    data = [([(["cut"] if k % 2 else [], "".join(RNG.choice(words[t]) for _ in range(5)))], ["U" if t == "A" and k % 2 else t]) for k in range(200) for t in "AB"]
+    model = crf.Crf("ABU", ("U", "A")).fit(crf.encode([s for s, _ in data]), [t for _, t in data], rounds=60)
+    assert model.tag(crf.encode([s for s, _ in data])) == [t for _, t in data]
+    assert (model.weights[crf.NAMED :, 0] == model.weights[crf.NAMED :, 2]).all() and model.weights[crf.NAMED :, 0].any()
+
+
+def test_crf_gradient():
+    """Marginals and moves against all paths."""
+    model = crf.Crf("AB")
+    score, moves = np.array([[[0.3, -0.2], [1.0, 0.5], [0.1, 0.7]], [[0.2, 0.4], [-1.0, 0.3], [0.0, 0.0]]]), np.array([[0.1, -0.3], [0.4, 0.2], [0.5, 0.0], [0.3, -0.1]])
+    lengths = np.array([3, 2])
+    marginal, moved = model._expect(score, moves, lengths)
+    expected, steps = np.zeros_like(score), np.zeros_like(moves)
+    for k, n in enumerate(lengths):
+        paths = list(itertools.product((0, 1), repeat=int(n)))
+        weight = np.exp([moves[2, p[0]] + moves[3, p[-1]] + sum(score[k, t, p[t]] for t in range(n)) + sum(moves[p[t], p[t + 1]] for t in range(n - 1)) for p in paths])
+        for p, w in zip(paths, weight / weight.sum()):
+            steps[2, p[0]] += w
+            steps[3, p[-1]] += w
+            for t in range(n):
+                expected[k, t, p[t]] += w
+            for t in range(n - 1):
+                steps[p[t], p[t + 1]] += w
+    assert np.allclose(marginal[0], expected[0]) and np.allclose(marginal[1, :2], expected[1, :2]) and np.allclose(moved, steps)
 
 
 PAIRS = [

@@ -122,3 +122,46 @@ def test_pair_defects_held_out(spark, sf):
     for kind in (*broken, None):
         own = [k for k, v in truth.items() if v == kind]
         assert sum(got[k] == kind for k in own) >= 0.95 * len(own), (kind, [(data[k], got[k]) for k in own if got[k] != kind][:5])
+
+
+#: Written for this test, not made from the parts that the fit uses; most of their words occur in none of them.
+UNSEEN_REFUSALS = [
+    "訳は控えます。", "翻訳は難しいです。", "原文には「ka」と書かれていますが、翻訳できません。", "この一文を訳すのは私の力を超えています。", "お力になれず申し訳ございません。", "訳出は差し控えたく存じます。", "ちょっと分かりかねます。", "翻訳しかねる文です。", "日本語に直すことは不可能です。", "この発話の翻訳はご容赦ください。", "意味が取れませんので、訳は付けられません。",
+    "この文章の意味は判明しませんでした。", "訳すことができない文です。", "この部分は翻訳不能です。", "対応する日本語が見つかりません。", "お答えは致しません。", "翻訳結果を返すことができませんでした。", "ご期待に沿えませんが、訳は用意できません。", "申し訳ないのですが、これを日本語にするのは無理があります。", "解読に失敗したため、訳文をご用意できませんでした。", "私どもでは、この言い回しをお訳しできかねます。", "すみません、意味を把握できていません。",
+    "I'd rather not translate this.", "I have no idea what this says, so I'll skip it.", "Translation declined.", "That is something I'm not going to translate.", "I will pass on this one, sorry.", "My apologies, this one cannot be put into Japanese.", "Je ne traduirai pas cette phrase.", "No puedo traducir esto.", "我没有办法翻译这个。", "이건 번역하지 못합니다.",
+]
+REPORTING_ANSWERS = [
+    "村の祭りは見送りとなった。", "会議は保留となった。", "父はお断りの手紙を書いた。", "先生は翻訳を断った。", "祖母は答えられなかった。", "兄は申し訳ない顔をした。", "訳もなく泣いた。", "客は誘いを断って帰った。", "彼は原文を読めなかった。", "「訳せません」と先生が言った。", "父は酒を飲みません。", "娘は返事をしないと言われた。", "旅は延期となりました。", "役場は許可を出しませんでした。",
+    "その話はできないと村長が言った。", "母は「ごめんなさい」と書いて送った。", "医者は往診を断りました。", "祖父は質問に答えない人だった。", "この村には学校がありません。", "雨で祭りは中止です。", "舟は来ません。", "言葉が分からず困った。", "彼女は翻訳の仕事を辞めた。", "空は暗く、海は見えません。", "漁師は網を貸すのを嫌がった。", "嫁は里帰りを許されなかった。", "店主は値引きに応じなかった。",
+    "「もう無理です」と弟が叫んだ。", "役人は書類の受け取りを拒否した。", "村人は井戸の使用を控えた。", "残念そうに祖父は首を振った。", "船頭は申し訳なさそうに頭を下げた。",
+]
+
+
+def test_pair_defects_in_unseen_words(spark):
+    """Refusals in words of their own, and whole answers that report of declining, among the results of a table: at least 9 in 10 are
+    found, and of the answers at most one is taken for defective."""
+    from pyspark.sql import functions as F
+
+    from interlace.llm.pair_defects import pair_defects
+    from interlace.llm.queries import _pairs
+
+    base = _pairs(spark, "/root/testdata/sf0.01").select(F.lit("").alias("k"), F.col("text").alias("p"), F.col("trsl_ai").alias("r"))
+    own = spark.createDataFrame([(f"{k}{i}", "ka mu:ba ya dunyi", t) for k, texts in (("R", UNSEEN_REFUSALS), ("A", REPORTING_ANSWERS)) for i, t in enumerate(texts)], "k string, p string, r string")
+    got = {r["k"]: r["defect"] for r in pair_defects(base.unionByName(own), "k", "p", "r").where("k <> ''").collect()}
+    missed = [t for i, t in enumerate(UNSEEN_REFUSALS) if got[f"R{i}"] != "refusal"]
+    false = [t for i, t in enumerate(REPORTING_ANSWERS) if got[f"A{i}"]]
+    assert len(missed) <= 0.1 * len(UNSEEN_REFUSALS) and len(false) <= 1, (missed, false)
+
+
+def test_mixed_answers_have_mixed_tags(spark, sf):
+    """A refusal beside an answer of the same length covers half, a short remark doesn't."""
+    from interlace.llm.pair_defects import pair_defects
+    from interlace.llm.queries import _pairs
+
+    from pyspark.sql import functions as F
+
+    texts = [("舟を見た。申し訳ありませんが、後の文は訳せません。", "refusal"), ("祖父は昨日の朝早くに山の畑で芋を掘って、村の市場へ運んで、夕方に塩と魚を買って帰って来た。この先は翻訳できません。", None)]
+    base = _pairs(spark, sf).select(F.lit("").alias("k"), F.col("text").alias("p"), F.col("trsl_ai").alias("r"))
+    own = spark.createDataFrame([(str(i), "ka mu:ba ya dunyi", t) for i, (t, _) in enumerate(texts)], "k string, p string, r string")
+    got = {r["k"]: r for r in pair_defects(base.unionByName(own), "k", "p", "r").where("k <> ''").collect()}
+    assert [got[str(i)]["defect"] for i in range(len(texts))] == [d for _, d in texts] and all(0 < got[str(i)]["answer_share"] < 1 for i in range(len(texts)))
