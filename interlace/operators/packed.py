@@ -28,7 +28,9 @@ PAIRS = {
     '"': '"', "'": "'", "＂": "＂", "＇": "＇", "“": "”", "‘": "’", "”": "”", "’": "’", "„": "“”", "‚": "‘’", "‟": "”", "‛": "’",
     "«": "»", "»": "«»", "‹": "›", "›": "‹›", "「": "」", "『": "』", "｢": "｣", "〝": "〞〟", "﹁": "﹂", "﹃": "﹄", "❝": "❞", "❛": "❜", "⹂": "”",
 }
-RULE = "array<struct<first:int,last:int,quoted:boolean,doubled:boolean>>"
+#: A span of a rule is one number: its first part, its last, and its kind in the lowest two bits.
+RULE = "array<bigint>"
+BARE, QUOTED, DOUBLED = range(3)
 
 
 def skeleton(col: Column | str) -> Column:
@@ -36,9 +38,9 @@ def skeleton(col: Column | str) -> Column:
     return F.nullif(F.regexp_replace(col, f"[{ORDINARY}]+", "x"), F.lit(""))
 
 
-def resolve(skel: str) -> list[dict]:
-    """Spans (from 0, both ends included) of a skeleton that hold values, from left to right."""
-    spans: list[dict] = []
+def resolve(skel: str) -> list[tuple[int, int, int]]:
+    """Spans (from 0, both ends included, and their kind) of a skeleton that hold values, from left to right."""
+    spans: list[tuple[int, int, int]] = []
     unclosed: set[str] = set()
     at = 0
     while at < len(skel):
@@ -50,11 +52,11 @@ def resolve(skel: str) -> list[dict]:
                 unclosed.add(mark)
         if end > 0:
             if end > at + 1:
-                spans.append({"first": at + 1, "last": end - 1, "quoted": True, "doubled": mark == '"'})
+                spans.append((at + 1, end - 1, DOUBLED if mark == '"' else QUOTED))
             at = end + 1
             continue
         if mark == "x":
-            spans.append({"first": at, "last": at, "quoted": False, "doubled": False})
+            spans.append((at, at, BARE))
         at += 1
     return spans
 
@@ -71,7 +73,7 @@ def _closing(skel: str, at: int) -> int:
 
 def _rules(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        yield pd.DataFrame({"skel": pdf["skel"], "rule": [resolve(s) for s in pdf["skel"]]})
+        yield pd.DataFrame({"skel": pdf["skel"], "rule": [[first << 33 | last << 2 | kind for first, last, kind in resolve(s)] for s in pdf["skel"]]})
 
 
 def rules_of(df: DataFrame, fields: Sequence[str]) -> DataFrame:
@@ -84,20 +86,23 @@ def values_by_rule(rule: Column, parts: Column) -> Column:
     """The values that a rule cuts out of the parts of a field."""
 
     def cut(span: Column) -> Column:
-        whole = F.array_join(F.slice(parts, span["first"] + 1, span["last"] - span["first"] + 1), "")
-        return F.when(~span["quoted"], F.element_at(parts, span["first"] + 1)).when(span["doubled"], F.replace(whole, F.lit('""'), F.lit('"'))).otherwise(whole)
+        kind = span.bitwiseAND(F.lit(3))
+        first, last = F.shiftright(span, 33).cast("int"), F.shiftright(span, 2).bitwiseAND(F.lit((1 << 31) - 1)).cast("int")
+        whole = F.array_join(F.slice(parts, first + 1, last - first + 1), "")
+        return F.when(kind == BARE, F.element_at(parts, first + 1)).when(kind == DOUBLED, F.replace(whole, F.lit('""'), F.lit('"'))).otherwise(whole)
 
     return F.transform(rule, cut)
 
 
-def with_values(df: DataFrame, fields: dict[str, str]) -> DataFrame:
-    """`df` with an array column of values for each packed field (`fields`: field -> name of the array column).
+def with_values(df: DataFrame, fields: dict[str, str], rules: DataFrame | None = None) -> DataFrame:
+    """`df` with an array column of values for each packed field (`fields`: field -> name of the array column). `rules`, where they
+    have been resolved already, must cover all skeletons of `df`.
 
     The table of rules is broadcast only if its measured size allows; beyond, the rows are joined by shuffling, null fields beside
     the join; adaptive execution splits a skeleton that many rows share. Names in `df` may clash with nothing but the new columns.
     """
-    rules = rules_of(df, list(fields))
-    small = fits(rules, "length(skel) * 4 + size(rule) * 16")
+    rules = rules_of(df, list(fields)) if rules is None else rules
+    small = fits(rules, "length(skel) * 4 + size(rule) * 8")
     out = df
     for field, name in fields.items():
         mine = rules.select(F.col("skel").alias("__skel"), F.col("rule").alias("__rule"))

@@ -48,9 +48,10 @@ def test_shapes(spark):
     assert split(spark, texts) == [["A", "cvb", "B", "C", "dat"], ["a", "b c", "d"], ['l:na:z"zu:"', "akk"], ['l:na"yu"', "x"], ["x y", "z"], [], [], [], [], ["a", "b"], [], ["x" * 50_000]]
 
 
-def test_rules_resolve_once_per_skeleton():
-    assert packed.resolve('x"x"x') == [{"first": 0, "last": 0, "quoted": False, "doubled": False}, {"first": 2, "last": 2, "quoted": True, "doubled": True}, {"first": 4, "last": 4, "quoted": False, "doubled": False}]
-    assert packed.resolve("'x") == [{"first": 1, "last": 1, "quoted": False, "doubled": False}]
+def test_rules_resolve_once_per_skeleton(spark):
+    assert packed.resolve('x"x x"; x') == [(0, 0, packed.BARE), (2, 4, packed.DOUBLED), (8, 8, packed.BARE)] and packed.resolve("'x") == [(1, 1, packed.BARE)] and packed.resolve("「x,」") == [(1, 2, packed.QUOTED)]
+    df = spark.createDataFrame([("A-b;C",), ("d-e;f",), ("A-b C",), ("",), (None,), ("'a, b'",)], "f string")
+    assert {r["skel"] for r in packed.rules_of(df, ["f"]).collect()} == {"x-x;x", "x-x x", "'x, x'"}
 
 
 def test_shuffled_join_gives_the_same(spark, monkeypatch):
