@@ -4,6 +4,9 @@ Within a block of records, the few frequent (heavy) items form a dense bit matri
 of rare (light) items are counted by hashing; mixed pairs are counted by probing the bit matrix with each light item's list of
 records. Blocks give partial counts, which Spark sums.
 
+A block ends before its bit matrix has more than CELLS cells or its light items form more than BUFFER pairs; counts are handed on as
+soon as BUFFER pairs have been found, so a record of any number of items needs no more memory than that and its own items.
+
 Defined cases: an item counts once per record; null and empty records count for nothing; an empty table gives an empty result.
 """
 
@@ -19,94 +22,120 @@ from pyspark.sql import functions as F
 from interlace.llm.encoding import encode
 from interlace.plans.storage import fits
 
-BLOCK = 32_768  # records a bit matrix covers
-BUFFER = 4_000_000  # pairs kept before they are counted
+BLOCK = 32_768  # most records of a block
+CELLS = 8_000_000  # of a bit matrix, a byte each while it is filled
+BUFFER = 1_000_000  # pairs counted at a time
+
+Counts = tuple[np.ndarray, np.ndarray, np.ndarray]
 
 
-def _counted(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    k, inverse = np.unique(np.concatenate(keys), return_inverse=True)
-    return [k], [np.bincount(inverse, weights=np.concatenate(counts), minlength=len(k)).astype(np.int64)]
+def _counted(keys: list[np.ndarray], names: np.ndarray, counts: list[np.ndarray] | None = None) -> Counts:
+    """(a, b, n) of pairs of local codes, each pair once."""
+    width = np.int64(len(names))
+    k, inverse, n = np.unique(np.concatenate(keys), return_inverse=True, return_counts=True)
+    if counts is not None:
+        n = np.bincount(inverse, weights=np.concatenate(counts), minlength=len(k)).astype(np.int64)
+    a, b = names[k // width], names[k % width]
+    return np.minimum(a, b), np.maximum(a, b), n.astype(np.int64)
 
 
-def count_block(offsets: np.ndarray, codes: np.ndarray, heavy: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(a, b, n): records of the block that hold both codes, a < b. offsets: where each record's codes begin; heavy: sorted codes."""
+def count_block(offsets: np.ndarray, codes: np.ndarray, heavy: np.ndarray) -> Iterator[Counts]:
+    """(a, b, n): records of the block that hold both codes, a < b, in parts. offsets: where each record's codes begin; heavy: sorted
+    codes."""
+    if not len(codes):
+        return
     n_rec = len(offsets) - 1
-    rec = np.repeat(np.arange(n_rec), np.diff(offsets))
     names, local = np.unique(codes, return_inverse=True)
-    pairs = np.unique(rec * np.int64(len(names)) + local) if len(names) else np.empty(0, np.int64)  # an item once a record
-    rec, local = pairs // max(len(names), 1), pairs % max(len(names), 1)
+    width = np.int64(len(names))
+    pairs = np.unique(np.repeat(np.arange(n_rec), np.diff(offsets)) * width + local)  # an item once a record
+    rec, local = pairs // width, pairs % width
     is_heavy = np.isin(names, heavy)
     row_of = np.cumsum(is_heavy) - 1
     h_names, n_heavy = np.flatnonzero(is_heavy), int(is_heavy.sum())
-    keys: list[np.ndarray] = [np.empty(0, np.int64)]
-    counts: list[np.ndarray] = [np.empty(0, np.int64)]
-    width = np.int64(max(len(names), 1))
-
     hot = is_heavy[local]
-    dense = np.zeros((n_heavy, -(-max(n_rec, 1) // 64) * 64), np.uint8)
-    dense[row_of[local[hot]], rec[hot]] = 1
-    bits = np.packbits(dense, axis=1).view(np.uint64)
-    for i in range(n_heavy - 1):
-        both = np.bitwise_count(bits[i] & bits[i + 1 :]).sum(axis=1, dtype=np.int64)
-        hit = np.flatnonzero(both)
-        keys.append(h_names[i] * width + h_names[i + 1 + hit])
-        counts.append(both[hit])
-
     l_rec, l_item = rec[~hot], local[~hot]
-    if n_heavy and len(l_item):
+
+    if n_heavy:
+        dense = np.zeros((n_heavy, -(-n_rec // 64) * 64), np.uint8)
+        dense[row_of[local[hot]], rec[hot]] = 1
+        bits = np.packbits(dense, axis=1).view(np.uint64)
+        keys: list[np.ndarray] = []
+        counts: list[np.ndarray] = []
+        kept = 0
+        for i in range(n_heavy - 1):
+            both = np.bitwise_count(bits[i] & bits[i + 1 :]).sum(axis=1, dtype=np.int64)
+            hit = np.flatnonzero(both)
+            keys.append(h_names[i] * width + h_names[i + 1 + hit])
+            counts.append(both[hit])
+            kept += len(hit)
+            if kept > BUFFER or (kept and i == n_heavy - 2):
+                yield _counted(keys, names, counts)
+                keys, counts, kept = [], [], 0
         order = np.argsort(l_item, kind="stable")
         item, at = l_item[order], l_rec[order]
-        by_record = np.ascontiguousarray(dense.T)
-        step = max(1, BUFFER * 8 // n_heavy)
+        step = max(1, CELLS // n_heavy)
         for lo in range(0, len(item), step):
             part = item[lo : lo + step]
             starts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
-            both = np.add.reduceat(by_record[at[lo : lo + step]], starts, axis=0, dtype=np.int64)
-            x, y = np.nonzero(both)
-            light, high = part[starts][x], h_names[y]
-            keys.append(np.minimum(light, high) * width + np.maximum(light, high))
-            counts.append(both[x, y])
+            both = np.add.reduceat(dense[:, at[lo : lo + step]], starts, axis=1, dtype=np.int32)
+            y, x = np.nonzero(both)
+            for k in range(0, len(x), BUFFER):
+                light, high = part[starts][x[k : k + BUFFER]], h_names[y[k : k + BUFFER]]
+                yield _counted([np.minimum(light, high) * width + np.maximum(light, high)], names, [both[y[k : k + BUFFER], x[k : k + BUFFER]]])
 
-    kept, step = 0, 1
+    keys, kept, step = [], 0, 1
     while step < len(l_item):  # light items of a record follow one another, in order of their codes
-        same = l_rec[step:] == l_rec[:-step]
-        if not same.any():
+        any_same = False
+        for lo in range(0, len(l_item) - step, BUFFER):
+            hi = min(lo + BUFFER, len(l_item) - step)
+            same = np.flatnonzero(l_rec[lo + step : hi + step] == l_rec[lo:hi]) + lo
+            any_same |= len(same) > 0
+            keys.append(l_item[same] * width + l_item[same + step])
+            kept += len(same)
+            if kept > BUFFER:
+                yield _counted(keys, names)
+                keys, kept = [], 0
+        if not any_same:
             break
-        found = l_item[:-step][same] * width + l_item[step:][same]
-        keys.append(found)
-        counts.append(np.ones(len(found), np.int64))
-        kept += len(found)
-        if kept > BUFFER:
-            keys, counts = _counted(keys, counts)
-            kept = 0
         step += 1
-    (k,), (n,) = _counted(keys, counts)
-    a, b = names[k // width] if len(k) else k, names[k % width] if len(k) else k
-    return np.minimum(a, b), np.maximum(a, b), n
+    if kept:
+        yield _counted(keys, names)
+
+
+def blocks_of(batches: Iterator[pa.RecordBatch], heavy: np.ndarray) -> Iterator[pa.ListArray]:
+    """The records of the batches in blocks within the bounds; a record beyond them is a block of its own."""
+    kept: list[pa.Array] = []
+    n = pairs = 0
+    most = max(64, min(BLOCK, CELLS // max(len(heavy), 1)))
+    for batch in batches:
+        lists = batch.column(0)
+        offsets = np.asarray(lists.offsets, np.int64) - lists.offsets[0].as_py()
+        light = np.r_[0, np.cumsum(~np.isin(np.asarray(lists.flatten(), np.int64), heavy))]
+        own = np.r_[0, np.cumsum((light[offsets[1:]] - light[offsets[:-1]]) ** 2 // 2)]  # pairs up to each record
+        at = 0
+        while at < len(lists):
+            end = min(len(lists), at + most - n, max(int(np.searchsorted(own, own[at] + BUFFER - pairs, "right")) - 1, at + (n == 0)))
+            if end > at:
+                kept.append(lists.slice(at, end - at))
+                n, pairs, at = n + end - at, pairs + int(own[end] - own[at]), end
+            if at < len(lists) or n >= most:
+                yield pa.concat_arrays(kept)
+                kept, n, pairs = [], 0, 0
+    if kept:
+        yield pa.concat_arrays(kept)
 
 
 def pair_counts(records: DataFrame, heavy: list[int]) -> DataFrame:
     """(a, b, n): over all records, from an array column `codes`."""
     heavy_codes = np.sort(np.array(heavy, np.int64))
 
-    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: list[pa.Array] = []
-
-        def counted() -> pa.RecordBatch:
-            whole = pa.concat_arrays(kept)
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in blocks_of(batches, heavy_codes):
             offsets = np.asarray(whole.offsets, np.int64)
-            a, b, n = count_block(offsets - offsets[0], np.asarray(whole.flatten(), np.int64), heavy_codes)
-            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(n)], ["a", "b", "n"])
-
-        for batch in batches:
-            kept.append(batch.column(0))
-            if sum(map(len, kept)) >= BLOCK:
-                yield counted()
-                kept.clear()
-        if kept:
-            yield counted()
-
-    return records.select("codes").mapInArrow(blocks, "a long, b long, n long").groupBy("a", "b").agg(F.sum("n").alias("n_ab"))
+            for a, b, n in count_block(offsets - offsets[0], np.asarray(whole.flatten(), np.int64), heavy_codes):
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(n)], ["a", "b", "n"])
+
+    return records.select("codes").mapInArrow(count, "a long, b long, n long").groupBy("a", "b").agg(F.sum("n").alias("n_ab"))
 
 
 def cooccurring_pairs(records: DataFrame, items: str, min_count: int = 5, min_share: float = 1 / 2000, min_lift: float = 0.0, heavy_share: float = 1 / 64) -> DataFrame:

@@ -33,7 +33,7 @@ from interlace.plans.storage import fits, written
 #: At most so many pairs are labelled for the fit; their order is a hash of the key.
 FIT_ROWS = 4000
 #: So many responses are made for the fit.
-SENTENCES = 3500
+SENTENCES = 6000
 #: Longer pairs are judged, but not among those.
 FIT_CHARS = 4000
 #: A clause with that share of the prompt in it, or of a clause with Japanese around it that larger one, and responses with that share

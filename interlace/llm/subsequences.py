@@ -2,11 +2,13 @@
 
 The positions of each event in a block of sequences are bits, a sequence having as many 64-bit words as its length needs. A pattern
 is extended by an event by keeping, of each sequence, the bits after the pattern's first end and intersecting them with the event's
-bits; sequences with a bit left contain the extended pattern. Patterns are extended depth-first.
+bits; sequences with a bit left contain the extended pattern. Patterns are extended depth-first. The bit vectors are sparse: a word
+has entries only for the events that occur in it, so a block needs memory for its occurrences, not for events times words.
 
 A pattern with a share s of all sequences has that share in at least one block. So one pass mines each block for the patterns with
 the share s there, and a second pass counts exactly these candidates over all blocks. Nothing is capped: candidates beyond a bound
-are counted in several passes.
+are counted in several passes. A block ends at EVENTS occurrences, but not before it has LEAST_SEQUENCES sequences, as the candidates
+of very small blocks are many; what is left at the end of a partition joins its last block.
 
 Defined cases: empty and null sequences count for nothing; an event may recur in a pattern; an empty table gives an empty result.
 """
@@ -23,12 +25,15 @@ from pyspark.sql import functions as F
 from interlace.llm.encoding import encode
 from interlace.plans.storage import fits, written
 
-BLOCK = 16_384  # sequences mined together
+BLOCK = 16_384  # most sequences mined together
+EVENTS, LEAST_SEQUENCES = 1_000_000, 400
 CANDIDATES = 200_000  # patterns counted in one pass
 
+Found = tuple[int, int, np.ndarray, np.ndarray]
+
 
 class Bitmaps:
-    """Bit vectors of the events of a block of sequences."""
+    """Sparse bit vectors of the events of a block of sequences: entries (event, bits), sorted by word."""
 
     def __init__(self, offsets: np.ndarray, codes: np.ndarray):
         lengths = np.diff(offsets)
@@ -41,8 +46,12 @@ class Bitmaps:
         self.n_words = len(self.seq_of)
         self.last_of = (first + words - 1)[self.seq_of] if len(lengths) else self.seq_of
         self.single = bool((words <= 1).all())
-        self.bits = np.zeros((len(self.names), self.n_words), np.uint64)
-        np.bitwise_or.at(self.bits, (local, first[seq] + at // 64), np.uint64(1) << (at % 64).astype(np.uint64))
+        key = (first[seq] + at // 64) * np.int64(max(len(self.names), 1)) + local
+        entry, inverse = np.unique(key, return_inverse=True)
+        self.bits = np.zeros(len(entry), np.uint64)
+        np.bitwise_or.at(self.bits, inverse, np.uint64(1) << (at % 64).astype(np.uint64))
+        self.event = (entry % max(len(self.names), 1)).astype(np.int32)
+        self.start_of = np.searchsorted(entry // max(len(self.names), 1), np.arange(self.n_words + 1))
 
     def after(self, words: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Words, and their bits, that lie after the first of `bits` in each sequence."""
@@ -58,50 +67,53 @@ class Bitmaps:
         step = np.arange(len(out)) - np.repeat(np.cumsum(more + 1) - (more + 1), more + 1)
         return out + step, np.where(step == 0, np.repeat(rest, more + 1), ~np.uint64(0))
 
-    def support(self, hit: np.ndarray, words: np.ndarray) -> np.ndarray:
-        """Sequences with a bit left, for each row of `hit`."""
-        if self.single or not len(words):
-            return np.count_nonzero(hit, axis=1)
-        seq = self.seq_of[words]
-        return np.logical_or.reduceat(hit, np.flatnonzero(np.r_[True, seq[1:] != seq[:-1]]), axis=1).sum(axis=1)
-
-    def extend(self, rows: np.ndarray, words: np.ndarray, rest: np.ndarray, keep: Callable[[np.ndarray], np.ndarray]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-        """(row, support, words, bits) for the events `rows` after a prefix, where `keep` holds for the support."""
-        if not len(words):
+    def extend(self, allowed: np.ndarray, words: np.ndarray, rest: np.ndarray, keep: Callable[[np.ndarray], np.ndarray]) -> Iterator[Found]:
+        """(event, support, words, bits) for the allowed events (a mask) after a prefix, where `keep` holds for the support."""
+        counts = self.start_of[words + 1] - self.start_of[words]
+        at = np.repeat(self.start_of[words] - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
+        both = self.bits[at] & np.repeat(rest, counts)
+        event = self.event[at]
+        hit = np.flatnonzero((both != 0) & allowed[event])
+        if not len(hit):
             return
-        for lo in range(0, len(rows), 64):
-            part = rows[lo : lo + 64]
-            both = self.bits[part][:, words] & rest
-            n = self.support(both != 0, words)
-            for k in np.flatnonzero(keep(n)):
-                nonzero = np.flatnonzero(both[k])
-                yield int(part[k]), int(n[k]), words[nonzero], both[k][nonzero]
+        hit = hit[np.argsort(event[hit], kind="stable")]
+        event, word, both = event[hit], np.repeat(words, counts)[hit], both[hit]
+        edges = np.flatnonzero(np.r_[True, event[1:] != event[:-1], True])
+        if self.single:
+            support = np.diff(edges)
+        else:
+            seq = self.seq_of[word]
+            fresh = np.r_[True, (event[1:] != event[:-1]) | (seq[1:] != seq[:-1])]
+            support = np.add.reduceat(fresh.astype(np.int64), edges[:-1])
+        for k in np.flatnonzero(keep(support)):
+            lo, hi = edges[k], edges[k + 1]
+            yield int(event[lo]), int(support[k]), word[lo:hi], both[lo:hi]
 
 
 def mine(maps: Bitmaps, least: int, min_length: int, max_length: int) -> Iterator[tuple[tuple[int, ...], int]]:
-    """Patterns, as rows of the bitmaps, that at least `least` sequences of the block contain."""
-    everywhere = np.arange(maps.n_words)
-    all_rows = np.arange(len(maps.names))
+    """Patterns, as numbers of the block's events, that at least `least` sequences of the block contain."""
     keep = lambda n: n >= least
-    open_ = [((r,), n, w, b) for r, n, w, b in maps.extend(all_rows, everywhere, np.full(maps.n_words, ~np.uint64(0)), keep)]
-    frequent = np.array([p[0] for p, *_ in open_], np.int64)
+    allowed = np.ones(len(maps.names), bool)
+    open_ = [((e,), n, w, b) for e, n, w, b in maps.extend(allowed, np.arange(maps.n_words), np.full(maps.n_words, ~np.uint64(0)), keep)]
+    allowed = np.isin(np.arange(len(maps.names)), [p[0] for p, *_ in open_])
     while open_:
         pattern, n, words, bits = open_.pop()
         if len(pattern) >= min_length:
             yield pattern, n
         if len(pattern) < max_length:
-            open_ += [((*pattern, r), m, w, b) for r, m, w, b in maps.extend(frequent, *maps.after(words, bits), keep)]
+            open_ += [((*pattern, e), m, w, b) for e, m, w, b in maps.extend(allowed, *maps.after(words, bits), keep)]
 
 
 def count_candidates(maps: Bitmaps, tree: dict) -> Iterator[tuple[int, int]]:
     """(candidate number, sequences of the block) for a tree of patterns by code; ends under the key None."""
-    row_of = {int(c): i for i, c in enumerate(maps.names)}
+    number_of = {int(c): i for i, c in enumerate(maps.names)}
     open_ = [(tree, np.arange(maps.n_words), np.full(maps.n_words, ~np.uint64(0)))]
     while open_:
         node, words, rest = open_.pop()
-        rows = np.array(sorted(row_of[c] for c in node if c is not None and c in row_of), np.int64)
-        for r, n, w, b in maps.extend(rows, words, rest, lambda n: n > 0):
-            child = node[int(maps.names[r])]
+        allowed = np.zeros(len(maps.names), bool)
+        allowed[[number_of[c] for c in node if c is not None and c in number_of]] = True
+        for e, n, w, b in maps.extend(allowed, words, rest, lambda n: n > 0):
+            child = node[int(maps.names[e])]
             if None in child:
                 yield child[None], n
             if len(child) > (None in child):
@@ -110,14 +122,27 @@ def count_candidates(maps: Bitmaps, tree: dict) -> Iterator[tuple[int, int]]:
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[Bitmaps]:
     kept: list[pa.Array] = []
+    full: list[pa.Array] = []  # a block that may be the last, which takes what is left
+    n = events = 0
     for batch in batches:
-        for lo in range(0, batch.num_rows, BLOCK):
-            kept.append(batch.column(0).slice(lo, BLOCK))
-            if sum(map(len, kept)) >= BLOCK:
-                yield _maps(kept)
-                kept = []
-    if kept:
-        yield _maps(kept)
+        lists = batch.column(0)
+        ends = np.asarray(lists.offsets, np.int64)[1:] - lists.offsets[0].as_py()
+        at = 0
+        while at < len(lists):
+            before = int(ends[at - 1]) if at else 0
+            most = int(np.searchsorted(ends, before + max(EVENTS - events, 0), "right")) - at
+            take = min(len(lists) - at, BLOCK - n, max(most, LEAST_SEQUENCES - n, 1))
+            kept.append(lists.slice(at, take))
+            n, events, at = n + take, events + int(ends[at + take - 1]) - before, at + take
+            if n >= BLOCK or (events >= EVENTS and n >= LEAST_SEQUENCES):
+                if full:
+                    yield _maps(full)
+                kept, full, n, events = [], kept, 0, 0
+    if n >= LEAST_SEQUENCES and full:
+        yield _maps(full)
+        full = []
+    if full or kept:
+        yield _maps(full + kept)
 
 
 def _maps(arrays: list[pa.Array]) -> Bitmaps:

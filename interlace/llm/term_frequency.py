@@ -1,9 +1,10 @@
 """Frequency of every distinct term, by a range-partitioned sort of (term, record) pairs and a run-length scan.
 
-The pairs are first combined within each map task, then range-partitioned on term and record together, so that a term of any
-frequency spreads over as many partitions as it needs, while all pairs of one term and record meet. Each partition is sorted (Spark
-spills to disk as it must) and scanned once: the ends of runs give occurrences and distinct records. Terms cut by a partition's
-edge have partial results on either side, which the last, small aggregation adds.
+Pairs that recur are first combined batch by batch in each map task, so that one that is repeated very often stays small; then they
+are range-partitioned on term and record together, the one shuffle of the pairs, so that a term of any frequency spreads over as many
+partitions as it needs, while all pairs of one term and record meet. Each partition is sorted (Spark spills to disk as it must) and
+scanned once: the ends of runs give occurrences and distinct records. Terms cut by a partition's edge have partial results on either
+side, which the last, small aggregation adds.
 
 Defined cases: null terms and null records are left out; an empty table gives an empty result.
 """
@@ -47,11 +48,18 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([open_term], pa.string()), pa.array([occurrences]), pa.array([records])], ["term", "n", "r"])
 
 
+def _combined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each pair of a batch once, with its number."""
+    for batch in batches:
+        found = pa.table({"term": batch.column(0), "record": batch.column(1)}).group_by(["term", "record"]).aggregate([([], "count_all")])
+        yield from found.rename_columns(["term", "record", "n"]).to_batches()
+
+
 def term_frequencies(pairs: DataFrame, term: str, record: str) -> DataFrame:
     """(term, occurrences, n_records) from one row per occurrence; `record` may be of any type that orders."""
-    counted = pairs.select(F.col(term).cast("string").alias("term"), F.col(record).alias("record")).where("term is not null and record is not null").groupBy("term", "record").agg(F.count("*").alias("n"))
-    ordered = counted.repartitionByRange("term", "record").sortWithinPartitions("term", "record")
-    runs = ordered.mapInArrow(_scan, "term string, n long, r long")
+    each = pairs.select(F.col(term).cast("string").alias("term"), F.col(record).alias("record")).where("term is not null and record is not null")
+    counted = each.mapInArrow(_combined, f"term string, record {each.schema['record'].dataType.simpleString()}, n long")
+    runs = counted.repartitionByRange("term", "record").sortWithinPartitions("term", "record").mapInArrow(_scan, "term string, n long, r long")
     return runs.groupBy("term").agg(F.sum("n").alias("occurrences"), F.sum("r").alias("n_records"))
 
 

@@ -33,11 +33,73 @@ def test_pairs(spark, heavy_share):
 
 
 def test_pairs_by_shuffled_vocabulary(spark, monkeypatch):
-    monkeypatch.setattr(encoding, "VOCABULARY", 0)
+    monkeypatch.setattr(encoding, "fits", lambda *a: False)
     got = cooccurrence.cooccurring_pairs(frame(spark), "items", min_count=3, min_share=0.0)
     assert {tuple(r)[:5] for r in got.collect()} == expected_pairs(RECORDS, 3)
 
 
+def test_pairs_of_small_blocks(spark, monkeypatch):
+    """Bounds end blocks and hand counts on early; nothing is lost."""
+    import pyarrow as pa
+
+    lists = [[RNG.randrange(40) for _ in range(RNG.randrange(0, 30))] for _ in range(300)] + [list(range(40))]
+    heavy = np.arange(5)
+    expected = Counter(p for r in lists for p in itertools.combinations(sorted(set(r)), 2))
+    for cells, buffer, block in ((10**6, 10**6, 10**6), (500, 50, 70), (10, 1, 1)):
+        monkeypatch.setattr(cooccurrence, "CELLS", cells)
+        monkeypatch.setattr(cooccurrence, "BUFFER", buffer)
+        monkeypatch.setattr(cooccurrence, "BLOCK", block)
+        batches = [pa.RecordBatch.from_arrays([pa.array(lists[i : i + 90], pa.list_(pa.int64()))], ["codes"]) for i in range(0, len(lists), 90)]
+        got, blocks = Counter(), list(cooccurrence.blocks_of(iter(batches), heavy))
+        assert sum(map(len, blocks)) == len(lists)
+        for whole in blocks:
+            offsets = np.asarray(whole.offsets, np.int64)
+            for a, b, n in cooccurrence.count_block(offsets - offsets[0], np.asarray(whole.flatten(), np.int64), heavy):
+                assert len(a) <= max(buffer * 2, 400)
+                for x, y, m in zip(a.tolist(), b.tolist(), n.tolist()):
+                    got[x, y] += m
+        assert got == expected
+
+
+def test_memory_of_blocks():
+    """Records of 40 items, half of them light, and sequences of 500 events: under 300 MB at the peak."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rng = np.random.default_rng(1)
+    heavy = np.arange(1000)
+    records = np.concatenate([rng.integers(0, 1000, (32_768, 20)), rng.integers(1000, 40_000, (32_768, 20))], axis=1)
+    lists = pa.ListArray.from_arrays(pa.array(np.arange(0, records.size + 1, 40, dtype=np.int32)), pa.array(records.ravel()))
+    tracemalloc.start()
+    for whole in itertools.islice(cooccurrence.blocks_of(iter([pa.RecordBatch.from_arrays([lists], ["codes"])]), heavy), 2):
+        offsets = np.asarray(whole.offsets, np.int64)
+        for _ in cooccurrence.count_block(offsets - offsets[0], np.asarray(whole.flatten(), np.int64), heavy):
+            pass
+    pairs_peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.reset_peak()
+    events = rng.integers(0, 1000, 4_096 * 500)
+    lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(events) + 1, 500, dtype=np.int32)), pa.array(events))
+    maps = next(subsequences._blocks(iter([pa.RecordBatch.from_arrays([lists], ["codes"])])))
+    assert sum(1 for _ in itertools.islice(subsequences.mine(maps, 600, 1, 2), 50)) == 50
+    mine_peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert pairs_peak < 300e6 and mine_peak < 300e6, (pairs_peak, mine_peak)
+
+
+def test_blocks_of_sequences(monkeypatch):
+    import pyarrow as pa
+
+    lists = [[1] * RNG.randrange(1, 9) for _ in range(500)]
+    batches = [pa.RecordBatch.from_arrays([pa.array(lists[i : i + 64])], ["codes"]) for i in range(0, 500, 64)]
+    for block, events, least in ((16_384, 10**6, 400), (100, 10**6, 10), (100, 60, 20), (10, 5, 3)):
+        monkeypatch.setattr(subsequences, "BLOCK", block)
+        monkeypatch.setattr(subsequences, "EVENTS", events)
+        monkeypatch.setattr(subsequences, "LEAST_SEQUENCES", least)
+        sizes = [len(np.unique(m.seq_of)) for m in subsequences._blocks(iter(batches))]
+        assert sum(sizes) == 500 and min(sizes) >= min(least, 500) and max(sizes) < block + least
+
+
 def test_pairs_of_nothing(spark):
     assert rows(cooccurrence.cooccurring_pairs(frame(spark, [[], None]), "items")) == [] and rows(cooccurrence.cooccurring_pairs(frame(spark).limit(0), "items")) == []
 
