@@ -7,11 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from interlace.functions.oracle import sentence_ids
+from interlace.functions.oracle import packed_values
 from interlace.functions.text import strip
 from interlace.llm.cooccurrence import cooccurring_pairs
 from interlace.llm.leakage import leaks
-from interlace.llm.lookalikes import lookalike_classes, lookalike_pairs
+from interlace.llm.lookalikes import consistent_sql, lookalike_classes, lookalike_pairs
 from interlace.llm.mixing import mixed, planned, reached_shares, tempered_shares, token_table
 from interlace.llm.pair_defects import pair_defects
 from interlace.llm.sentence_items import sentence_items
@@ -121,6 +121,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (p2_found, p2_pairs, p3_found, p3_forms, p4_found, p4_pairs, p5_found, p5_terms, p6_found, p6_patterns, p7_found, p7_leaks, p8_mix, p8_shares, p8_tempered, p9_pieces)
 }
 
+def sentence_ids() -> str:
+    """DuckDB: CTEs `one` (sentence_id, ids: list in order) and `n` (n: sentences with an ID)."""
+    return f"""one AS (SELECT sentence_id, list_filter({packed_values('annotation')}, lambda v: v NOT IN ('r', '?')) AS ids
+        FROM (SELECT sentence_id, max(annotation) AS annotation FROM sentences WHERE annotation IS NOT NULL GROUP BY 1)),
+    n AS (SELECT count(*) AS n FROM one WHERE len(ids) > 0)"""
+
+
 _P2 = f"""WITH {sentence_ids()},
     each AS (SELECT DISTINCT sentence_id, unnest(ids) AS id FROM one),
     k AS (SELECT id, count(*) AS k FROM each GROUP BY 1),
@@ -142,7 +149,11 @@ _P6 = f"""WITH {sentence_ids()},
     p AS (SELECT x.id AS step_1, y.id AS step_2, z.id AS step_3, count(DISTINCT x.sentence_id) AS support
         FROM e x JOIN e y ON x.sentence_id = y.sentence_id AND x.at < y.at JOIN e z ON y.sentence_id = z.sentence_id AND y.at < z.at GROUP BY 1, 2, 3)"""
 
+_P3 = "WITH f AS (" + " UNION ALL ".join(f"SELECT '{f}' AS field_name, row_id, {f} AS value, {consistent_sql(f)} AS canon FROM sentences WHERE {f} IS NOT NULL" for f in ("text", "translation_jp")) + ")"
+
 ORACLES: dict[str, str] = {
+    "p3_found": f"{_P3} SELECT a.field_name, a.row_id AS row_id_a, b.row_id AS row_id_b FROM f a JOIN f b ON a.field_name = b.field_name AND a.canon = b.canon AND a.value <> b.value AND a.row_id < b.row_id",
+    "p3_forms": f"{_P3}, c AS (SELECT field_name, canon, count(*) AS n_rows, count(DISTINCT value) AS n_values FROM f GROUP BY ALL HAVING count(DISTINCT value) > 1) SELECT field_name, row_id, canon, n_rows, n_values FROM f JOIN c USING (field_name, canon)",
     "p2_found": f"{_P2} SELECT id_a, id_b FROM p WHERE n_ab * n_records >= 3 * n_a * n_b",
     "p2_pairs": f"{_P2} SELECT * FROM p",
     "p5_found": f"{_P5} SELECT field_name, term, freq_mark FROM m WHERE freq_mark IS NOT NULL",

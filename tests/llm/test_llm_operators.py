@@ -170,11 +170,27 @@ def test_lookalikes(spark):
     for a, b in [("ｶ\uff9eり", "ガリ"), ("c\u00efx", "ci\u0308x"), ("\ufa26", "都"), ("\u2f2d", "山"), ("ｶ力ロ口", "カカロロ")]:
         df = spark.createDataFrame([(1, a), (2, b)], "k long, text string")
         assert len(rows(lookalikes.lookalike_pairs(df, "k", ["text"]))) == 1, (a, b)
+    alike = "a\u3164b a\uffa0b|ab ab;eﬃx|effix;ﬄ|ffl;ﬆ|st;Ⅳ|IV;℃|°C;ĳ|ij;ǆ|dž;ꓮᎪՏη|AASn;才千丿|オチノ;㎏|kg"
+    data = [(k, side) for k, pair in enumerate(alike.split(";")) for side in pair.split("|")]
+    df = spark.createDataFrame([(2 * k + i % 2, t) for i, (k, t) in enumerate(data)], "k long, text string")
+    assert {(r[1], r[2]) for r in rows(lookalikes.lookalike_pairs(df, "k", ["text"]))} == {(2 * k, 2 * k + 1) for k in range(len(data) // 2)}
     df = spark.createDataFrame([(1, "ハ"), (2, "バ"), (3, "パ"), (4, "x" * 100_000)], "k long, text string").withColumns({"canon": F.lit(1), "value": F.lit(2), "odd": F.lit(3)})
     assert rows(lookalikes.lookalike_pairs(spark.createDataFrame([(None, "ａ"), (1, "a"), (2, "ａ")], "k long, text string"), "k", ["text"])) == [("text", 1, 2)]
     assert rows(lookalikes.lookalike_pairs(df, "k", ["text"])) == [] == rows(lookalikes.lookalike_pairs(df.limit(0), "k", ["text"]))
 
 
+def test_lookalike_classes(spark, monkeypatch):
+    """Every row of a class, by broadcast or by shuffling; one text many times is no class."""
+    data = [(1, "ab"), (2, "ａb"), (3, "ab"), (4, "ａｂ"), (5, "c"), (6, "c"), (None, "a\u200bb"), (7, None), (8, "ｃd")]
+    df = spark.createDataFrame(data, "k long, text string").withColumns({"c1": F.lit(1), "v": F.lit(2), "canon": F.lit("x")})
+    expected = sorted([("text", k, "ab", 5, 4) for k in (1, 2, 3, 4, None)], key=repr)
+    assert rows(lookalikes.lookalike_classes(df, "k", ["text"])) == expected
+    pairs = rows(lookalikes.lookalike_pairs(df, "k", ["text"]))
+    monkeypatch.setattr(lookalikes, "fits", lambda *a: False)
+    assert rows(lookalikes.lookalike_classes(df, "k", ["text"])) == expected and rows(lookalikes.lookalike_pairs(df, "k", ["text"])) == pairs == [("text", 1, 2), ("text", 1, 4), ("text", 2, 3), ("text", 2, 4), ("text", 3, 4)]
+    assert rows(lookalikes.lookalike_classes(df.limit(0), "k", ["text"])) == []
+
+
 def test_smith_waterman_in_bands():
     """All diagonals give the whole table's score; fewer give that of the cells on them."""
 
