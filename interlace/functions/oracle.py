@@ -15,13 +15,6 @@ def packed_values(column: str) -> str:
     return f"list_filter(list_transform({raw}, lambda v: {bare}), lambda v: v <> '')"
 
 
-def sentence_ids() -> str:
-    """DuckDB: CTEs `one` (sentence_id, ids: list in order) and `n` (n: sentences with an ID)."""
-    return f"""one AS (SELECT sentence_id, list_filter({packed_values('annotation')}, lambda v: v NOT IN ('r', '?')) AS ids
-        FROM (SELECT sentence_id, max(annotation) AS annotation FROM sentences WHERE annotation IS NOT NULL GROUP BY 1)),
-    n AS (SELECT count(*) AS n FROM one WHERE len(ids) > 0)"""
-
-
 def strip(c: str) -> str:
     return f"regexp_replace({c}, '^[{_BLANK}]+|[{_BLANK}]+$', '', 'g')"
 
