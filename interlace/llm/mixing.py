@@ -7,7 +7,9 @@ weights are p^x with x bisected to meet it.
 
 A source's tokens are then drawn in epochs, each a permutation of its documents by a seeded hash. Whole epochs take all documents;
 the last takes a prefix of the permutation. The permutation is cut into BLOCKS blocks by the hash: block sums and their running total
-show which blocks are taken whole and which one the budget ends in, and only that block is ordered document by document. The document that the budget ends in is used if most of it is within.
+show which blocks are taken whole and which one the budget ends in, and only that block is ordered document by document. The document
+that the budget ends in is used if most of it is within. A document's place in its epoch's permutation spreads the source evenly over
+the mix: in the order of `at`, any stretch of the mix has the sources in about their shares.
 
 Defined cases: documents without text, tokens, source or a source with a target aren't used; a source without documents gets nothing
 and its share is spread over the others; repeated documents count apart; empty tables give empty results.
@@ -18,7 +20,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from interlace.llm.tokens import TOKENIZER, with_token_counts
@@ -69,20 +71,28 @@ class Plan:
     sources: dict[str, tuple[float, float, int, int, int]]
 
 
-def plan(available: dict[str, int], targets: dict[str, tuple[float, int]], budget: int | None) -> Plan:
-    """Weights and token quotas from the tokens of each source, and its target share and most repeats."""
+def plan(available: dict[str, int], targets: dict[str, tuple[float, int]], budget: int | None = None, target_entropy: float | None = None) -> Plan:
+    """Weights and token quotas from the tokens of each source, and its target share and most repeats. With a target entropy the
+    weights are tempered own shares of that entropy, whatever the target shares, and a budget beyond the limits is cut to them."""
     use = {s: n for s, n in available.items() if n > 0 and targets.get(s, (0, 0))[0] > 0 and targets[s][1] > 0}
     total = sum(use.values())
     own = {s: n / total for s, n in use.items()}
     share = {s: targets[s][0] for s in use}
     most = {s: n * targets[s][1] for s, n in use.items()}
+    if target_entropy is not None and use:
+        x, w = weights_for_entropy(own, target_entropy)
+        budget = min([int(most[s] / w[s]) for s in w] + ([budget] if budget is not None else []))
+        return _plan(x, budget, targets, w, available, most)
     if budget is None:
         w = tempered(own, 1.0, share)
         budget = min((int(most[s] / w[s]) for s in w), default=0)
     budget = min(budget, sum(most.values()))
     fits = lambda x: all(w * budget <= most[s] * (1 + 1e-12) for s, w in tempered(own, x, share).items())
     x = bisect(0.0, 1.0, fits) if use and fits(0.0) else 0.0
-    w = tempered(own, x, share)
+    return _plan(x, budget, targets, tempered(own, x, share), available, most)
+
+
+def _plan(x: float, budget: int, targets: dict[str, tuple[float, int]], w: dict[str, float], available: dict[str, int], most: dict[str, int]) -> Plan:
     return Plan(x, budget, {s: (targets[s][0], w.get(s, 0.0), available.get(s, 0), targets[s][1], min(most.get(s, 0), int(w.get(s, 0.0) * budget))) for s in targets})
 
 
@@ -105,47 +115,49 @@ def wanted_shares(targets: DataFrame) -> dict[str, tuple[float, int]]:
     return wanted
 
 
-def planned(tokens: DataFrame, targets: DataFrame, budget: int | None = None) -> Plan:
+def planned(tokens: DataFrame, targets: DataFrame, budget: int | None = None, target_entropy: float | None = None) -> Plan:
     """The plan for the token table `tokens` under (source, target_share, max_repeats)."""
     available = {r[0]: r[1] for r in tokens.groupBy("source").agg(F.sum("n_tokens")).collect()}
-    return plan(available, wanted_shares(targets), budget)
+    return plan(available, wanted_shares(targets), budget, target_entropy)
+
+
+def _place(epoch: Column, key: str, seed: int) -> Column:
+    """Where a document stands in the permutation of an epoch, from 0 to 1."""
+    return F.shiftrightunsigned(F.xxhash64(F.lit(seed), epoch, F.col(key)), 11) / float(1 << 53)
 
 
 def mixed(tokens: DataFrame, made: Plan, key: str = "doc_id", seed: int = 0) -> DataFrame:
-    """(key, source, epoch, n_tokens): every use of a document; a document's epochs begin at 0 and differ."""
+    """(key, source, epoch, n_tokens, at): every use of a document; a document's epochs begin at 0 and differ. `at`, from 0 to 1, is
+    the place in the mix."""
     spark = tokens.sparkSession
-    rows = [(s, q // n, q % n) for s, (_, _, n, _, q) in made.sources.items() if n > 0 and q > 0]
-    quotas = F.broadcast(spark.createDataFrame(rows, "source string, whole long, rest long"))
+    rows = [(s, q // n, q % n, q / n) for s, (_, _, n, _, q) in made.sources.items() if n > 0 and q > 0]
+    quotas = F.broadcast(spark.createDataFrame(rows, "source string, whole long, rest long, epochs double"))
     drawn = tokens.join(quotas, "source")
-    full = drawn.where("whole > 0").select(key, "source", F.explode(F.sequence(F.lit(0).cast("long"), F.col("whole") - 1)).alias("epoch"), "n_tokens")
-    placed = drawn.where("rest > 0").withColumn("h", F.xxhash64(F.lit(seed), "whole", key)).withColumn("block", F.pmod(F.col("h"), F.lit(BLOCKS)))
+    full = drawn.where("whole > 0").withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("whole") - 1))).withColumn("u", _place(F.col("epoch"), key, seed))
+    placed = drawn.where("rest > 0").withColumn("epoch", F.col("whole")).withColumn("u", _place(F.col("epoch"), key, seed)).withColumn("block", F.floor(F.col("u") * BLOCKS))
     sums = placed.groupBy("source", "block").agg(F.sum("n_tokens").alias("block_tokens"))
     running = sums.withColumn("upto", F.sum("block_tokens").over(Window.partitionBy("source").orderBy("block"))).join(quotas, "source").where("upto > rest")
     edges = running.groupBy("source").agg(F.min_by(F.struct("block", (F.col("upto") - F.col("block_tokens")).alias("before")), "block").alias("e"))
-    at = placed.join(F.broadcast(edges), "source", "left").withColumns({"edge": F.coalesce("e.block", F.lit(BLOCKS)), "before": F.col("e.before")})
-    whole = at.where("block < edge")
-    edge = at.where("block = edge").withColumn("upto", F.sum("n_tokens").over(Window.partitionBy("source").orderBy("h", key).rowsBetween(Window.unboundedPreceding, 0)))
-    last = [x.select(key, "source", F.col("whole").alias("epoch"), "n_tokens") for x in (whole, edge.where("2 * (before + upto) - n_tokens <= 2 * rest"))]
-    return full.unionByName(last[0]).unionByName(last[1])
+    found = placed.join(F.broadcast(edges), "source", "left").withColumns({"edge": F.coalesce("e.block", F.lit(BLOCKS).cast("long")), "before": F.col("e.before")})
+    edge = found.where("block = edge").withColumn("upto", F.sum("n_tokens").over(Window.partitionBy("source").orderBy("u", key).rowsBetween(Window.unboundedPreceding, 0)))
+    parts = (full, found.where("block < edge"), edge.where("2 * (before + upto) - n_tokens <= 2 * rest"))
+    at = F.least((F.col("epoch") + F.col("u")) / F.col("epochs"), F.lit(1.0)).alias("at")
+    uses = [x.select(key, "source", "epoch", "n_tokens", at) for x in parts]
+    return uses[0].unionByName(uses[1]).unionByName(uses[2])
 
 
 def reached_shares(mix: DataFrame, made: Plan) -> DataFrame:
-    """(source, target_share, weight, available_tokens, max_repeats, mixed_tokens, actual_share, most_uses), a row per target."""
+    """(source, target_share, exponent, weight, available_tokens, max_repeats, mixed_tokens, actual_share, most_uses), a row per
+    target."""
     spark = mix.sparkSession
-    rows = [(s, t, round(w, 9), n, m) for s, (t, w, n, m, _) in made.sources.items()]
-    wanted = spark.createDataFrame(rows, "source string, target_share double, weight double, available_tokens long, max_repeats int")
+    rows = [(s, t, round(made.exponent, 9), round(w, 9), n, m) for s, (t, w, n, m, _) in made.sources.items()]
+    wanted = spark.createDataFrame(rows, "source string, target_share double, exponent double, weight double, available_tokens long, max_repeats int")
     got = mix.groupBy("source").agg(F.sum("n_tokens").alias("mixed_tokens"), (F.max("epoch") + 1).alias("most_uses"))
     out = wanted.join(got, "source", "left").na.fill(0, ["mixed_tokens", "most_uses"])
     total = F.sum("mixed_tokens").over(Window.partitionBy())
     return out.withColumn("actual_share", F.round(F.try_divide(F.col("mixed_tokens"), total), 9))
 
 
-def tempered_shares(tokens: DataFrame, targets: DataFrame) -> DataFrame:
-    """(source, tokens, own_share, exponent, weight): own shares p^x, x bisected so that the entropy is that of the target shares of
-    the same sources, or as near as an exponent between 0 and 1 comes."""
-    wanted = wanted_shares(targets)
-    sums = {r[0]: r[1] for r in tokens.groupBy("source").agg(F.sum("n_tokens")).collect() if wanted.get(r[0], (0, 0))[0] > 0}
-    own = {s: n / sum(sums.values()) for s, n in sums.items()}
-    x, w = weights_for_entropy(own, entropy(tempered(own, 1.0, {s: wanted[s][0] for s in own})))
-    rows = [(s, n, round(own[s], 9), round(x, 9), round(w[s], 9)) for s, n in sums.items()]
-    return tokens.sparkSession.createDataFrame(rows, "source string, tokens long, own_share double, exponent double, weight double")
+def target_entropy(targets: DataFrame) -> float:
+    """The entropy of the target shares."""
+    return entropy({s: t for s, (t, _) in wanted_shares(targets).items()})

@@ -12,7 +12,7 @@ from interlace.functions.text import strip
 from interlace.llm.cooccurrence import cooccurring_pairs
 from interlace.llm.leakage import leaks
 from interlace.llm.lookalikes import consistent_sql, lookalike_classes, lookalike_pairs
-from interlace.llm.mixing import mixed, planned, reached_shares, tempered_shares, token_table
+from interlace.llm.mixing import Plan, entropy, mixed, planned, reached_shares, target_entropy, token_table
 from interlace.llm.pair_defects import pair_defects
 from interlace.llm.sentence_items import sentence_items
 from interlace.llm.splitting import split_texts
@@ -94,23 +94,43 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "eval_items")).select("doc_id", "item_id")
 
 
-def p8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _tokens(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     targets = _table(spark, sf_dir, "mix_targets")
-    tokens = token_table(_table(spark, sf_dir, "documents"), targets)
-    return mixed(tokens, planned(tokens, targets))
+    return token_table(_table(spark, sf_dir, "documents"), targets), targets
 
 
-def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
-    targets = _table(spark, sf_dir, "mix_targets")
-    tokens = token_table(_table(spark, sf_dir, "documents"), targets)
+def _mixes(tokens: DataFrame, targets: DataFrame, kind: str) -> tuple[DataFrame, Plan]:
+    """A mix and its plan: the target shares; a budget of all tokens, at which the repetition limits bound the exponent; or own shares
+    tempered to an entropy half-way from theirs to that of the target shares."""
     made = planned(tokens, targets)
-    return reached_shares(mixed(tokens, made), made)
+    if kind == "budget":
+        made = planned(tokens, targets, budget=sum(n for _, _, n, _, _ in made.sources.values()))
+    elif kind == "entropy":
+        own = {s: n for s, (_, _, n, _, _) in made.sources.items() if n > 0}
+        shares = {s: n / sum(own.values()) for s, n in own.items()}
+        made = planned(tokens, targets, target_entropy=(entropy(shares) + target_entropy(targets)) / 2)
+    return mixed(tokens, made), made
+
+
+def p8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mixes(*_tokens(spark, sf_dir), "targets")[0]
+
+
+def p8_budgeted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As many tokens as the documents have: the exponent is the largest that the repetition limits permit at that budget."""
+    return _mixes(*_tokens(spark, sf_dir), "budget")[0]
 
 
 def p8_tempered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The sources' own token shares, tempered to the entropy of the target shares."""
-    targets = _table(spark, sf_dir, "mix_targets")
-    return tempered_shares(token_table(_table(spark, sf_dir, "documents"), targets), targets)
+    """The sources' own token shares, tempered to a target entropy."""
+    return _mixes(*_tokens(spark, sf_dir), "entropy")[0]
+
+
+def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shares and exponent of the three mixes."""
+    tokens, targets = _tokens(spark, sf_dir)
+    each = [reached_shares(*_mixes(tokens, targets, kind)).withColumn("mix", F.lit(kind)) for kind in ("targets", "budget", "entropy")]
+    return each[0].unionByName(each[1]).unionByName(each[2])
 
 
 def p9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -118,7 +138,7 @@ def p9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p2_found, p2_pairs, p3_found, p3_forms, p4_found, p4_pairs, p5_found, p5_terms, p6_found, p6_patterns, p7_found, p7_leaks, p8_mix, p8_shares, p8_tempered, p9_pieces)
+    f.__name__: f for f in (p2_found, p2_pairs, p3_found, p3_forms, p4_found, p4_pairs, p5_found, p5_terms, p6_found, p6_patterns, p7_found, p7_leaks, p8_mix, p8_budgeted, p8_tempered, p8_shares, p9_pieces)
 }
 
 def sentence_ids() -> str:

@@ -311,7 +311,10 @@ def test_weights():
     assert made.exponent == 1.0 and made.budget == 500 and made.sources["c"][4] == 200 and made.sources["none"][4] == 0
     tight = mixing.plan({"a": 700, "b": 200, "c": 100}, {"a": (0.2, 1), "b": (0.4, 2), "c": (0.4, 2)}, 800)
     assert 0 < tight.exponent < 1 and tight.sources["c"][4] in (199, 200)
-    assert mixing.plan({}, {"a": (1.0, 1)}, None).budget == 0
+    assert mixing.plan({}, {"a": (1.0, 1)}, None).budget == 0 and mixing.plan({}, {"a": (1.0, 1)}, None, 0.5).budget == 0
+    even = mixing.plan({"a": 700, "b": 200, "c": 100}, {"a": (0.2, 1), "b": (0.4, 2), "c": (0.4, 2)}, None, 1.0)
+    weights = {s: w for s, (_, w, *_) in even.sources.items()}
+    assert 0 < even.exponent < 1 and mixing.entropy(weights) == pytest.approx(1.0) and all(q <= n * m for _, _, n, m, q in even.sources.values()) and any(q >= n * m - 1 for _, _, n, m, q in even.sources.values())
 
 
 def test_mix_of_nothing(spark):
@@ -320,7 +323,7 @@ def test_mix_of_nothing(spark):
     tokens = mixing.token_table(docs, targets)
     made = mixing.planned(tokens, targets)
     mix = mixing.mixed(tokens, made)
-    assert rows(mix) == [(1, "s", 0, 3), (1, "s", 1, 3)]
+    assert [r[:4] for r in rows(mix)] == [(1, "s", 0, 3), (1, "s", 1, 3)] and [0 <= r[4] <= 0.5 for r in rows(mix)] == [True, False]
     shares = {r["source"]: r for r in mixing.reached_shares(mix, made).collect()}
     assert shares["s"]["actual_share"] == 1.0 and shares["gone"]["mixed_tokens"] == 0
     none = mixing.token_table(docs.limit(0), targets)

@@ -53,23 +53,43 @@ def test_lookalikes_against_all_pairs(spark, sf):
     assert set(got) == expected and len(got) == len(expected)
 
 
-def test_mix_holds_its_limits(spark, sf):
-    from interlace.llm.mixing import mixed, planned, token_table
+@pytest.mark.parametrize("kind", ["targets", "budget", "entropy"])
+def test_mix_holds_its_limits(spark, sf, kind):
+    from interlace.llm.mixing import mixed, token_table
+    from interlace.llm.queries import _mixes
 
     targets = spark.read.parquet(f"{sf}/mix_targets.parquet")
-    documents = spark.read.parquet(f"{sf}/documents.parquet")
-    tokens = token_table(documents, targets)
-    made = planned(tokens, targets)
-    assert made.exponent == 1.0
-    uses = rows(mixed(tokens, made))
+    tokens = token_table(spark.read.parquet(f"{sf}/documents.parquet"), targets)
+    mix, made = _mixes(tokens, targets, kind)
+    assert made.exponent == 1.0 if kind == "targets" else 0 < made.exponent < 1
+    uses = rows(mix)
     assert len({(r[0], r[2]) for r in uses}) == len(uses)
     longest = max(r["n_tokens"] for r in tokens.collect())
-    for source, (_, weight, available, repeats, quota) in made.sources.items():
+    for source, (target, weight, available, repeats, quota) in made.sources.items():
         own = [r for r in uses if r[1] == source]
         assert all(r[2] < repeats for r in own)
         assert abs(sum(r[3] for r in own) - quota) <= longest / 2 + 1 if available else not own
-    again = rows(mixed(tokens.repartition(7), made))
-    assert again == uses
+        if kind == "budget" and available:
+            assert quota <= available * repeats
+    assert rows(mixed(tokens.repartition(7), made)) == uses
+    assert all(0 <= r[4] <= 1 for r in uses)
+
+
+def test_mix_is_even_in_its_order(spark, sf):
+    """In the order of `at` each half of the mix has a large source's tokens in about the same share."""
+    uses = sorted(QUERIES["p8_mix"](spark, sf).collect(), key=lambda r: r["at"])
+    half = [uses[: len(uses) // 2], uses[len(uses) // 2 :]]
+    for source in {r["source"] for r in uses}:
+        n = [sum(r["source"] == source for r in part) for part in half]
+        assert abs(n[0] - n[1]) <= 4 * (sum(n) ** 0.5) + 2
+
+
+def test_shares_of_the_mixes(spark, sf):
+    got = {(r["mix"], r["source"]): r for r in QUERIES["p8_shares"](spark, sf).collect()}
+    mixes = {m for m, _ in got}
+    assert mixes == {"targets", "budget", "entropy"} and len({r["exponent"] for r in got.values()}) == 3
+    assert all(abs(sum(r["actual_share"] for (m, _), r in got.items() if m == mix) - 1) < 1e-6 for mix in mixes)
+    assert all(r["most_uses"] <= r["max_repeats"] for r in got.values())
 
 
 def test_pieces_of_all_documents(spark, sf):
