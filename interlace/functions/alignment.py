@@ -14,33 +14,46 @@ def _upto(n: Column) -> Column:
     return F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
 
 
-def _pair(gold: Column, predicted: Column) -> Column:
-    return F.struct(gold.cast("string").alias("gold"), predicted.cast("string").alias("predicted"))
+def _costs(gold: Column, predicted: Column) -> Column:
+    """The rows of the cost table, from that of no gold token on."""
+    first = F.sequence(F.lit(0), F.size(predicted))
 
+    def row(done: Column, i: Column) -> Column:
+        above, g = F.element_at(done, -1), F.element_at(gold, i)
 
-def _cell(cost: Column, errors: Column) -> Column:
-    return F.struct(cost.cast("int").alias("cost"), errors.cast(_ERRORS).alias("errors"))
+        def cell(line: Column, j: Column) -> Column:
+            corner = F.element_at(above, j)
+            cheapest = F.when(g == F.element_at(predicted, j), corner).otherwise(F.least(corner, F.element_at(above, j + 1), F.element_at(line, j)) + 1)
+            return F.concat(line, F.array(cheapest))
 
+        return F.concat(done, F.array(F.aggregate(_upto(F.size(predicted)), F.array(i), cell)))
 
-def _errors(gold: Column, predicted: Column) -> Column:
-    """The errors of the best alignment, in order. Equal tokens always match; otherwise the cheapest of substitution, deletion and
-    insertion, in this order of preference. Each cell of the table carries its errors along."""
-    first = F.transform(F.sequence(F.lit(0), F.size(predicted)), lambda j: _cell(j, F.transform(F.slice(predicted, F.lit(1), j), lambda p: _pair(F.lit(EXTRA), p))))
-
-    def row(above: Column, i: Column) -> Column:
-        g = F.element_at(gold, i)
-        head = F.array(_cell(above[0]["cost"] + 1, F.concat(above[0]["errors"], F.array(_pair(g, F.lit(MISSING))))))
+    return F.aggregate(_upto(F.size(gold)), F.array(first), row)
 
-        def cell(done: Column, j: Column) -> Column:
-            p, corner, over, left = F.element_at(predicted, j), F.element_at(above, j), F.element_at(above, j + 1), F.element_at(done, j)
-            worse = F.when((corner["cost"] <= over["cost"]) & (corner["cost"] <= left["cost"]), _cell(corner["cost"] + 1, F.concat(corner["errors"], F.array(_pair(g, p)))))
-            worse = worse.when(over["cost"] <= left["cost"], _cell(over["cost"] + 1, F.concat(over["errors"], F.array(_pair(g, F.lit(MISSING))))))
-            worse = worse.otherwise(_cell(left["cost"] + 1, F.concat(left["errors"], F.array(_pair(F.lit(EXTRA), p)))))
-            return F.concat(done, F.array(F.when(g == p, _cell(corner["cost"], corner["errors"])).otherwise(worse)))
 
-        return F.aggregate(_upto(F.size(predicted)), head, cell)
-
-    return F.element_at(F.aggregate(_upto(F.size(gold)), first, row), -1)["errors"]
+def _errors(gold: Column, predicted: Column) -> Column:
+    """The errors of the best alignment, in order. Equal tokens always match; otherwise the cheapest of substitution, deletion and
+    insertion, in this order of preference. Costs alone are kept, and the errors are read off on the way back from the end."""
+    costs = _costs(gold, predicted)
+
+    def back(at: Column, _: Column) -> Column:
+        i, j, table = at["i"], at["j"], at["table"]
+        cost = lambda x, y: F.get(F.get(table, x), y)
+        both = (i > 0) & (j > 0)
+        g, p = F.get(gold, i - 1), F.get(predicted, j - 1)
+        same = both & g.eqNullSafe(p)
+        corner, over, left = F.when(both, cost(i - 1, j - 1)), F.when(i > 0, cost(i - 1, j)), F.when(j > 0, cost(i, j - 1))
+        # along an edge of the table only one way is left
+        change = both & (corner <= over) & (corner <= left)
+        drop = (i > 0) & ((j == 0) | (over <= left))
+        error = F.when(change, F.struct(g.alias("gold"), p.alias("predicted"))).when(drop, F.struct(g.alias("gold"), F.lit(MISSING).alias("predicted"))).otherwise(F.struct(F.lit(EXTRA).alias("gold"), p.alias("predicted")))
+        done = F.when(same, at["errors"]).otherwise(F.concat(at["errors"], F.array(error)).cast(_ERRORS))
+        up, aside = F.when(same | change | drop, 1).otherwise(0), F.when(same | change | ~drop, 1).otherwise(0)
+        moved = F.struct((i - up).cast("int").alias("i"), (j - aside).cast("int").alias("j"), done.alias("errors"), table.alias("table"))
+        return F.when((i == 0) & (j == 0), at).otherwise(moved)
+
+    start = F.struct(F.size(gold).alias("i"), F.size(predicted).alias("j"), F.array().cast(_ERRORS).alias("errors"), costs.alias("table"))
+    return F.reverse(F.aggregate(_upto(F.size(gold) + F.size(predicted)), start, back, lambda at: at["errors"]))
 
 
 def trailing_matches(predicted: Column, gold: Column) -> Column:
@@ -72,15 +85,25 @@ def error_rate(edits: Column, gold: Column, predicted: Column) -> Column:
     return F.when(gold > 0, edits / gold).when(predicted == 0, 0.0).otherwise(1.0)
 
 
+#: A pair's distinct tokens become characters from this one on, without the surrogates; there are so many.
+_FIRST, _SURROGATES, _CHARACTERS = 0x4E00, (0xD800, 0x800), 0x110000 - 0x4E00 - 0x800
+
+
 def edit_distance(left: Column, right: Column) -> Column:
-    """Token edit distance: each distinct token of the pair becomes a character, and the built-in distance does the rest. Up to
-    35,000 distinct tokens a pair have a character of their own; the table of such a pair would be out of reach anyway."""
+    """Token edit distance: each distinct token of the pair becomes a character, and the built-in distance does the rest. A pair of
+    more distinct tokens than there are characters is an error, never a wrong distance."""
     words = F.array_distinct(F.concat(left, right))
 
     def coded(tokens: Column) -> Column:
-        return F.array_join(F.transform(tokens, lambda t: F.decode(F.unhex(F.lpad(F.hex(F.array_position(words, t) + 19968), 4, "0")), "UTF-16BE")), "")
+        def character(t: Column) -> Column:
+            n = F.array_position(words, t) + (_FIRST - 1)
+            n = n + F.when(n >= _SURROGATES[0], _SURROGATES[1]).otherwise(0)
+            return F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")
+
+        return F.array_join(F.transform(tokens, character), "")
 
-    return F.when(left == right, 0).otherwise(F.levenshtein(coded(left), coded(right)))
+    many = F.raise_error(F.lit(f"edit_distance: more than {_CHARACTERS} distinct tokens in a pair")).cast("int")
+    return F.when(left == right, 0).when(F.size(words) > _CHARACTERS, many).otherwise(F.levenshtein(coded(left), coded(right)))
 
 
 def boundary_scores(predicted_surface: Column, predicted: Column, gold_surface: Column, gold: Column) -> Column:

@@ -29,6 +29,11 @@ def annotation_ids(col: Column | str) -> Column:
     return F.filter(F.split(_text(col), r"(?U)[\s\x{3000}\-;]+"), lambda t: (t != "") & ~t.isin(*CONTROL))
 
 
+def labels(col: Column | str) -> Column:
+    """The segments' labels of one phrase, without control IDs; their atoms stay together."""
+    return F.filter(F.split(_text(col), "-"), lambda t: (t != "") & ~t.isin(*CONTROL))
+
+
 def skeleton(col: Column | str) -> Column:
     """Phrases, each an array of its segments."""
     return F.transform(phrases(col), lambda p: F.split(p, "-"))
@@ -52,6 +57,12 @@ def alignment_error(segmented: Column | str, annotation: Column | str) -> Column
     return F.when(F.size(s) != F.size(a), counts).otherwise(first)
 
 
+def sound_analysis(text: Column, segmented: Column, annotation: Column) -> Column:
+    """Whether the segments, none of them empty, put together give the text, and align with the labels; phrases keep their blanks."""
+    whole = F.forall(F.split(segmented, " "), lambda p: F.forall(F.split(p, "-"), lambda v: v != ""))
+    return F.coalesce((segmented != "") & (annotation != "") & whole & (F.replace(segmented, F.lit("-"), F.lit("")) == text) & alignment_error(segmented, annotation).isNull(), F.lit(False))
+
+
 def surface(segmented: Column | str) -> Column:
     """The text without blanks and segment boundaries."""
     return F.regexp_replace(_text(segmented), r"(?U)[\s\x{3000}\-]+", "")
@@ -140,6 +151,11 @@ def sanitize_query(query: Column | str, region: Column | str) -> Column:
     return F.btrim(F.regexp_replace(text, r"(?U)\s+", " "), F.lit(STRIPPED))
 
 
+def compound_query(query: Column | str, region: Column | str) -> Column:
+    """Whether a query, once sanitised, still has a blank inside: several searches put together."""
+    return F.contains(sanitize_query(query, region), F.lit(" "))
+
+
 def expression_rejected(expression: Column | str) -> Column:
     """Whether a corpus query is blank, over 256 characters, of more than 8 segments, or has a segment of no or more than 8 atoms."""
     text = strip(_text(expression))

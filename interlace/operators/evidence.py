@@ -77,21 +77,34 @@ def form_support(pairs: DataFrame, lexicon: DataFrame, enough: int = 5) -> DataF
     return out.withColumns({"candidate_rate": F.round(F.col("candidate_count") / F.col("surface_total"), 6), "penalty": F.when((F.col("surface_total") >= enough) & weak, "weak").otherwise("none")})
 
 
+def looked_up(asked: DataFrame, forms: DataFrame, lexicon: DataFrame) -> DataFrame:
+    """(label, annotation_schema_id, local_forms, global_forms, lexemes, scope): what is known of a label: forms of its own schema
+    (local), of any (global), and lexemes that carry it. Scope: local, else global, else none."""
+    local = forms.groupBy("label", "annotation_schema_id").agg(F.count("*").alias("local_forms"))
+    everywhere = local.groupBy("label").agg(F.sum("local_forms").alias("global_forms"))
+    lexemes = lexicon.groupBy(F.col("annotation").alias("label")).agg(F.count_distinct("lexeme_id").alias("lexemes"))
+    out = asked.select("label", "annotation_schema_id").distinct().join(local, ["label", "annotation_schema_id"], "left").join(everywhere, "label", "left").join(lexemes, "label", "left")
+    out = out.na.fill(0, ["local_forms", "global_forms", "lexemes"])
+    return out.withColumn("scope", F.when(F.col("local_forms") > 0, "local").when(F.col("global_forms") + F.col("lexemes") > 0, "global").otherwise("none"))
+
+
 def label_sets(pairs: DataFrame) -> DataFrame:
     """(surface, labels, n_labels): the distinct labels of a surface, sorted."""
     return pairs.select("surface", "label").distinct().groupBy("surface").agg(F.array_join(F.array_sort(F.collect_list("label")), "|").alias("labels"), F.count("*").alias("n_labels"))
 
 
-def pattern_search(sentences: DataFrame, expressions: DataFrame, most: int = 8, atoms: bool = True) -> DataFrame:
-    """(expression, sentence_id): up to `most` sentences, the first by ID, in which the segments of an expression follow one another.
-    An expression of one atom is also found inside conflated segments, unless `atoms` is off.
+def pattern_search(sentences: DataFrame, expressions: DataFrame, most: int = 8, atoms: bool = True, excluded: DataFrame | None = None, across: bool = False) -> DataFrame:
+    """(expression, sentence_id): up to `most` sentences, the first by ID, in which the segments of an expression follow one another,
+    inside a phrase or with `across` from one phrase to the next. An expression of one atom is also found inside conflated segments,
+    unless `atoms` is off. Sentences whose ID is in `excluded` aren't searched.
 
     Runs of segments are made only of the lengths that expressions have and met by equality. Per expression the first `most` are
     kept in each task before they meet.
     """
     wanted = expressions.where(~A.expression_rejected("expression")).select(strip("expression").alias("expression")).distinct()
     lengths = sorted(r[0] for r in wanted.select(F.size(F.split("expression", "-"))).distinct().collect())  # at most 8, by the guard
-    phrases = sentences.select("sentence_id", F.explode(A.skeleton("annotation")).alias("p"))
+    searched = sentences if excluded is None else sentences.join(excluded.select("sentence_id").distinct(), "sentence_id", "left_anti")
+    phrases = searched.select("sentence_id", A.segments("annotation").alias("p")) if across else searched.select("sentence_id", F.explode(A.skeleton("annotation")).alias("p"))
 
     def joined(n: int) -> Column:
         return F.when(F.size("p") >= n, F.transform(F.sequence(F.lit(1), F.size("p") - n + 1), lambda i: F.array_join(F.slice("p", i, n), "-"))).otherwise(F.array().cast("array<string>"))

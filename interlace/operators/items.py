@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from interlace.functions.text import blank, strip
@@ -43,7 +43,8 @@ def page(df: DataFrame, key: str, after: int, n: int) -> DataFrame:
 def parsed_payload(df: DataFrame, payload: str, *keep: str) -> DataFrame:
     """(*keep, decision, confidence, segmented, annotation, trsl_ai, valid) of a JSON answer, with or without a code fence."""
     bare = F.regexp_replace(F.regexp_replace(strip(F.coalesce(payload, F.lit(""))), r"^```(?:json)?\s*", ""), r"\s*```$", "")
-    fields = F.from_json(bare, "decision string, confidence double, segmented string, annotation string, trsl_ai string")
+    # what isn't one whole JSON object gives nulls, whatever could be read of it
+    fields = F.when(bare.endswith("}") & F.get_json_object(bare, "$").isNotNull(), F.from_json(bare, "decision string, confidence double, segmented string, annotation string, trsl_ai string"))
     out = df.select(*keep, fields.alias("f")).select(*keep, F.lower("f.decision").alias("decision"), F.coalesce("f.confidence", F.lit(0.0)).alias("confidence"), *[strip(F.coalesce(f"f.{c}", F.lit(""))).alias(c) for c in ("segmented", "annotation", "trsl_ai")])
     ok = F.coalesce(F.col("decision").isin("proposed", "uncertain", "failed"), F.lit(False)) & F.col("confidence").between(0, 1)
     return out.withColumn("valid", ok)
@@ -76,6 +77,24 @@ def chosen_analysis(sentences: DataFrame, results: DataFrame) -> DataFrame:
     return rows.select("sentence_id", F.when(F.col("own"), "existing").when(F.col("p").isNotNull(), "predicted").otherwise("none").alias("source"), pick("segmented", "p.ai_segmented").alias("segmented"), pick("annotation", "p.ai_annotation").alias("annotation"))
 
 
+def export_rows(results: DataFrame, sentences: DataFrame, jobs: DataFrame) -> DataFrame:
+    """Results of jobs with their sentences' own texts and translations, for hand-out; results of unknown sentences or jobs stay."""
+    own = sentences.select("sentence_id", "example_id", F.col("text").alias("own_text"), F.col("translation_jp").alias("human_translation_jp"))
+    job = jobs.select(F.col("id").alias("job_id"), "task", "model_name", "dataset_name")
+    return results.join(own, "sentence_id", "left").join(job, "job_id", "left").select(
+        "result_id", "job_id", "sentence_id", "example_id", F.coalesce("text", "own_text").alias("source_text"), "human_translation_jp", "ai_segmented", "ai_annotation", F.col("trsl_ai").alias("ai_translation"),
+        "decision", "confidence", "gold_segmented", "gold_annotation", F.coalesce(F.col("exact_match").cast("string"), F.lit("")).alias("exact_match"), "task", "model_name", "dataset_name",
+    )
+
+
+def attempts_with_last(results: DataFrame) -> DataFrame:
+    """Attempts of a job at a sentence, from the second on, with text, analysis and confidence of the one before as last_*."""
+    w = Window.partitionBy("sentence_id", "job_id").orderBy(F.col("attempt").asc_nulls_last(), "result_id")
+    before = F.lag(F.struct("text", "ai_segmented", "ai_annotation", "confidence")).over(w)
+    rows = results.where("sentence_id is not null and job_id is not null").withColumn("__b", before).where("__b is not null")
+    return rows.select("result_id", "ai_segmented", "ai_annotation", "confidence", F.col("__b.text").alias("last_text"), F.col("__b.ai_segmented").alias("last_segmented"), F.col("__b.ai_annotation").alias("last_annotation"), F.col("__b.confidence").alias("last_confidence"))
+
+
 def counters(results: DataFrame, by: Sequence[str]) -> DataFrame:
     """(by, selected, completed, failed): results by whether they came to an answer."""
     failed = F.coalesce(F.col("decision") == "failed", F.lit(False))

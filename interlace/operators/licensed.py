@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,10 +11,12 @@ from interlace.functions import annotation as A
 from interlace.functions.text import blank, strip
 
 
-def exact(sentences: DataFrame, lexicon: DataFrame) -> DataFrame:
-    """(sentence_id, lexeme_id, surface): lexemes of a sentence's region whose form is one of its segments."""
+def exact(sentences: DataFrame, lexicon: DataFrame, columns: Sequence[str] = ("form2",)) -> DataFrame:
+    """(sentence_id, lexeme_id, surface): lexemes of a sentence's region of which a form, in any of the columns, is one of its segments.
+    Of a segmented form the whole counts."""
     surfaces = sentences.where(~blank("segmented")).select("sentence_id", F.col("dialect_region").alias("region"), F.explode(A.morph_surfaces("segmented")).alias("surface"))
-    forms = lexicon.select("lexeme_id", "region", strip("form2").alias("surface")).where("surface <> ''").distinct()
+    each = F.explode(F.array_distinct(F.array(*[F.replace(strip(c), F.lit("-"), F.lit("")) for c in columns])) if len(columns) > 1 else F.array(strip(columns[0])))
+    forms = lexicon.select("lexeme_id", "region", each.alias("surface")).where("surface <> ''").distinct()
     return surfaces.join(forms, ["region", "surface"]).select("sentence_id", "lexeme_id", "surface").distinct()
 
 

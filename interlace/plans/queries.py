@@ -110,6 +110,11 @@ def sanitize_query(t):
     return t.sentences.select("row_id", A.sanitize_query("translation_jp", "dialect_region").alias("query"))
 
 
+@query(f"SELECT row_id, contains(query, ' ') AS compound FROM ({ORACLES['sanitize_query']})")
+def compound_query(t):
+    return t.sentences.select("row_id", A.compound_query("translation_jp", "dialect_region").alias("compound"))
+
+
 @query(
     f"""WITH p AS (SELECT row_id, {O.strip("coalesce(annotation, '')")} AS x FROM sentences), s AS (SELECT row_id, x, string_split(x, '-') AS parts FROM p)
     SELECT row_id, x = '' OR length(x) > 256 OR len(parts) > 8 OR len(list_filter(parts, lambda p: len(list_filter(string_split(p, ';'), lambda a: {O.strip('a')} <> '')) NOT BETWEEN 1 AND 8)) > 0 AS rejected FROM s"""
@@ -394,6 +399,21 @@ def example_notes(t):
     return evidence.notes(_latest(t))
 
 
+_EXPRESSIONS = f"""e AS (SELECT DISTINCT {O.strip('annotation')} AS x FROM provider_lexemes WHERE NOT {O.blank('annotation')}), k AS (SELECT x, string_split(x, '-') AS parts FROM e WHERE length(x) <= 256 AND len(string_split(x, '-')) <= 8
+        AND len(list_filter(string_split(x, '-'), lambda p: len(list_filter(string_split(p, ';'), lambda a: {O.strip('a')} <> '')) NOT BETWEEN 1 AND 8)) = 0)"""
+
+
+@query(
+    f"""WITH {_LATEST}, {_EXPRESSIONS}, p AS (SELECT sentence_id, flatten({O.skeleton('annotation')}) AS s FROM latest ANTI JOIN (SELECT sentence_id FROM job_results WHERE decision = 'failed') x USING (sentence_id)),
+    r AS (SELECT DISTINCT sentence_id, unnest(flatten(list_transform(range(1, 9), lambda n: list_transform(range(1, len(s) - n + 2), lambda i: array_to_string(s[i:i + n - 1], '-')))) || flatten(list_transform(s, lambda v: string_split(v, ';')))) AS x FROM p),
+    f AS (SELECT x AS expression, sentence_id, row_number() OVER (PARTITION BY x ORDER BY sentence_id) AS n FROM r SEMI JOIN k USING (x)) SELECT expression, sentence_id FROM f WHERE n <= 8"""
+)
+def corpus_sequence_search(t):
+    """Sequences from one phrase to the next too, in sentences that no job has failed on."""
+    failed = t.job_results.where("decision = 'failed'").select("sentence_id")
+    return evidence.pattern_search(_latest(t), t.provider_lexemes.select(F.col("annotation").alias("expression")), excluded=failed, across=True)
+
+
 # Scopes
 
 _ISLANDS = """i AS (SELECT DISTINCT dataset_id, sentence_id FROM {0} WHERE dataset_id > 0 AND sentence_id > 0), g AS (SELECT *, sentence_id - row_number() OVER (PARTITION BY dataset_id ORDER BY sentence_id) AS g FROM i),
@@ -432,6 +452,14 @@ def licensed_exact(t):
     return licensed.exact(_latest(t), t.provider_lexemes)
 
 
+@query(
+    f"""WITH {_LATEST}, f AS (SELECT DISTINCT lexeme_id, region, unnest([{O.strip('form2')}, replace({O.strip('form2_seg')}, '-', '')]) AS surface FROM provider_lexemes), w AS (SELECT DISTINCT sentence_id, dialect_region AS region, unnest(flatten({O.skeleton('segmented')})) AS surface FROM latest WHERE NOT {O.blank('segmented')})
+    SELECT DISTINCT sentence_id, lexeme_id, surface FROM w JOIN f USING (region, surface) WHERE surface <> ''"""
+)
+def licensed_either_form(t):
+    return licensed.exact(_latest(t), t.provider_lexemes, ["form2", "form2_seg"])
+
+
 @query(
     f"""WITH {_LATEST}, f AS (SELECT DISTINCT lexeme_id, {O.strip('form2')} AS form FROM provider_lexemes WHERE length({O.strip('form2')}) >= 3), p AS (SELECT sentence_id, lexeme_id, form, list_filter(range(0, length(text) - length(form) + 1), lambda i: substring(text, i + 1, length(form)) = form) AS places
         FROM latest JOIN f ON contains(text, form)) SELECT sentence_id, lexeme_id, form, len(places)::BIGINT AS n_occurrences, places[1]::INTEGER AS first_at FROM p"""
@@ -525,6 +553,17 @@ def probe_targets(t):
     return proposals.target_probes(proposals.hosts(t.provider_lexemes), t.surface_forms_for_id).select("label", "dialect_id", "lexeme_id", "form_row_id", "attested", "text", "segmented", "annotation")
 
 
+@query(
+    f"""WITH {_ALL_PROBES.replace("form2 || surface AS text", "surface || form2 AS text").replace("form2_seg || '-' || surface AS segmented", "surface || '-' || form2_seg AS segmented").replace("annotation || '-' || label AS annotation", "label || '-' || annotation AS annotation")},
+    c AS (SELECT *, coalesce(form_source = 'corpus', false) AS attested, row_number() OVER (PARTITION BY label, dialect_id, coalesce(form_source = 'corpus', false) ORDER BY lexeme_id, form_row_id) AS n FROM probes),
+    q AS (SELECT label, dialect_id, least(count(*) FILTER (attested), CASE WHEN count(*) FILTER (NOT attested) > 0 THEN 8 ELSE 24 END) AS q FROM c GROUP BY ALL)
+    SELECT label, dialect_id, lexeme_id, form_row_id, attested, text, segmented, annotation FROM c JOIN q USING (label, dialect_id) WHERE n <= CASE WHEN attested THEN q ELSE 24 - q END"""
+)
+def probe_targets_before(t):
+    """The same with the forms before their hosts."""
+    return proposals.target_probes(proposals.hosts(t.provider_lexemes), t.surface_forms_for_id, position="before").select("label", "dialect_id", "lexeme_id", "form_row_id", "attested", "text", "segmented", "annotation")
+
+
 @query("SELECT label, dialect_id, surface, min(form_row_id) AS form_row_id FROM surface_forms_for_id GROUP BY ALL")
 def first_seen_dedup(t):
     return proposals.first_seen(t.surface_forms_for_id.select("label", "dialect_id", "surface", "form_row_id"), ["label", "dialect_id", "surface"], "form_row_id")
@@ -553,13 +592,75 @@ def audit_completeness(t):
     return proposals.audits(t.job_results, "ai_annotation", "gold_annotation", "result_id")
 
 
+@query(
+    f"""WITH {_TOKENS}, c AS (SELECT result_id, phrase, unnest({O.ids('phrase')}) AS id FROM (SELECT result_id, unnest({O.phrases('ai_annotation')}) AS phrase FROM job_results))
+    SELECT DISTINCT result_id, id, phrase FROM c WHERE EXISTS (SELECT 1 FROM tokens t WHERE t.id = c.id AND t.phrase = c.phrase)"""
+)
+def phrase_grounding(t):
+    claims = evidence.tokens(t.job_results.select(F.col("result_id").alias("sentence_id"), F.col("ai_annotation").alias("annotation"))).select(F.col("sentence_id").alias("result_id"), "id", "phrase").distinct()
+    return proposals.grounded_phrases(claims, evidence.tokens(_latest(t)))
+
+
+@query(
+    f"""WITH c AS (SELECT DISTINCT form_row_id, lexeme_id, {O.strip('f.form_source')} AS pos FROM surface_forms_for_id f JOIN provider_lexemes l ON l.annotation = f.label AND l.dialect_id = f.dialect_id),
+    d AS (SELECT form_row_id, lexeme_id, unnest(['n', 'v']) AS pos FROM c) SELECT DISTINCT d.* FROM d JOIN provider_lexemes l ON l.lexeme_id = d.lexeme_id AND {O.strip('l.pos')} = d.pos"""
+)
+def cited_hosts(t):
+    """The lexemes that a form's label and dialect lead to, declared once a noun and once a verb."""
+    lexemes = t.provider_lexemes.select(F.col("annotation").alias("label"), "dialect_id", "lexeme_id")
+    claims = t.surface_forms_for_id.select("form_row_id", "label", "dialect_id").join(lexemes, ["label", "dialect_id"]).select("form_row_id", "lexeme_id", F.explode(F.array(F.lit("n"), F.lit("v"))).alias("pos"))
+    return proposals.cited_hosts(claims, t.provider_lexemes, "pos")
+
+
+def _sound_sql(text, s, a):
+    sk = lambda c: O.skeleton(c)
+    return f"""coalesce({s} <> '' AND {a} <> '' AND len(list_filter(flatten(list_transform(string_split({s}, ' '), lambda p: string_split(p, '-'))), lambda v: v = '')) = 0 AND replace({s}, '-', '') = {text} AND {O.alignment_error(sk(s), sk(a))} IS NULL, false)"""
+
+
+_OUTCOMES = f"""{_LATEST}, f AS (SELECT DISTINCT region, lexeme_id, unnest([{O.strip('form2')}, replace({O.strip('form2_seg')}, '-', '')]) AS text FROM provider_lexemes WHERE region IS NOT NULL), l AS (SELECT region, text, count(DISTINCT lexeme_id) AS n_licensed FROM f WHERE text <> '' GROUP BY ALL),
+    x AS (SELECT r.result_id, r.job_id, r.text, coalesce(gold_segmented, '') AS s, coalesce(gold_annotation, '') AS a, s.dialect_id, s.dialect_region AS region, ai_segmented, ai_annotation FROM job_results r LEFT JOIN latest s USING (sentence_id) WHERE gold_segmented IS NOT NULL OR gold_annotation IS NOT NULL),
+    outcomes AS (SELECT result_id, job_id, CASE WHEN dialect_id IS NULL OR {O.blank('x.region')} THEN 'missing_probe_scope' WHEN NOT {_sound_sql('x.text', 's', 'a')} THEN 'validation_rejected' WHEN {O.blank('ai_segmented')} AND {O.blank('ai_annotation')} THEN 'model_error' WHEN ai_segmented = s AND ai_annotation = a THEN 'model_exact'
+        WHEN n_licensed > 0 THEN 'model_failed_already_licensed' ELSE 'model_failed_candidate' END AS failure_type, coalesce(n_licensed, 0) AS n_licensed FROM x LEFT JOIN l ON l.region = x.region AND l.text = x.text)"""
+
+
+def _outcomes(t):
+    places = _latest(t).select("sentence_id", "dialect_id", F.col("dialect_region").alias("region"))
+    expected = t.job_results.where("gold_segmented is not null or gold_annotation is not null").join(places, "sentence_id", "left")
+    expected = expected.select("result_id", "text", F.col("gold_segmented").alias("segmented"), F.col("gold_annotation").alias("annotation"), "dialect_id", "region", F.col("ai_segmented").alias("model_segmented"), F.col("ai_annotation").alias("model_annotation"))
+    return proposals.probe_outcomes(expected, t.provider_lexemes, "result_id")
+
+
+@query(f"WITH {_OUTCOMES} SELECT result_id, failure_type, n_licensed FROM outcomes")
+def probe_outcomes(t):
+    """The gold analyses as what the analyser should have found."""
+    return _outcomes(t)
+
+
+@query(f"WITH {_OUTCOMES} SELECT job_id, failure_type, count(*) AS n FROM outcomes GROUP BY ALL")
+def outcome_counts(t):
+    return _outcomes(t).join(t.job_results.select("result_id", "job_id"), "result_id").groupBy("job_id", "failure_type").agg(F.count("*").alias("n"))
+
+
+@query(
+    f"""WITH {_TOKENS}, q AS (SELECT DISTINCT id AS label, annotation_schema_id FROM tokens JOIN latest USING (sentence_id)), f AS (SELECT label, annotation_schema_id, count(*) AS n FROM surface_forms_for_id GROUP BY ALL), g AS (SELECT label, sum(n)::BIGINT AS n FROM f GROUP BY 1),
+    l AS (SELECT annotation AS label, count(DISTINCT lexeme_id) AS n FROM provider_lexemes GROUP BY 1), r AS (SELECT q.label, q.annotation_schema_id, coalesce(f.n, 0) AS local_forms, coalesce(g.n, 0) AS global_forms, coalesce(l.n, 0) AS lexemes FROM q LEFT JOIN f ON f.label = q.label AND f.annotation_schema_id = q.annotation_schema_id LEFT JOIN g ON g.label = q.label LEFT JOIN l ON l.label = q.label)
+    SELECT *, CASE WHEN local_forms > 0 THEN 'local' WHEN global_forms + lexemes > 0 THEN 'global' ELSE 'none' END AS scope FROM r"""
+)
+def lookup_id(t):
+    asked = evidence.tokens(_latest(t), "annotation_schema_id").select(F.col("id").alias("label"), "annotation_schema_id")
+    return evidence.looked_up(asked, t.surface_forms_for_id, t.provider_lexemes)
+
+
 # Critics
 
 _STEPS = """{0} AS (SELECT k, unnest(list_transform(range(1, len(w)), lambda i: w[i])) AS previous, unnest(list_transform(range(1, len(w)), lambda i: w[i + 1])) AS token FROM (SELECT {1} AS k, ['<BOS>'] || flatten(list_transform({2}, lambda p, i: CASE WHEN i > 1 THEN ['<PB>'] ELSE [] END || {3})) || ['<EOS>'] AS w FROM {4} WHERE NOT {5}))"""
 
 
-def _steps_sql(name, key, column, table):
-    return _STEPS.format(name, key, O.phrases(column), O.ids("p"), table, O.blank(column))
+_LABELS = "list_filter(string_split(p, '-'), lambda t: t <> '' AND t <> 'r')"
+
+
+def _steps_sql(name, key, column, table, own=O.ids("p")):
+    return _STEPS.format(name, key, O.phrases(column), own, table, O.blank(column))
 
 
 _MODEL = f"""{_LATEST}, {_steps_sql('st', 'sentence_id', 'annotation', 'latest')}, n2 AS (SELECT previous, token, count(*) AS n FROM st GROUP BY ALL), n1 AS (SELECT previous, sum(n) AS total FROM n2 GROUP BY 1), v AS (SELECT count(DISTINCT token) AS v FROM n2),
@@ -614,6 +715,83 @@ def top2_margin(t):
     return critics.margins(_pairs(t))
 
 
+def _surprises_sql(unit, own):
+    """CTEs for the surprising steps of the results by the model of one unit."""
+    u = unit
+    return f"""{_steps_sql('st_' + u, 'sentence_id', 'annotation', 'latest', own)}, n2_{u} AS (SELECT previous, token, count(*) AS n FROM st_{u} GROUP BY ALL), n1_{u} AS (SELECT previous, sum(n) AS total FROM n2_{u} GROUP BY 1), v_{u} AS (SELECT count(DISTINCT token) AS v FROM n2_{u}),
+    m_{u} AS (SELECT previous, token, n, ln((n + 0.1::DOUBLE) / (total + 0.1::DOUBLE * v)) AS log_p FROM n2_{u} JOIN n1_{u} USING (previous) CROSS JOIN v_{u}),
+    w_{u} AS (SELECT result_id AS k, ['<BOS>'] || flatten(list_transform({O.phrases('ai_annotation')}, lambda p, i: CASE WHEN i > 1 THEN ['<PB>'] ELSE [] END || {own})) || ['<EOS>'] AS w FROM job_results WHERE NOT {O.blank('ai_annotation')}),
+    p_{u} AS (SELECT k, unnest(range(0, len(w) - 1)) AS place, unnest(w[1:len(w) - 1]) AS previous, unnest(w[2:]) AS token FROM w_{u}),
+    a_{u} AS (SELECT previous, string_agg(token || ':' || n, '|' ORDER BY n DESC, token) AS alternatives FROM (SELECT *, row_number() OVER (PARTITION BY previous ORDER BY n DESC, token) AS rn FROM n2_{u}) WHERE rn <= 3 GROUP BY 1),
+    s_{u} AS (SELECT k AS result_id, '{u}' AS unit, place::INTEGER AS place, previous, token, round(coalesce(log_p, -12), 6) AS log_p, alternatives FROM p_{u} LEFT JOIN m_{u} USING (previous, token) LEFT JOIN a_{u} USING (previous) WHERE coalesce(log_p, -12) < -6)"""
+
+
+_SURPRISES = f"{_LATEST}, {_surprises_sql('atom', O.ids('p'))}, {_surprises_sql('segment', _LABELS)}, surprises AS (SELECT * FROM s_atom UNION ALL SELECT * FROM s_segment)"
+
+
+def _surprising(t):
+    latest = _latest(t)
+    each = [critics.surprises(t.job_results, critics.sequence_model(latest, unit=unit), "result_id", "ai_annotation", unit) for unit in ("atom", "segment")]
+    return each[0].unionByName(each[1])
+
+
+@query(f"WITH {_SURPRISES} SELECT * FROM surprises")
+def id_surprises(t):
+    return _surprising(t)
+
+
+@query(
+    f"""WITH {_SURPRISES}, hot AS (SELECT result_id, list(DISTINCT id) AS hot FROM (SELECT result_id, unnest([previous, token]) AS id FROM surprises) WHERE id NOT IN ('<BOS>', '<EOS>', '<PB>') GROUP BY 1), {_MARGIN.replace(_LATEST + ',', '', 1)},
+    jf AS (SELECT result_id, {O.skeleton('ai_segmented')} AS s, {O.skeleton('ai_annotation')} AS a FROM job_results WHERE NOT {O.blank('ai_segmented')} AND NOT {O.blank('ai_annotation')}), jz AS (SELECT result_id, unnest(s) AS ps, unnest(a) AS pa FROM jf WHERE {O.alignment_error('s', 'a')} IS NULL),
+    jp AS (SELECT DISTINCT result_id, unnest(ps) AS surface, unnest(pa) AS label FROM jz), x AS (SELECT jp.*, confidence, coalesce(margin < 0.15, false) AS close, hot, list_transform(string_split(label, ';'), lambda v: trim(v)) AS atoms FROM jp JOIN job_results USING (result_id) LEFT JOIN hot USING (result_id) LEFT JOIN margins USING (surface)),
+    r AS (SELECT result_id, surface, label, concat_ws(',', CASE WHEN confidence < 0.8 THEN 'low_confidence' END, CASE WHEN list_contains(atoms, '?') THEN 'unknown_id' END, CASE WHEN close THEN 'small_alternative_margin' END, CASE WHEN list_has_any(atoms || [label], hot) THEN 'id_sequence_hotspot' END) AS reasons FROM x WHERE surface <> '')
+    SELECT * FROM r WHERE reasons <> ''"""
+)
+def segment_triage(t):
+    return critics.segment_triage(t.job_results, _result_pairs(t), critics.margins(_pairs(t)), _surprising(t))
+
+
+def _result_pairs(t):
+    results = t.job_results.select(F.col("result_id").alias("sentence_id"), F.col("ai_segmented").alias("segmented"), F.col("ai_annotation").alias("annotation"))
+    return evidence.segment_pairs(results).withColumnRenamed("sentence_id", "result_id")
+
+
+_CTX = [", ".join(c) for c in critics.CONTEXTS]
+_KINDS = f"""{_PAIRS}, ctx AS (SELECT sentence_id, coalesce(dialect_id, -1) AS dialect_id, surface, label, coalesce(lag(surface) OVER w, '') AS previous_surface, coalesce(lead(label) OVER w, '<EOS>') AS next_label, segment_no = 0 AS phrase_start FROM pairs WINDOW w AS (PARTITION BY sentence_id, phrase_no ORDER BY segment_no)),
+    kinds AS (SELECT {_CTX[0]}, surface, count(*) AS n FROM ctx GROUP BY ALL), """ + ", ".join(
+    f"""c{i} AS (SELECT {c}, surface, sum(n) AS n FROM kinds GROUP BY ALL), r{i} AS (SELECT *, row_number() OVER (PARTITION BY {c} ORDER BY n DESC, surface) AS rn, sum(n) OVER (PARTITION BY {c}) AS total, max(n) OVER (PARTITION BY {c}) AS best_n, first_value(surface) OVER (PARTITION BY {c} ORDER BY n DESC, surface) AS best FROM c{i}),
+    v{i} AS (SELECT {c}, surface, {{'level': {i}, 'best': best, 'gap': ln(best_n / n), 'among': rn <= 3}} AS c FROM r{i} WHERE total >= 3)"""
+    for i, c in enumerate(_CTX)
+) + f""", scored AS (SELECT k.*, coalesce({', '.join(f'v{i}.c' for i in range(len(_CTX)))}) AS c FROM kinds k {' '.join(f"LEFT JOIN v{i} ON v{i}.surface = k.surface AND " + ' AND '.join(f'v{i}.{x} = k.{x}' for x in critics.CONTEXTS[i]) for i in range(len(_CTX)))}),
+    judged AS (SELECT {_CTX[0]}, surface, n, c.level AS level, c.best AS best, round(c.gap, 6) AS score_gap, coalesce(surface <> c.best AND (NOT c.among OR c.gap >= 0.75), false) AS strong FROM scored)"""
+
+
+def _in_context(t):
+    return evidence.in_context(_pairs(t, "dialect_id"))
+
+
+@query(f"WITH {_KINDS} SELECT * FROM judged")
+def surface_context_scores(t):
+    return critics.context_scores(_in_context(t))
+
+
+@query(f"WITH {_KINDS} SELECT sentence_id, count(*) AS segments, count(level) AS reviewed, count(*) FILTER (strong) AS strong FROM ctx JOIN judged USING ({_CTX[0]}, surface) GROUP BY 1")
+def surface_context_review(t):
+    return critics.context_review(_in_context(t))
+
+
+@query(
+    f"""WITH o AS (SELECT *, row_number() OVER (PARTITION BY sentence_id, job_id ORDER BY attempt, result_id) AS n FROM job_results), p AS (SELECT b.result_id, a.text, coalesce(a.ai_segmented, '') AS s0, coalesce(a.ai_annotation, '') AS a0, coalesce(b.ai_segmented, '') AS s1, coalesce(b.ai_annotation, '') AS a1,
+        greatest(0, least(1, coalesce(a.confidence, 0)))::DOUBLE AS c0, greatest(0, least(1, coalesce(b.confidence, 0)))::DOUBLE AS c1 FROM o a JOIN o b ON a.sentence_id = b.sentence_id AND a.job_id = b.job_id AND b.n = a.n + 1),
+    q AS (SELECT *, s0 = s1 AND a0 = a1 AS same, {_sound_sql('text', 's1', 'a1')} AS sound FROM p)
+    SELECT result_id, CASE WHEN NOT same AND sound THEN 'revise' ELSE 'keep' END AS action, CASE WHEN same THEN 'unchanged' WHEN NOT sound THEN 'unsound' ELSE 'changed' END AS reason, CASE WHEN NOT same AND sound THEN s1 ELSE s0 END AS segmented,
+        CASE WHEN NOT same AND sound THEN a1 ELSE a0 END AS annotation, CASE WHEN NOT same AND sound THEN greatest(c0, c1) ELSE c0 END AS confidence FROM q"""
+)
+def revision_review(t):
+    """Each attempt of a job at a sentence as the revision of the attempt before it."""
+    return critics.reviewed(items.attempts_with_last(t.job_results), "result_id", ("last_segmented", "last_annotation"), ("ai_segmented", "ai_annotation"), "last_text", ("last_confidence", "confidence"))
+
+
 @query(
     f"""WITH {_MARGIN}, w AS (SELECT DISTINCT result_id, unnest(flatten({O.skeleton('ai_segmented')})) AS surface FROM job_results WHERE NOT {O.blank('ai_segmented')}), k AS (SELECT DISTINCT result_id FROM w JOIN margins USING (surface) WHERE margin < 0.15),
     r AS (SELECT j.result_id, concat_ws(',', CASE WHEN confidence < 0.8 THEN 'low_confidence' END, CASE WHEN list_contains({O.ids('ai_annotation')}, '?') THEN 'unknown_id' END, CASE WHEN k.result_id IS NOT NULL THEN 'small_alternative_margin' END) AS reasons FROM job_results j LEFT JOIN k USING (result_id))
@@ -697,6 +875,14 @@ def output_projection(t):
     return items.output_rows(t.job_results, ["result_id", "sentence_id"])
 
 
+@query(
+    f"""WITH {_LATEST} SELECT r.result_id, r.job_id, r.sentence_id, s.example_id, coalesce(r.text, s.text) AS source_text, s.translation_jp AS human_translation_jp, ai_segmented, ai_annotation, trsl_ai AS ai_translation, decision, confidence, gold_segmented, gold_annotation, coalesce(exact_match::VARCHAR, '') AS exact_match, j.task, j.model_name, j.dataset_name
+    FROM job_results r LEFT JOIN latest s USING (sentence_id) LEFT JOIN jobs j ON j.id = r.job_id"""
+)
+def job_export(t):
+    return items.export_rows(t.job_results, _latest(t), t.jobs)
+
+
 @query("SELECT job_id, count(*) AS selected, count(*) FILTER (NOT coalesce(decision = 'failed', false)) AS completed, count(*) FILTER (decision = 'failed') AS failed FROM job_results GROUP BY 1")
 def batch_counters(t):
     return items.counters(t.job_results, ["job_id"])
@@ -719,3 +905,16 @@ def parse_final_json(t):
     fields = F.struct("decision", F.round("confidence", 6).alias("confidence"), F.col("ai_segmented").alias("segmented"), F.col("ai_annotation").alias("annotation"), "trsl_ai")
     payload = F.concat(F.lit("```json\n"), F.to_json(fields), F.lit("\n```"))
     return items.parsed_payload(t.job_results.withColumn("payload", payload), "payload", "result_id")
+
+
+@query(
+    f"""WITH x AS (SELECT *, confidence IS NOT NULL AND NOT coalesce(decision = 'failed', false) AS whole FROM job_results) SELECT result_id, CASE WHEN whole THEN lower(decision) END AS decision, CASE WHEN whole THEN round(confidence, 6) ELSE 0 END AS confidence, CASE WHEN whole THEN {O.strip("coalesce(ai_segmented, '')")} ELSE '' END AS segmented,
+    CASE WHEN whole THEN {O.strip("coalesce(ai_annotation, '')")} ELSE '' END AS annotation, CASE WHEN whole THEN {O.strip("coalesce(trsl_ai, '')")} ELSE '' END AS trsl_ai, coalesce(whole AND lower(decision) IN ('proposed', 'uncertain', 'failed') AND round(confidence, 6) BETWEEN 0 AND 1, false) AS valid FROM x"""
+)
+def parse_broken_json(t):
+    """Answers of which those without confidence are plain text, and those that failed break off in the middle."""
+    fields = F.struct("decision", F.round("confidence", 6).alias("confidence"), F.col("ai_segmented").alias("segmented"), F.col("ai_annotation").alias("annotation"), "trsl_ai")
+    whole = F.to_json(fields)
+    cut = F.concat(F.lit("```json\n"), F.substring(whole, F.lit(1), F.floor(F.length(whole) / 2).cast("int")))
+    payload = F.when(F.col("confidence").isNull(), F.coalesce("trsl_ai", F.lit("no answer"))).when(F.col("decision") == "failed", cut).otherwise(whole)
+    return items.parsed_payload(t.job_results.withColumn("payload", payload), "payload", "result_id")

@@ -24,7 +24,10 @@ def read_tsv(spark: SparkSession, path: str | Sequence[str], default_dialect: in
     from its place. All other columns are kept in the map `original`.
     """
     raw = spark.read.csv(path, sep="\t", header=True, encoding="UTF-8", quote='"', escape='"', multiLine=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
-    raw = raw.toDF(*[c.lstrip("﻿").strip() for c in raw.columns])
+    return _items(raw.toDF(*[c.lstrip("﻿").strip() for c in raw.columns]), default_dialect)
+
+
+def _items(raw: DataFrame, default_dialect: int | None) -> DataFrame:
     original = F.create_map(*[x for c in raw.columns for x in (F.lit(c), F.col(f"`{c}`"))])
     rows = raw.select(*[first_of(raw, names).alias(name) for name, names in ALIASES.items()], original.alias("original"))
     status = F.when((F.col("segmented") != "") & (F.col("annotation") != ""), "annotated").otherwise("unannotated")
@@ -32,6 +35,17 @@ def read_tsv(spark: SparkSession, path: str | Sequence[str], default_dialect: in
     return rows.where((F.col("text") != "") | (F.col("translation_jp") != "")).withColumns({"dialect_id": dialect, "source_status": status})
 
 
+def read_items(spark: SparkSession, path: str, default_dialect: int | None = None) -> DataFrame:
+    """Items of a file by its ending: tab-separated, or JSON lines under the same aliases of columns."""
+    ending = path.rsplit(".", 1)[-1].lower()
+    if ending in ("tsv", "txt"):
+        return read_tsv(spark, path, default_dialect)
+    if ending in ("json", "jsonl"):
+        raw = spark.read.json(path)
+        return _items(raw.select(*[F.col(f"`{c}`").cast("string").alias(c) for c in raw.columns]), default_dialect)
+    raise ValueError(f"no items can be read from .{ending} files")
+
+
 def read_nbest(spark: SparkSession, path: str) -> DataFrame:
     """(row_id, ref_units, nbest_json) of tab-separated predictions."""
     raw = spark.read.csv(path, sep="\t", header=True, encoding="UTF-8", quote="", multiLine=False)
