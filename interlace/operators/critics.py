@@ -70,7 +70,7 @@ def suggested_forms(pairs: DataFrame, dialect_id: int, k: int = 3) -> DataFrame:
 def disagreements(pairs: DataFrame, key: str = "sentence_id", k: int = 3, gap: float = 0.75) -> DataFrame:
     """(key, segments, strong): segments whose form isn't their label's most frequent and either not among its k, or behind by `gap`
     in log-frequency."""
-    counts = pairs.groupBy("label", "surface").agg(F.count("*").alias("n"))
+    counts = written(pairs.groupBy("label", "surface").agg(F.count("*").alias("n")), "form-counts")
     top = top_k(counts, ["label"], [F.col("n").desc(), F.col("surface")], k)
     first = top.groupBy("label").agg(F.max("n").alias("best_n"), F.min_by("surface", F.struct(-F.col("n"), F.col("surface"))).alias("best"))
     each = counts.join(first, "label").join(top.select("label", "surface", F.lit(True).alias("among")), ["label", "surface"], "left")
@@ -80,7 +80,7 @@ def disagreements(pairs: DataFrame, key: str = "sentence_id", k: int = 3, gap: f
 
 def margins(pairs: DataFrame) -> DataFrame:
     """(surface, n, margin): share of a surface's most frequent label less that of its second; null with one label only."""
-    counts = pairs.groupBy("surface", "label").agg(F.count("*").alias("n"))
+    counts = written(pairs.groupBy("surface", "label").agg(F.count("*").alias("n")), "label-counts")
     two = top_k(counts, ["surface"], [F.col("n").desc(), F.col("label")], 2).groupBy("surface").agg(F.sort_array(F.collect_list("n"), asc=False).alias("t"))
     total = counts.groupBy("surface").agg(F.sum("n").alias("n"))
     return total.join(two, "surface").select("surface", "n", F.round((F.get("t", F.lit(0)) - F.get("t", F.lit(1))) / F.col("n"), 6).alias("margin"))

@@ -86,9 +86,10 @@ def best_hypothesis(candidates: DataFrame, key: str) -> DataFrame:
     return candidates.groupBy(key).agg(F.min_by("rank", order).alias("baseline_rank"))
 
 
-def scored_lists(hypotheses: DataFrame, references: DataFrame, key: str) -> DataFrame:
-    """(key, rank, units, edits, ref_units): edits of each hypothesis against its list's reference units."""
-    joined = hypotheses.join(references.select(key, "ref"), key)
+def scored_lists(hypotheses: DataFrame, references: DataFrame | None, key: str) -> DataFrame:
+    """(key, rank, units, edits, ref_units): edits of each hypothesis against its list's reference units, or where there are no
+    `references` against those of its own column `ref`."""
+    joined = hypotheses if references is None else hypotheses.join(references.select(key, "ref"), key)
     return joined.withColumns({"edits": edit_distance(F.col("ref"), F.col("units")), "ref_units": F.size("ref")}).drop("ref")
 
 

@@ -245,9 +245,7 @@ def _lists(t):
 
 
 def _scored(t):
-    lists = _lists(t)
-    references = lists.groupBy("sentence_id", "rank").agg(F.max("ref").alias("ref"))
-    return evaluation.scored_lists(lists.select("sentence_id", "rank", "units", F.col("ref")).withColumn("__k", F.struct("sentence_id", "rank")).drop("ref"), references.withColumn("__k", F.struct("sentence_id", "rank")), "__k").drop("__k")
+    return evaluation.scored_lists(_lists(t).select("sentence_id", "rank", "units", "ref"), None, "sentence_id")
 
 
 @query(f"WITH {_LISTS} SELECT sentence_id, rank::INTEGER AS rank, array_to_string(units, ' ') AS units, round(confidence, 6) AS combined_score FROM lists")

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,33 +15,55 @@ BROADCAST_BYTES = 32 * 1024 * 1024
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: the session's spark.checkpoint.dir; a folder of its own only where none is set."""
+    """The folder that all executors share: the session's spark.checkpoint.dir. Only where it is unset and all tasks run in this
+    process, as in tests, a folder of its own."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
         found = spark.sparkContext.getCheckpointDir()
     return found.rstrip("/")
 
 
-_WRITTEN: list[str] = []
+class Written:
+    """The tables that operators wrote inside a `with`: `drop` deletes them, once no result that reads them is needed.
 
+    with Written(spark) as tables:
+        result = operator(...)
+    result.write.parquet(...)
+    tables.drop()
+    """
 
-def drop_written(spark: SparkSession) -> int:
-    """Deletes the tables that this process has written, once no result that reads them is needed; returns their number."""
-    n = len(_WRITTEN)
-    while _WRITTEN:
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-    return n
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def __enter__(self) -> Written:
+        self._before = _CURRENT.set(self.paths)
+        return self
+
+    def __exit__(self, *_) -> None:
+        _CURRENT.reset(self._before)
+
+    def drop(self) -> int:
+        """Deletes the tables; returns their number."""
+        n = len(self.paths)
+        while self.paths:
+            path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.paths.pop())
+            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        return n
+
+
+_CURRENT: ContextVar[list[str] | None] = ContextVar("written", default=None)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """`df` written once as a compressed table in the shared folder and read back: cuts the lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    _WRITTEN.append(path)
+    held = _CURRENT.get()
+    if held is not None:
+        held.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
