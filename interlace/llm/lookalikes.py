@@ -136,7 +136,7 @@ def lookalike_pairs(df: DataFrame, key: str, fields: Sequence[str]) -> DataFrame
     """
     forms = _forms(df.where(F.col(key).isNotNull()), key, fields)
     odd = forms.where("odd").select("field_name", "c1", "c2", F.col("key").alias("key_odd"), F.col("v").alias("v_odd"))
-    same = forms.join(F.broadcast(odd) if fits(odd, "64") else odd, ["field_name", "c1", "c2"]).where("not odd or (v <> v_odd and key_odd < key)")
+    same = forms.join(F.broadcast(odd) if fits(odd, "160") else odd, ["field_name", "c1", "c2"]).where("not odd or (v <> v_odd and key_odd < key)")
     return same.select("field_name", F.least("key_odd", "key").alias(f"{key}_a"), F.greatest("key_odd", "key").alias(f"{key}_b"))
 
 
@@ -147,4 +147,4 @@ def lookalike_classes(df: DataFrame, key: str, fields: Sequence[str]) -> DataFra
     counted = forms.groupBy("field_name", "c1", "c2", "v", "odd").agg(F.count("*").alias("n"))
     classes = written(counted.groupBy("field_name", "c1", "c2").agg(F.sum("n").alias("n_rows"), F.count("*").alias("n_values")).where("n_values > 1"), "classes")
     texts = with_consistent(df, [key], fields).select(key, "field_name", "canon", F.xxhash64("canon").alias("c1"), F.xxhash64(F.lit(1), "canon").alias("c2"))
-    return texts.join(F.broadcast(classes) if fits(classes, "64") else classes, ["field_name", "c1", "c2"]).select("field_name", key, "canon", "n_rows", "n_values")
+    return texts.join(F.broadcast(classes) if fits(classes, "160") else classes, ["field_name", "c1", "c2"]).select("field_name", key, "canon", "n_rows", "n_values")
