@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from interlace.functions import annotation as A
 from interlace.functions.text import blank, strip
+from interlace.plans.storage import fits, written
 
 
 def exact(sentences: DataFrame, lexicon: DataFrame, columns: Sequence[str] = ("form2",)) -> DataFrame:
@@ -20,20 +21,30 @@ def exact(sentences: DataFrame, lexicon: DataFrame, columns: Sequence[str] = ("f
     return surfaces.join(forms, ["region", "surface"]).select("sentence_id", "lexeme_id", "surface").distinct()
 
 
+#: Places of a text that are looked at in one row.
+STRETCH = 256
+
+
 def contained(texts: DataFrame, lexicon: DataFrame, key: str = "sentence_id", text: str = "text", shortest: int = 3) -> DataFrame:
-    """(key, lexeme_id, n_occurrences, first_at): lexemes whose form, of at least `shortest` characters, lies anywhere in a text.
+    """(key, lexeme_id, form, n_occurrences, first_at): lexemes whose form, of at least `shortest` characters, lies anywhere in a text.
 
-    Every run of `shortest` characters of a text meets the forms that begin with it by equality; the rest of the form is compared
-    where they meet, within a stretch as long as the longest form. So no text is compared with all forms, nor carried whole.
+    Texts are cut into stretches of STRETCH places, each with as many characters more as the longest form needs, so that the cost is
+    in proportion to the text. Every run of `shortest` characters of a stretch meets the forms that begin with it by equality, the
+    forms being broadcast only if their measured size allows; the rest of the form is compared, and cut out, only where they meet.
     """
-    forms = lexicon.select("lexeme_id", strip("form2").alias("form")).where(F.length("form") >= shortest).distinct()
+    forms = written(lexicon.select("lexeme_id", strip("form2").alias("form")).where(F.length("form") >= shortest).distinct(), "forms")
     longest = forms.select(F.max(F.length("form"))).first()[0] or shortest
     seeds = forms.withColumn("seed", F.substring("form", 1, shortest))
     t = texts.select(key, F.split(text, "").alias("c")).where(F.size("c") >= shortest)
-    stretches = F.transform(F.sequence(F.lit(1), F.size("c") - shortest + 1), lambda i: F.array_join(F.slice("c", i, longest), ""))
-    places = t.select(key, F.posexplode(stretches).alias("at", "stretch")).withColumn("seed", F.substring("stretch", 1, shortest))
-    hits = places.join(seeds, "seed").where(F.startswith("stretch", "form"))
-    return hits.groupBy(key, "lexeme_id", "form").agg(F.count("*").alias("n_occurrences"), F.min("at").alias("first_at"))
+    cut = F.transform(F.sequence(F.lit(0), F.size("c") - shortest, F.lit(STRETCH)), lambda at: F.struct(at.alias("base"), F.array_join(F.slice("c", at + 1, STRETCH + longest - 1), "").alias("part")))
+    parts = t.select(key, F.explode(cut).alias("s")).select(key, "s.base", "s.part")
+    places = parts.withColumn("i", F.explode(F.sequence(F.lit(0), F.least(F.lit(STRETCH - 1), F.length("part") - shortest)))).withColumn("seed", F.substring("part", F.col("i") + 1, F.lit(shortest)))
+    small = fits(forms, "octet_length(form) * 2 + 24")
+    if not small:  # what is shuffled is as long as the longest form
+        places = places.select(key, "base", "i", "seed", F.substring("part", F.col("i") + 1, F.lit(longest)).alias("part"))
+    start = F.col("i") + 1 if small else F.lit(1)
+    hits = places.join(F.broadcast(seeds) if small else seeds, "seed").where(F.substring("part", start, F.length("form")) == F.col("form"))
+    return hits.groupBy(key, "lexeme_id", "form").agg(F.count("*").alias("n_occurrences"), F.min(F.col("base") + F.col("i")).alias("first_at"))
 
 
 def ambiguity(lexicon: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from interlace.functions import alignment
 from interlace.functions import annotation as A
-from interlace.operators import evaluation, evidence, items, licensed, proposals, scopes
+from interlace.operators import critics, evaluation, evidence, items, licensed, proposals, scopes
 from tests.conftest import rows
 
 
@@ -172,3 +172,130 @@ def test_target_probes_of_all_labels(spark):
         expected |= {(*target, *p) for p in sorted(own)[:q] + sorted(other)[: 24 - q]}
     got = [(r["label"], r["dialect_id"], r["lexeme_id"], r["form_row_id"]) for r in proposals.target_probes(proposals.hosts(lexemes), forms).collect()]
     assert set(got) == expected and len(got) == len(expected) and {g[0] for g in got} == {"akk", "dat", "cvb"}
+
+
+def test_edit_distance_of_many_tokens(spark):
+    """Tokens beyond the 16-bit characters, surrogates left out, have a character of their own too; more than there are is an error."""
+    def distance(a, b):
+        return one(spark, alignment.edit_distance(F.col("a"), F.col("b")), a, b, schema="a array<string>, b array<string>")
+
+    first = 0xD800 - alignment._FIRST
+    words = [f"w{i}" for i in range(first + 3000)]
+    few = words[first - 2 : first + 3] + words[-2:]
+    assert distance(["x"], words[:2]) == 2 and distance([], []) == 0 and distance(None, ["x"]) is None
+    coded = [alignment._FIRST + i + (alignment._SURROGATES[1] if i >= first else 0) for i in range(len(words))]
+    assert len(set(coded)) == len(coded) and not any(0xD800 <= c < 0xE000 for c in coded) and few
+    got = spark.range(1).select(F.array_join(F.transform(F.array(*[F.lit(c) for c in (0x4E00, 0xD7FF, 0xE000, 0x10000, 0x10FFFF)]), lambda n: F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")), "")).first()[0]
+    assert list(map(ord, got)) == [0x4E00, 0xD7FF, 0xE000, 0x10000, 0x10FFFF]
+
+
+def test_alignment_against_the_table(spark):
+    """Errors read off on the way back are those that a table of whole alignments holds."""
+    rng = random.Random(4)
+
+    def table(g, p):
+        best = [[None] * (len(p) + 1) for _ in range(len(g) + 1)]
+        for i in range(len(g) + 1):
+            for j in range(len(p) + 1):
+                if i and j and g[i - 1] == p[j - 1]:
+                    best[i][j] = best[i - 1][j - 1]
+                    continue
+                ways = ([(best[i - 1][j - 1], (g[i - 1], p[j - 1]))] if i and j else []) + ([(best[i - 1][j], (g[i - 1], alignment.MISSING))] if i else []) + ([(best[i][j - 1], (alignment.EXTRA, p[j - 1]))] if j else [])
+                best[i][j] = [] if not ways else min(((len(b), k, [*b, e]) for k, (b, e) in enumerate(ways)), key=lambda w: w[:2])[2]
+        return best[-1][-1]
+
+    data = [([rng.choice("abc") for _ in range(rng.randrange(0, 8))], [rng.choice("abc") for _ in range(rng.randrange(0, 8))]) for _ in range(120)]
+    df = spark.createDataFrame([(k, g, p) for k, (g, p) in enumerate(data)], "k int, g array<string>, p array<string>")
+    for r in df.select("k", alignment.align(F.col("p"), F.col("g")).alias("a")).collect():
+        g, p = data[r["k"]]
+        assert [tuple(e) for e in r["a"]["confusions"]] == table(g, p)
+
+
+def test_probe_outcomes(spark):
+    lexicon = spark.createDataFrame([(1, "R", "abc", None), (2, "R", None, "a-bd"), (3, None, "abe", "abe")], "lexeme_id int, region string, form2 string, form2_seg string")
+    base = {"text": "abc", "segmented": "a-bc", "annotation": "X-Y", "dialect_id": 7, "region": "R", "model_segmented": "a-bc", "model_annotation": "X-Y"}
+    cases = [
+        ({}, "model_exact", 1), ({"region": " "}, "missing_probe_scope", 0), ({"dialect_id": None}, "missing_probe_scope", 1), ({"annotation": "X"}, "validation_rejected", 1), ({"segmented": None}, "validation_rejected", 1), ({"segmented": "a--bc"}, "validation_rejected", 1),
+        ({"model_segmented": None, "model_annotation": ""}, "model_error", 1), ({"model_segmented": None}, "model_failed_already_licensed", 1), ({"text": "abd", "segmented": "a-bd", "model_annotation": "Z"}, "model_failed_already_licensed", 1),
+        ({"text": "abe", "segmented": "a-be"}, "model_failed_candidate", 0),
+    ]
+    names = ["k", *base]
+    df = spark.createDataFrame([(k, *(base | change).values()) for k, (change, _, _) in enumerate(cases)], "k int, text string, segmented string, annotation string, dialect_id int, region string, model_segmented string, model_annotation string")
+    assert names == df.columns
+    assert rows(proposals.probe_outcomes(df, lexicon, "k")) == [(k, kind, n) for k, (_, kind, n) in enumerate(cases)]
+    assert rows(proposals.probe_outcomes(df.limit(0), lexicon, "k")) == [] and proposals.probe_outcomes(df, lexicon.limit(0), "k").count() == len(cases)
+
+
+def test_surprises_and_triage(spark):
+    """A step that the model hasn't seen is a hotspot for its own result's segments only."""
+    corpus = spark.createDataFrame([(k, "A-B C" if k else "A-B;D C") for k in range(30)], "sentence_id long, annotation string")
+    results = spark.createDataFrame([(1, "a-b c", "A-B C", 0.9), (2, "a-b c", "A-C C", 0.9), (3, "a-x", "A-?;B", 0.5), (4, None, None, 0.1)], "result_id long, ai_segmented string, ai_annotation string, confidence double")
+    both = [critics.surprises(results, critics.sequence_model(corpus, unit=u), "result_id", "ai_annotation", u) for u in ("atom", "segment")]
+    found = both[0].unionByName(both[1])
+    places = {(r["result_id"], r["unit"], r["previous"], r["token"]): r["alternatives"] for r in found.collect()}
+    assert places[2, "atom", "A", "C"] == "B:30" and (2, "segment", "A", "C") in places and not any(k[0] == 1 for k in places)
+    assert places[3, "segment", "?;B", "<EOS>"] is None
+    segments = evidence.segment_pairs(results.selectExpr("result_id as sentence_id", "ai_segmented as segmented", "ai_annotation as annotation")).withColumnRenamed("sentence_id", "result_id")
+    margin = spark.createDataFrame([("b", 0.01), ("c", None)], "surface string, margin double")
+    got = {(r["result_id"], r["surface"], r["label"]): r["reasons"] for r in critics.segment_triage(results, segments, margin, found).collect()}
+    assert got[1, "b", "B"] == "small_alternative_margin" and (1, "c", "C") not in got
+    assert got[2, "b", "C"] == "small_alternative_margin,id_sequence_hotspot" and got[2, "a", "A"] == "id_sequence_hotspot" and got[3, "x", "?;B"].startswith("low_confidence,unknown_id")
+
+
+def test_context_review(spark):
+    """The narrowest context with enough evidence decides; other dialects only where the own has too little."""
+    pairs = [(k, 7, "p", "x", "e", "L", False) for k in range(5)] + [(10 + k, 7, "p", "y", "e", "L", False) for k in range(2)] + [(20 + k, 8, "q", "z", "f", "L", False) for k in range(9)] + [(40, 9, "q", "x", "f", "L", True), (41, None, "q", "w", "f", "M", True)]
+    df = spark.createDataFrame(pairs, "sentence_id int, dialect_id int, previous_surface string, surface string, next_label string, label string, phrase_start boolean")
+    got = {(r["dialect_id"], r["surface"], r["label"]): (r["level"], r["best"], r["strong"]) for r in critics.context_scores(df).collect()}
+    assert got == {(7, "x", "L"): (0, "x", False), (7, "y", "L"): (0, "x", True), (8, "z", "L"): (0, "z", False), (9, "x", "L"): (3, "z", False), (-1, "w", "M"): (None, None, False)}
+    review = {r["sentence_id"]: tuple(r)[1:] for r in critics.context_review(df).collect()}
+    assert review[10] == (1, 1, 1) and review[41] == (1, 0, 0) and len(review) == len(pairs)
+    assert rows(critics.context_review(df.limit(0))) == []
+
+
+def test_revisions_are_reviewed(spark):
+    data = [(1, "a-b", "X-Y", "ab", "X", "ab"), (2, "a-b", "X-Y", "a-b", "X-Y", "ab"), (3, "ab", "X", "a-b", "X", "ab"), (4, None, None, None, None, None)]
+    df = spark.createDataFrame([(*r, 0.4, 0.9) for r in data], "k int, s0 string, a0 string, s1 string, a1 string, text string, c0 double, c1 double")
+    got = rows(critics.reviewed(df, "k", ("s0", "a0"), ("s1", "a1"), "text", ("c0", "c1")))
+    assert [(r[1], r[2], r[3], r[5]) for r in got] == [("revise", "changed", "ab", 0.9), ("keep", "unchanged", "a-b", 0.4), ("keep", "unsound", "ab", 0.4), ("keep", "unchanged", "", 0.4)]
+
+
+def test_sequences_across_phrases_and_exclusion(spark):
+    df = spark.createDataFrame([(1, "A-B C"), (2, "B;D-C"), (3, "B C")], "sentence_id long, annotation string")
+    asked = spark.createDataFrame([("B-C",), ("D",), (None,)], "expression string")
+    held = spark.createDataFrame([(3,), (None,)], "sentence_id long")
+    assert rows(evidence.pattern_search(df, asked)) == [("D", 2)]
+    assert rows(evidence.pattern_search(df, asked, across=True)) == [("B-C", 1), ("B-C", 3), ("D", 2)]
+    assert rows(evidence.pattern_search(df, asked, across=True, excluded=held)) == [("B-C", 1), ("D", 2)]
+
+
+def test_lookup_hosts_phrases_and_forms(spark):
+    forms = spark.createDataFrame([("L", 1), ("L", 1), ("L", 2), (None, 1)], "label string, annotation_schema_id int")
+    lexicon = spark.createDataFrame([(5, "M", " n ", "R", "ab", "a-b"), (6, None, "v", "R", "c", "a-c")], "lexeme_id int, annotation string, pos string, region string, form2 string, form2_seg string")
+    asked = spark.createDataFrame([("L", 1), ("L", 3), ("M", 1), ("N", 1), ("N", 1)], "label string, annotation_schema_id int")
+    assert rows(evidence.looked_up(asked, forms, lexicon).select("label", "annotation_schema_id", "local_forms", "global_forms", "lexemes", "scope")) == [("L", 1, 2, 3, 0, "local"), ("L", 3, 0, 3, 0, "global"), ("M", 1, 0, 0, 1, "global"), ("N", 1, 0, 0, 0, "none")]
+    claims = spark.createDataFrame([(1, 5, "n"), (1, 5, "n"), (2, 5, "v"), (3, 9, "n"), (4, None, "n")], "k int, lexeme_id int, pos string")
+    assert rows(proposals.cited_hosts(claims, lexicon, "pos").select("k")) == [(1,)]
+    phrases = spark.createDataFrame([(1, "A", "A-B"), (2, "A", "A")], "k int, id string, phrase string")
+    assert rows(proposals.grounded_phrases(phrases, phrases.where("k = 1"))) == [("A", "A-B", 1)]
+    sentences = spark.createDataFrame([(1, "R", "ac-ab"), (2, None, "ab")], "sentence_id long, dialect_region string, segmented string")
+    assert rows(licensed.exact(sentences, lexicon)) == [(1, 5, "ab")] and rows(licensed.exact(sentences, lexicon, ["form2", "form2_seg"])) == [(1, 5, "ab"), (1, 6, "ac")]
+
+
+def test_broken_answers(spark):
+    whole = '{"decision": "Proposed", "confidence": 0.5, "segmented": "a", "annotation": "X", "trsl_ai": "y"}'
+    texts = [whole, f"```json\n{whole}\n```", whole[:40], f"[{whole}]", "sorry", None, "", '{"decision": "other"}', '{"confidence": "x"}', whole + whole[:5]]
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, payload string")
+    got = rows(items.parsed_payload(df, "payload", "k"))
+    assert [r[-1] for r in got] == [True, True] + [False] * 8 and [r[1] for r in got[2:7]] == [None] * 5 and got[7][1] == "other"
+
+
+def test_containment_over_stretches(spark, monkeypatch):
+    """Forms at the edges of stretches are found once, by broadcast and by shuffling."""
+    text = "".join(random.Random(3).choice("ab") for _ in range(700))
+    texts = spark.createDataFrame([(1, text), (2, "ab"), (3, None), (4, ""), (None, "xabab")], "sentence_id long, text string")
+    lexicon = spark.createDataFrame([(k, f) for k, f in enumerate(["aba", " abba ", "bb", text[250:262], text[511:520], None, "aba"])], "lexeme_id int, form2 string")
+    expected = sorted(((key, k, f, n, at) for key, t in [(1, text), (None, "xabab")] for k, f in enumerate(["aba", "abba", None, text[250:262], text[511:520], None, "aba"]) if f and (n := sum(t.startswith(f, i) for i in range(len(t)))) and (at := t.find(f)) >= 0), key=repr)
+    assert rows(licensed.contained(texts, lexicon)) == expected
+    monkeypatch.setattr(licensed, "fits", lambda *a: False)
+    assert rows(licensed.contained(texts, lexicon)) == expected and rows(licensed.contained(texts.limit(0), lexicon)) == []

@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from interlace.operators.usage import by_hour, distinct_calls
@@ -18,6 +19,15 @@ def test_tsv_round(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "json")).first()["xs"] == [1, 2]
 
 
+def test_items_by_ending(spark, tmp_path):
+    (tmp_path / "in.TSV").write_text("id\ttext\nk1\tabc\n", encoding="utf-8")
+    (tmp_path / "in.jsonl").write_text('{"example_id": "k2", "trsl": "訳", "dialect": 4}\n{"example_id": "k3"}\n', encoding="utf-8")
+    got = [rows(files.read_items(spark, str(tmp_path / n), 3).select("example_id", "text", "translation_jp", "dialect_id")) for n in ("in.TSV", "in.jsonl")]
+    assert got == [[("k1", "abc", "", 3)], [("k2", "", "訳", 4)]]
+    with pytest.raises(ValueError):
+        files.read_items(spark, "in.xlsx")
+
+
 def test_nbest_and_requests(spark, tmp_path):
     (tmp_path / "p.tsv").write_text('row_id\tref_units\tnbest_json\nu\ta c\t[{"rank":1,"units":["a"]}]\n')
     assert files.read_nbest(spark, str(tmp_path / "p.tsv")).first()["nbest_json"] == '[{"rank":1,"units":["a"]}]'
