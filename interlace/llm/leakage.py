@@ -43,7 +43,7 @@ NEAR, PAD, ROWS, WIDEST = 16, 16, 256, 512
 FILTER_BITS, FILTER_LEAST, FILTER_MOST, FILTER_PROBES = 32, 20, 27, 4
 #: Copies of the seed table that a hot seed's hits are spread over.
 SALTS = 16
-CHARS = 2_000_000  # letters hashed at a time; a longer text is hashed alone
+CHARS = 2_000_000  # letters hashed at a time
 CELLS = 32_768  # cells of a row of bands aligned at a time
 _PRIME, _SPREAD, _MIX = 1_000_003, 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9
 
@@ -151,12 +151,14 @@ def _hits(texts: pa.Array, sizes: tuple[int, ...], words: np.ndarray) -> Iterato
     for first, part in _stretches(texts):
         codes, starts = letters_of(part)
         for n in sizes:
-            h = hashes(codes, n)
-            at = passing(h, words)
-            text = np.searchsorted(starts, at, "right") - 1
-            inside = at + n <= starts[text + 1]
-            at, text = at[inside], text[inside]
-            yield first + text, at - starts[text], h[at]
+            found = []
+            for lo in range(0, max(len(codes), 1), CHARS):  # of a text beyond that, a piece at a time
+                h = hashes(codes[lo : lo + CHARS + n - 1], n)
+                at = passing(h, words)
+                text = np.searchsorted(starts, at + lo, "right") - 1
+                inside = at + lo + n <= starts[text + 1]
+                found.append((first + text[inside], at[inside] + lo - starts[text[inside]], h[at[inside]]))
+            yield tuple(np.concatenate(c) for c in zip(*found))
 
 
 def _seeds(held: DataFrame, sizes: tuple[int, ...]) -> DataFrame:
