@@ -114,6 +114,27 @@ def error_summary(scored: DataFrame, baseline: DataFrame, key: str) -> DataFrame
     return total.withColumns({"top1_uer": F.round(rate("top1_edits"), 6), "baseline_uer": F.round(rate("baseline_edits"), 6), "oracle_uer": F.round(rate("oracle_edits"), 6), "headroom_recovered": F.round(gain, 6)})
 
 
+def chosen_hypothesis(candidates: DataFrame, key: str) -> DataFrame:
+    """(key, agent_rank): the hypothesis of the highest confidence, the first of equals; one without confidence comes last."""
+    return candidates.groupBy(key).agg(F.min_by("rank", F.struct(-F.coalesce("confidence", F.lit(-1.0)), F.col("rank"))).alias("agent_rank"))
+
+
+def selection_summary(scored: DataFrame, baseline: DataFrame, agent: DataFrame, key: str) -> DataFrame:
+    """One row: unit error rates of the first, the baseline's, an agent's and the best hypotheses, how many lists the agent changed,
+    bettered, harmed or left alike against the first, and how much of the headroom either gains (null without any)."""
+    rank = lambda c: F.max(F.when(F.col("rank") == F.col(c), F.col("edits")))
+    picked = scored.join(baseline, key).join(agent, key).groupBy(key).agg(F.max("baseline_rank").alias("baseline_rank"), F.max("agent_rank").alias("agent_rank"), rank("baseline_rank").alias("baseline_edits"), rank("agent_rank").alias("agent_edits"))
+    rows = oracle_hypothesis(scored, key).join(picked, key)
+    gain = F.col("top1_edits") - F.col("agent_edits")
+    total = rows.agg(
+        F.count("*").alias("lists"), *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("ref_units", "top1_edits", "baseline_edits", "agent_edits", "oracle_edits")], F.count_if(F.col("agent_rank") == F.col("top1_rank")).alias("rank1_retained"),
+        F.count_if(F.col("agent_rank") != F.col("top1_rank")).alias("agent_changed"), F.count_if(gain > 0).alias("improved"), F.count_if(gain < 0).alias("harmful"), F.count_if(gain == 0).alias("neutral"), F.count_if(F.col("agent_rank") == F.col("oracle_rank")).alias("oracle_selected"),
+    )
+    rate = lambda c: F.round(F.coalesce(F.try_divide(F.col(c), F.col("ref_units")), F.lit(0.0)), 6)
+    recovered = lambda c: F.round(F.try_divide(F.col("top1_edits") - F.col(c), F.nullif(F.col("top1_edits") - F.col("oracle_edits"), F.lit(0))), 6)
+    return total.withColumns({f"{x}_uer": rate(f"{x}_edits") for x in ("top1", "baseline", "agent", "oracle")} | {f"{x}_headroom_recovered": recovered(f"{x}_edits") for x in ("baseline", "agent")})
+
+
 def attempts_as_lists(results: DataFrame, key: str = "sentence_id") -> DataFrame:
     """(key, rank, units, confidence, ref, alerts, failed): the attempts at a sentence as its n-best list, the newest first; units are segments,
     alerts are unknown labels."""

@@ -77,6 +77,19 @@ def form_support(pairs: DataFrame, lexicon: DataFrame, enough: int = 5) -> DataF
     return out.withColumns({"candidate_rate": F.round(F.col("candidate_count") / F.col("surface_total"), 6), "penalty": F.when((F.col("surface_total") >= enough) & weak, "weak").otherwise("none")})
 
 
+def proposal_support(proposed: DataFrame, pairs: DataFrame, lexicon: DataFrame, enough: int = 5) -> DataFrame:
+    """Proposed pairs (surface, label, region) with what the region's corpus and lexicon say of them: candidate_count, surface_total,
+    candidate_rate and penalty. Strong: the surface is well attested there, never with the label; weak: in less than a tenth."""
+    corpus = pairs.select(F.col("dialect_region").alias("region"), "surface", "label")
+    lexical = lexicon.select("region", F.col("form2").alias("surface"), F.col("annotation").alias("label")).where("label is not null")
+    counts = corpus.unionByName(lexical).where("region is not null and surface is not null").groupBy("region", "surface", "label").agg(F.count("*").alias("candidate_count"))
+    totals = counts.groupBy("region", "surface").agg(F.sum("candidate_count").alias("surface_total"))
+    out = proposed.join(totals, ["region", "surface"], "left").join(counts, ["region", "surface", "label"], "left").na.fill(0, ["surface_total", "candidate_count"])
+    known = F.col("surface_total") >= enough
+    penalty = F.when(known & (F.col("candidate_count") == 0), "strong").when(known & (F.col("candidate_count") * 10 < F.col("surface_total")), "weak").otherwise("none")
+    return out.withColumns({"candidate_rate": F.round(F.try_divide(F.col("candidate_count"), F.col("surface_total")), 6), "penalty": penalty})
+
+
 def looked_up(asked: DataFrame, forms: DataFrame, lexicon: DataFrame) -> DataFrame:
     """(label, annotation_schema_id, local_forms, global_forms, lexemes, scope): what is known of a label: forms of its own schema
     (local), of any (global), and lexemes that carry it. Scope: local, else global, else none."""

@@ -275,6 +275,20 @@ def asr_uer_summary(t):
     return evaluation.error_summary(_scored(t), evaluation.best_hypothesis(_lists(t), "sentence_id"), "sentence_id")
 
 
+@query(
+    f"""WITH {_LISTS}, {_BASELINE}, {_SCORED}, {_ORACLE}, agent AS (SELECT sentence_id, rank AS agent_rank FROM (SELECT *, row_number() OVER (PARTITION BY sentence_id ORDER BY coalesce(confidence, -1) DESC, rank) AS rn FROM lists) WHERE rn = 1),
+    r AS (SELECT o.*, baseline_rank, agent_rank, s.edits AS baseline_edits, g.edits AS agent_edits FROM oracle o JOIN baseline b USING (sentence_id) JOIN agent a USING (sentence_id) JOIN scored s ON s.sentence_id = o.sentence_id AND s.rank = b.baseline_rank JOIN scored g ON g.sentence_id = o.sentence_id AND g.rank = a.agent_rank),
+    t AS (SELECT count(*) AS lists, sum(ref_units)::BIGINT AS ref_units, sum(top1_edits)::BIGINT AS top1_edits, sum(baseline_edits)::BIGINT AS baseline_edits, sum(agent_edits)::BIGINT AS agent_edits, sum(oracle_edits)::BIGINT AS oracle_edits, count(*) FILTER (agent_rank = top1_rank) AS rank1_retained,
+        count(*) FILTER (agent_rank <> top1_rank) AS agent_changed, count(*) FILTER (agent_edits < top1_edits) AS improved, count(*) FILTER (agent_edits > top1_edits) AS harmful, count(*) FILTER (agent_edits = top1_edits) AS neutral, count(*) FILTER (agent_rank = oracle_rank) AS oracle_selected FROM r)
+    SELECT *, round(top1_edits / ref_units, 6) AS top1_uer, round(baseline_edits / ref_units, 6) AS baseline_uer, round(agent_edits / ref_units, 6) AS agent_uer, round(oracle_edits / ref_units, 6) AS oracle_uer,
+        round((top1_edits - baseline_edits) / nullif(top1_edits - oracle_edits, 0), 6) AS baseline_headroom_recovered, round((top1_edits - agent_edits) / nullif(top1_edits - oracle_edits, 0), 6) AS agent_headroom_recovered FROM t"""
+)
+def asr_agent_summary(t):
+    """The attempt of the highest confidence as the agent's choice."""
+    lists = _lists(t)
+    return evaluation.selection_summary(_scored(t), evaluation.best_hypothesis(lists, "sentence_id"), evaluation.chosen_hypothesis(lists, "sentence_id"), "sentence_id")
+
+
 # Evidence
 
 
@@ -314,6 +328,20 @@ def form_support(t):
     return evidence.form_support(_pairs(t), t.provider_lexemes)
 
 
+@query(
+    f"""WITH {_PAIRS}, own AS (SELECT sentence_id, dialect_region AS region FROM latest), c AS (SELECT region, surface, label, count(*) AS n FROM (SELECT region, surface, label FROM pairs JOIN own USING (sentence_id) UNION ALL SELECT region, form2, annotation FROM provider_lexemes WHERE annotation IS NOT NULL) WHERE region IS NOT NULL AND surface IS NOT NULL GROUP BY ALL),
+    s AS (SELECT region, surface, sum(n)::BIGINT AS t FROM c GROUP BY ALL), jf AS (SELECT result_id, sentence_id, {O.skeleton('ai_segmented')} AS s, {O.skeleton('ai_annotation')} AS a FROM job_results WHERE NOT {O.blank('ai_segmented')} AND NOT {O.blank('ai_annotation')}),
+    jz AS (SELECT result_id, sentence_id, unnest(s) AS ps, unnest(a) AS pa FROM jf WHERE {O.alignment_error('s', 'a')} IS NULL), jp AS (SELECT DISTINCT result_id, sentence_id, unnest(ps) AS surface, unnest(pa) AS label FROM jz),
+    r AS (SELECT result_id, jp.surface, jp.label, own.region, coalesce(c.n, 0) AS candidate_count, coalesce(s.t, 0) AS surface_total FROM jp JOIN own USING (sentence_id) LEFT JOIN s ON s.region = own.region AND s.surface = jp.surface LEFT JOIN c ON c.region = own.region AND c.surface = jp.surface AND c.label = jp.label)
+    SELECT *, round(candidate_count / nullif(surface_total, 0), 6) AS candidate_rate, CASE WHEN surface_total >= 5 AND candidate_count = 0 THEN 'strong' WHEN surface_total >= 5 AND candidate_count * 10 < surface_total THEN 'weak' ELSE 'none' END AS penalty FROM r"""
+)
+def proposal_support(t):
+    latest = _latest(t)
+    results = t.job_results.select(F.col("result_id"), "sentence_id").join(latest.select("sentence_id", F.col("dialect_region").alias("region")), "sentence_id").drop("sentence_id")
+    proposed = _result_pairs(t).select("result_id", "surface", "label").distinct().join(results, "result_id")
+    return evidence.proposal_support(proposed, evidence.segment_pairs(latest, "dialect_region"), t.provider_lexemes).select("result_id", "surface", "label", "region", "candidate_count", "surface_total", "candidate_rate", "penalty")
+
+
 @query("SELECT coalesce(pos, '') AS pos, count(DISTINCT lexeme_id) AS lexemes FROM provider_lexemes GROUP BY 1")
 def pos_counts(t):
     return t.provider_lexemes.groupBy(F.coalesce("pos", F.lit("")).alias("pos")).agg(F.count_distinct("lexeme_id").alias("lexemes"))

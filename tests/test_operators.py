@@ -299,3 +299,22 @@ def test_containment_over_stretches(spark, monkeypatch):
     assert rows(licensed.contained(texts, lexicon)) == expected
     monkeypatch.setattr(licensed, "fits", lambda *a: False)
     assert rows(licensed.contained(texts, lexicon)) == expected and rows(licensed.contained(texts.limit(0), lexicon)) == []
+
+
+def test_support_of_proposals(spark):
+    pairs = spark.createDataFrame([("R", "a", "X")] * 20 + [("R", "a", "Y")] + [("S", "a", "Z"), (None, "a", "Q"), ("R", "b", "X")], "dialect_region string, surface string, label string")
+    lexicon = spark.createDataFrame([("R", "a", "W"), ("R", "a", None)], "region string, form2 string, annotation string")
+    asked = [("a", "X", "R"), ("a", "Y", "R"), ("a", "Z", "R"), ("a", "W", "R"), ("b", "Z", "R"), ("q", "X", "R"), ("a", "X", None)]
+    got = {(r["surface"], r["label"], r["region"]): (r["candidate_count"], r["surface_total"], r["penalty"]) for r in evidence.proposal_support(spark.createDataFrame(asked, "surface string, label string, region string"), pairs, lexicon).collect()}
+    assert got == dict(zip(asked, [(20, 22, "none"), (1, 22, "weak"), (0, 22, "strong"), (1, 22, "weak"), (0, 1, "none"), (0, 0, "none"), (0, 0, "none")]))
+
+
+def test_selection_summary(spark):
+    lists = spark.createDataFrame([("u", 1, ["a", "x"], ["a", "b"], 0.2), ("u", 2, ["a", "b"], ["a", "b"], 0.9), ("v", 1, ["c"], ["c"], None), ("v", 2, ["d"], ["c"], 0.1), ("w", 1, ["e"], ["e"], 0.5), ("w", 2, ["e"], ["e"], 0.5)], "k string, rank int, units array<string>, ref array<string>, confidence double")
+    scored = evaluation.scored_lists(lists, None, "k")
+    first = lists.groupBy("k").agg(F.min("rank").alias("baseline_rank"))
+    got = evaluation.selection_summary(scored, first, evaluation.chosen_hypothesis(lists, "k"), "k").first().asDict()
+    assert {c: got[c] for c in ("lists", "ref_units", "top1_edits", "agent_edits", "oracle_edits", "rank1_retained", "agent_changed", "improved", "harmful", "neutral", "oracle_selected")} == {
+        "lists": 3, "ref_units": 4, "top1_edits": 1, "agent_edits": 1, "oracle_edits": 0, "rank1_retained": 1, "agent_changed": 2, "improved": 1, "harmful": 1, "neutral": 1, "oracle_selected": 2,
+    }
+    assert got["baseline_headroom_recovered"] == 0.0 and evaluation.selection_summary(scored.limit(0), first, first.withColumnRenamed("baseline_rank", "agent_rank"), "k").first()["agent_headroom_recovered"] is None
