@@ -111,9 +111,8 @@ def passing(h: np.ndarray, words: np.ndarray) -> np.ndarray:
     return at
 
 
-def _filter(seeds: DataFrame) -> Broadcast:
-    """The Bloom filter of a table's hashes, as 64-bit words."""
-    n = seeds.count()
+def _filter(seeds: DataFrame, n: int) -> Broadcast:
+    """The Bloom filter of a table's hashes, at most `n`, as 64-bit words."""
     bits = min(FILTER_MOST, max(FILTER_LEAST, (FILTER_BITS * max(n, 1) - 1).bit_length()))
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -390,11 +389,12 @@ def leaks(documents: DataFrame, items: DataFrame, doc_key: str = "doc_id", item_
     plain_of = F.pandas_udf(lambda texts: texts.map(plain), "string")
     docs = documents.where(F.col(text).isNotNull()).select(F.col(doc_key).alias("key"), F.col(text).alias("text"), F.xxhash64(text).alias("d1"), F.xxhash64(F.lit(1), text).alias("d2"))
     held = written(items.where(F.col(text).isNotNull()).select(F.monotonically_increasing_id().alias("item_no"), F.col(item_key).alias("item_key"), plain_of(F.col(text)).alias("plain")), "eval-items")
-    seeds = written(_seeds(held, sizes), "eval-seeds")
-    counts = written(_document_counts(docs, sizes, _filter(seeds)), "seed-counts")
-    chosen = _chosen(seeds, counts, held.count(), run)
+    n_items, letters = held.agg(F.count("*"), F.coalesce(F.sum(F.length("plain")), F.lit(0))).first()
+    seeds = _seeds(held, sizes)
+    counts = written(_document_counts(docs, sizes, _filter(seeds, letters * len(sizes))), "seed-counts")
+    chosen = _chosen(seeds, counts, n_items, run)
     salted = chosen.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    probes = _probes(docs, sizes, _filter(chosen)).withColumn("salt", F.pmod("d2", F.lit(SALTS)).cast("int"))
+    probes = _probes(docs, sizes, _filter(chosen, letters * len(sizes))).withColumn("salt", F.pmod("d2", F.lit(SALTS)).cast("int"))
     met = probes.join(salted, ["h", "salt"]).groupBy("d1", "d2", "item_no").agg(F.collect_list(F.struct("is", "js", "size")).alias("met"))
     ample = F.exists("met", lambda m: m["size"] == SEED) | (F.array_max(F.transform("met", lambda m: F.array_max(m["js"]))) - F.array_min(F.transform("met", lambda m: F.array_min(m["js"]))) >= SHORT)
     pairs = written(met.where(ample), "met-seeds")
