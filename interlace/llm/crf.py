@@ -12,6 +12,7 @@ BUCKETS = 1 << 18
 NAMED = 1 << 12  # the first buckets are for named features
 #: Characters of a place are features in runs of so many.
 GRAMS = (1, 2, 3)
+MOVES_DECAY = 0.01  # moves are held back, so that a clause can differ from those around it
 _PRIME, _SPREAD = 1_000_003, 0x9E3779B97F4A7C15
 
 
@@ -110,7 +111,7 @@ class Crf:
                 grads[0][chars, other] += grads[0][chars, mine]
                 grads[0][chars, mine] = grads[0][chars, other]
             for k in range(2):
-                g = grads[k] / many - decay * params[k]
+                g = grads[k] / many - (decay, MOVES_DECAY)[k] * params[k]
                 first[k] = 0.9 * first[k] + 0.1 * g
                 second[k] = 0.99 * second[k] + 0.01 * g * g
                 params[k] = params[k] + rate * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.99**step)) + 1e-6)

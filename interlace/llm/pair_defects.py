@@ -196,17 +196,21 @@ def made_pairs(rows: list[tuple[str | None, str | None, float | None]], rate_of,
     whole = []
     for prompt, response, finished in rows:
         text = (response or "").rstrip()
-        if text[-1:] == "。" and len(text) > 8 and not TALK.search(text) and set(evident(describe(prompt, text, finished), text, finished)) == {"answer"}:
+        if text[-1:] == "。" and len(text.rstrip("。")) > 7 and not TALK.search(text) and set(evident(describe(prompt, text, finished), text, finished)) == {"answer"}:
             whole.append((prompt, text))
     prompts = [p for p, *_ in rows if p and len(plain(p)) > 3] or [None]
     answer = lambda: rng.choice(whole)[1] if whole else made.narrative(rng)
-    for prompt, text in rng.sample(whole, min(len(whole), SENTENCES // 2)):
-        short = text[: rng.randrange(3, len(text) - 2)].rstrip("。")
-        if _KANA.search(_QUOTED.sub("", short)) and rate_of(ending(short)) in (None, 0.0):
+    for prompt, text in rng.choices(whole, k=SENTENCES // 3) if whole else []:
+        bare, rate = text.rstrip("。"), rate_of(ending(text))
+        if rng.random() < 0.2 and (rate or 0.0) >= 0.4:  # whole, though without its mark
+            out.put(prompt, [(bare, "answer")], rate)
+            continue
+        short = bare[: rng.randrange(3, len(bare) - 1)]
+        rate = rate_of(ending(short))
+        if _KANA.search(_QUOTED.sub("", short)) and rate in (None, 0.0):
             clauses = CLAUSE.findall(short)
-            rate = rate_of(ending(short))
             out.add(describe(prompt, short + rng.choice(["", "", "…", "、", "　"]), rate), ["answer"] * (len(clauses) - 1) + ["unfinished"])
-    for prompt in rng.sample(prompts, min(len(prompts), SENTENCES // 2)) if prompts != [None] else []:
+    for prompt in rng.choices(prompts, k=SENTENCES // 4) if prompts != [None] else []:
         dress = rng.choice(["{}", "「{}」", "訳：{}", "{}（未訳）", "{} / {}", "{}。", "日本語訳 → {}", "原文「{}」", "{}です。", "{}のままです。"]).replace("{}", rng.choice([prompt, prompt.upper(), prompt.replace(" ", ", "), prompt.replace(" ", "、")]))
         out.put(prompt, [(dress, "echo")], rate_of(ending(dress)))
     for _ in range(SENTENCES):
@@ -217,12 +221,13 @@ def made_pairs(rows: list[tuple[str | None, str | None, float | None]], rate_of,
         at = rng.randrange(len(some))
         words = re.sub(r"\W", "", some[at : at + rng.randrange(2, 10)])
         no = made.refusal(rng, words).replace("「Q」", f"「{quote}」")
-        if shape < 0.4:
+        if shape < 0.33:
             parts = [(no, "refusal")]
-        elif shape < 0.45:
+        elif shape < 0.38:
             parts = [(f"「{quote}」について", "refusal"), (rng.choice(("：", "は、", "ですが、")) + no, "refusal")]
-        elif shape < 0.57:
-            parts = [(answer(), "answer"), (no, "refusal")] if rng.random() < 0.5 else [(no.rstrip("\n！。") + "。", "refusal"), (answer(), "answer")]
+        elif shape < 0.58:
+            own = [(rng.choice((answer(), made.narrative(rng))), "answer") for _ in range(rng.randrange(1, 4))]
+            parts = [*own, (no, "refusal")] if rng.random() < 0.6 else [(no.rstrip("\n！。") + "。", "refusal"), *own]
         elif shape < 0.68:
             parts = [(made.report(rng), "answer"), (rng.choice((answer(), made.narrative(rng, words))), "answer")]
         elif shape < 0.72 and prompt:

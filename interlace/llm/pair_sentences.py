@@ -123,12 +123,15 @@ def narrative(rng: random.Random, words: str = "") -> str:
         return reason(rng, words or rng.choice(MATTERS)) + narrative(rng)
     who, what, did = rng.choice(PEOPLE), rng.choice(MATTERS), rng.choice(DECLINED)
     shape = rng.random()
-    if shape < 0.5:
+    if shape < 0.42:
         return f"{who}{rng.choice('はがも')}{what}{rng.choice('をはがに')}{did}。"
-    if shape < 0.75:
+    if shape < 0.65:
         return f"{rng.choice(('', '昨日', '今年の', '村の', '町の'))}{what}{rng.choice('はがも')}{did}。"
     subject = rng.choice(PEOPLE + THINGS) + rng.choice("はもが")
-    if shape < 0.9:
+    if shape < 0.82:
+        end = rng.choice(("小さい", "大きい", "古い", "遠い", "静か", "新しい", "重い", "高い", "元気", "白い", "寒い", "行かない", "食べない", "売らない", "歌わない", "知らない", "終わらない", "帰らない"))
+        return f"{subject}{rng.choice(('', '', 'とても', '海で', '村で'))}{end}{rng.choice(('です', 'のです', 'でした', 'のだ', 'と思う'))}{rng.choice('。。！')}"
+    if shape < 0.92:
         verb = rng.choice(("食べ", "飲み", "買い", "見え", "来", "行き", "帰り", "歌い", "待ち", "動き", "売り", "起き", "聞こえ", "降り", "咲き", "見つかり"))
         return f"{rng.choice(('', '', '今日は', '昨日から', '空は暗く、', '雨が強く、'))}{subject}{rng.choice(('酒を', '魚を', '海へ', '山へ', 'まだ', 'もう', '家に', '塩を', '', ''))}{verb}{rng.choice(('ません', 'ませんでした', 'ます', 'ました', 'たくない'))}。"
     return f"{subject}{rng.choice(('遅く', '早く', '忙しく', '若く', '村にい', 'そこにい', 'ここには', '難しく', 'よく', ''))}{rng.choice(('ありません', 'ない', 'なかった', 'ませんでした', 'いません', '中止です', '無理でした'))}。"
