@@ -173,15 +173,15 @@ def test_pair_defects_in_unseen_words(spark):
     assert len(missed) <= 0.1 * len(UNSEEN_REFUSALS) and len(false) <= 1, (missed, false)
 
 
-def test_mixed_answers_have_mixed_tags(spark, sf):
+def test_mixed_answers_have_mixed_tags(spark):
     """A refusal beside an answer of the same length covers half, a short remark doesn't."""
     from interlace.llm.pair_defects import pair_defects
     from interlace.llm.queries import _pairs
 
     from pyspark.sql import functions as F
 
-    texts = [("舟を見た。申し訳ありませんが、後の文は訳せません。", "refusal"), ("祖父は昨日の朝早くに山の畑で芋を掘って、村の市場へ運んで、夕方に塩と魚を買って帰って来た。この先は翻訳できません。", None)]
-    base = _pairs(spark, sf).select(F.lit("").alias("k"), F.col("text").alias("p"), F.col("trsl_ai").alias("r"))
+    texts = [("舟を見た。申し訳ありませんが、後の文は訳せません。", "refusal"), ("祖父は昨日の朝早くに山の畑で芋を掘って、村の市場へ運んで、夕方に塩と魚を買って帰って来た。申し訳ありませんが、この先は翻訳できません。", None)]
+    base = _pairs(spark, "/root/testdata/sf0.01").select(F.lit("").alias("k"), F.col("text").alias("p"), F.col("trsl_ai").alias("r"))
     own = spark.createDataFrame([(str(i), "ka mu:ba ya dunyi", t) for i, (t, _) in enumerate(texts)], "k string, p string, r string")
     got = {r["k"]: r for r in pair_defects(base.unionByName(own), "k", "p", "r").where("k <> ''").collect()}
-    assert [got[str(i)]["defect"] for i in range(len(texts))] == [d for _, d in texts] and all(0 < got[str(i)]["answer_share"] < 1 for i in range(len(texts)))
+    assert [got[str(i)]["defect"] for i in range(len(texts))] == [d for _, d in texts] and [0 < got[str(i)]["answer_share"] < 1 for i in range(len(texts))] == [True, True], got
