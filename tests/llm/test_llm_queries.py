@@ -144,7 +144,8 @@ def test_pair_defects_held_out(spark, sf):
         assert sum(got[k] == kind for k in own) >= 0.95 * len(own), (kind, [(data[k], got[k]) for k in own if got[k] != kind][:5])
 
 
-#: Written for this test, not made from the parts that the fit uses; most of their words occur in none of them.
+#: A development set, not held out: the parts that the fit uses were widened, and its settings chosen, while looking at what of these was
+#: missed. README has the figures of lists that were written afterwards and used once.
 UNSEEN_REFUSALS = [
     "訳は控えます。", "翻訳は難しいです。", "原文には「ka」と書かれていますが、翻訳できません。", "この一文を訳すのは私の力を超えています。", "お力になれず申し訳ございません。", "訳出は差し控えたく存じます。", "ちょっと分かりかねます。", "翻訳しかねる文です。", "日本語に直すことは不可能です。", "この発話の翻訳はご容赦ください。", "意味が取れませんので、訳は付けられません。",
     "この文章の意味は判明しませんでした。", "訳すことができない文です。", "この部分は翻訳不能です。", "対応する日本語が見つかりません。", "お答えは致しません。", "翻訳結果を返すことができませんでした。", "ご期待に沿えませんが、訳は用意できません。", "申し訳ないのですが、これを日本語にするのは無理があります。", "解読に失敗したため、訳文をご用意できませんでした。", "私どもでは、この言い回しをお訳しできかねます。", "すみません、意味を把握できていません。",
@@ -157,9 +158,9 @@ REPORTING_ANSWERS = [
 ]
 
 
-def test_pair_defects_in_unseen_words(spark):
-    """Refusals in words of their own, and whole answers that report of declining, among the results of a table: at least 9 in 10 are
-    found, and of the answers at most one is taken for defective."""
+def test_pair_defects_of_other_wording(spark):
+    """Refusals in other words than the data's, and whole answers that report of declining, among the results of a table: at least 9 in
+    10 are found, and of the answers at most one is taken for defective. It guards against falling back; it measures nothing unseen."""
     from pyspark.sql import functions as F
 
     from interlace.llm.pair_defects import pair_defects
